@@ -17,11 +17,11 @@ ev AS (
          CASE l.l_returnflag WHEN 'A' THEN '0' WHEN 'R' THEN '1' ELSE 'UNK' END AS use_flag,
          l.l_linestatus AS source,
          CASE WHEN l.l_linestatus <> 'F' THEN l.l_linestatus END AS institution,
-         CAST(1940 + (l.l_suppkey * 7) % 80 AS INTEGER) AS birth_year,
+         CAST(1940 + (l.l_suppkey * 7) % 80 AS BIGINT) AS birth_year,
          CAST(CASE WHEN l.l_suppkey % 11 = 0 THEN 1940 + (l.l_suppkey * 7 + l.l_linenumber) % 80
-                   ELSE 1940 + (l.l_suppkey * 7) % 80 END AS INTEGER) AS birth_year_alt,
+                   ELSE 1940 + (l.l_suppkey * 7) % 80 END AS BIGINT) AS birth_year_alt,
          l.l_orderkey AS order_key,
-         l.l_linenumber AS line_number
+         CAST(l.l_linenumber AS BIGINT) AS line_number
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN part p ON l.l_partkey = p.p_partkey
