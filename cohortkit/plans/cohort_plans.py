@@ -62,6 +62,18 @@ cls AS (
 )"""
 
 
+def spine_cte(**kw) -> str:
+    """CTEs (s .. cls, spine) for the default spine, to embed in larger oracle queries."""
+    return classes_sql(**kw) + f""",
+spine AS (
+  SELECT actor_id, anchor_month AS cohort_month, 1 AS target FROM cls WHERE actor_class = 'new'
+  UNION ALL
+  SELECT DISTINCT ev.actor_id, ev.month AS cohort_month, 0 AS target FROM ev
+  WHERE ev.month >= '{C.study_start}' AND ev.month <= '{C.study_end}'
+    AND ev.actor_id IN (SELECT actor_id FROM cls WHERE actor_class = 'never')
+)"""
+
+
 def spine_sql(never_months="active", **kw) -> str:
     if never_months == "first":
         nev = "SELECT actor_id, anchor_month AS cohort_month FROM cls WHERE actor_class = 'never'"

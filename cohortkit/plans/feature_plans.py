@@ -177,15 +177,20 @@ def q_peer_use_flag(spark, sf):
     return fe.peer_use_flag(ev, affiliations(spark, sf, ev), T, C.study_start, C.study_end, C.lag_months)
 
 
-@register("own_use_flag", with_(EV, AFFL) + f""",
-main AS (SELECT DISTINCT actor_id FROM affl WHERE org_rank = 1),
-used AS (SELECT DISTINCT actor_id, month FROM ev WHERE product = '{T}'),
+OWN_SQL = """
+main_own AS (SELECT DISTINCT actor_id FROM affl WHERE org_rank = 1),
+used AS (SELECT DISTINCT actor_id, month FROM ev WHERE product = '""" + T + """'),
 """ + _fan_sql("ufan", "used", "actor_id", C.lag_months, C.study_start, C.study_end).strip() + f""",
-hit AS (SELECT DISTINCT actor_id, ci FROM ufan)
-SELECT m.actor_id, {_mstr('c.c')} AS cohort_month,
-       CAST(CASE WHEN h.actor_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS own_flag
-FROM main m CROSS JOIN (SELECT unnest(generate_series({_mi(C.study_start)}, {_mi(C.study_end)})) AS c) c
-LEFT JOIN hit h ON h.actor_id = m.actor_id AND h.ci = c.c""")
+hit AS (SELECT DISTINCT actor_id, ci FROM ufan),
+own AS (
+  SELECT m.actor_id, {_mstr('c.c')} AS cohort_month,
+         CAST(CASE WHEN h.actor_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS own_flag
+  FROM main_own m CROSS JOIN (SELECT unnest(generate_series({_mi(C.study_start)}, {_mi(C.study_end)})) AS c) c
+  LEFT JOIN hit h ON h.actor_id = m.actor_id AND h.ci = c.c
+)"""
+
+
+@register("own_use_flag", with_(EV, AFFL, OWN_SQL) + "\nSELECT * FROM own")
 def q_own_use_flag(spark, sf):
     """Per main-affiliated actor and cohort month, own target use in the 12 months before cohort - 2."""
     ev = _ev(spark, sf)
@@ -352,17 +357,22 @@ def q_subject_quantity_wide(spark, sf):
     return fe.subject_quantity_wide(_ev(spark, sf), NAMED)
 
 
-@register("class_breadth_lookback", with_(EV) + """
-, mon AS (SELECT actor_id, month, coalesce(product_group, 'UNKNOWN') AS cls,
-                 count(DISTINCT coalesce(product, 'UNKNOWN')) AS n_items FROM ev GROUP BY 1, 2, 3),
+BREADTH_SQL = """
+mon AS (SELECT actor_id, month, coalesce(product_group, 'UNKNOWN') AS cls,
+               count(DISTINCT coalesce(product, 'UNKNOWN')) AS n_items FROM ev GROUP BY 1, 2, 3),
 """ + _fan_sql("bf", "mon", "actor_id, cls, n_items", 0, C.study_start, C.study_end).strip() + """,
 bw AS (SELECT actor_id, ci, """ + ", ".join(
-    f"sum(CASE WHEN cls = '{c}' THEN n_items END) AS N_{c}_12M" for c in CLASSES) + f""" FROM bf GROUP BY 1, 2)
-SELECT a.actor_id, {_mstr('c.c')} AS cohort_month, """ + ", ".join(
+    f"sum(CASE WHEN cls = '{c}' THEN n_items END) AS N_{c}_12M" for c in CLASSES) + f""" FROM bf GROUP BY 1, 2),
+breadth AS (
+  SELECT a.actor_id, {_mstr('c.c')} AS cohort_month, """ + ", ".join(
     f"CAST(coalesce(bw.N_{c}_12M, 0) AS BIGINT) AS N_{c}_12M" for c in CLASSES) + f"""
-FROM (SELECT DISTINCT actor_id FROM ev) a
-CROSS JOIN (SELECT unnest(generate_series({_mi(C.study_start)}, {_mi(C.study_end)})) AS c) c
-LEFT JOIN bw ON bw.actor_id = a.actor_id AND bw.ci = c.c""")
+  FROM (SELECT DISTINCT actor_id FROM ev) a
+  CROSS JOIN (SELECT unnest(generate_series({_mi(C.study_start)}, {_mi(C.study_end)})) AS c) c
+  LEFT JOIN bw ON bw.actor_id = a.actor_id AND bw.ci = c.c
+)"""
+
+
+@register("class_breadth_lookback", with_(EV, BREADTH_SQL) + "\nSELECT * FROM breadth")
 def q_class_breadth_lookback(spark, sf):
     """Per class, sum of monthly distinct products with gap in (0, 12]."""
     return fe.class_breadth_lookback(_ev(spark, sf), CLASSES, C.study_start, C.study_end, 0, 12)
