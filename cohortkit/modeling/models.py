@@ -44,7 +44,18 @@ def fit(train: DataFrame, features, kind: str = "logistic_l1", label: str = "tar
     features = list(features)
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     est = make_estimator(kind, len(features), label, weight_col, seed, **kw)
-    return Pipeline(stages=[asm, est]).fit(train)
+    # iterative solvers pass over the training frame many times: keep the
+    # assembled rows (the master grain, not raw events) on executors,
+    # spilling to disk; lineage recomputes lost blocks
+    from pyspark import StorageLevel
+
+    cols = [label] + ([weight_col] if weight_col else [])
+    assembled = asm.transform(train).select("features", *cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = est.fit(assembled)
+    finally:
+        assembled.unpersist()
+    return PipelineModel(stages=[asm, fitted])
 
 
 def score(model: PipelineModel, df: DataFrame, score_col: str = "score", pred_col: str = "prediction",

@@ -29,25 +29,23 @@ AGE_BANDS = (("PAT_AGE_0_11", None, 11), ("PAT_AGE_12_17", 12, 17), ("PAT_AGE_18
 
 
 def product_use_rows(events: DataFrame, named, groups) -> DataFrame:
-    """D27 steps 1-3: (actor, month, product_use, subject) for named products and product groups.
+    """D27 steps 1-3: distinct (actor, month, product_use, subject) for named
+    products and product groups, in one projection and one distinct.
 
     use = '1' when null or UNK; named products -> '<product>_<use>', grouped
-    products -> '<group>_<use>'; the rest dropped.  Distinct rows.
+    products -> '<group>_<use>'; other products dropped.
     """
     use = recode_use("use_flag", unknown_as="1")
-    base = (events.filter(F.col("product").isNotNull())
-                  .select("actor_id", "product", use.alias("use"), "month", "subject_id").distinct())
-    named_rows = (base.filter(F.col("product").isin(list(named)))
-                      .select("actor_id", "month", F.concat_ws("_", "product", "use").alias("product_use"),
-                              "subject_id"))
-    grp = None
+    code = None
+    for p in named:
+        cond = F.col("product") == F.lit(p)
+        code = F.when(cond, F.lit(p)) if code is None else code.when(cond, F.lit(p))
     for gname, members in groups:
         cond = F.col("product").isin(list(members))
-        grp = F.when(cond, F.lit(gname)) if grp is None else grp.when(cond, F.lit(gname))
-    group_rows = (base.withColumn("_g", grp).filter(F.col("_g").isNotNull())
-                      .select("actor_id", "month", F.concat_ws("_", "_g", "use").alias("product_use"),
-                              "subject_id"))
-    return named_rows.unionByName(group_rows).distinct()
+        code = F.when(cond, F.lit(gname)) if code is None else code.when(cond, F.lit(gname))
+    return (events.select("actor_id", "month", F.concat_ws("_", code, use).alias("product_use"), "subject_id",
+                          code.alias("_code"))
+                  .filter(F.col("_code").isNotNull()).drop("_code").distinct())
 
 
 def product_use_values(named, groups, uses=("0", "1")):
@@ -70,12 +68,44 @@ def share_by_product_use(events: DataFrame, named, groups, cohort_lo: str, cohor
 
 def share_wide(events: DataFrame, named, groups, cohort_lo: str, cohort_hi: str, lag: int = 2,
                edges=(1, 3, 6, 9, 12)) -> DataFrame:
-    """D27 (wide): SHARE_<product_use>_<bucket>, dense over actors x cohort months, 0-filled."""
-    long = share_by_product_use(events, named, groups, cohort_lo, cohort_hi, lag, edges) \
-        .withColumn("_k", F.concat_ws("_", "product_use", "bucket"))
-    vals = [f"{pu}_LAST_{e}M" for pu in product_use_values(named, groups) for e in edges]
-    wide = long_to_wide(long, ["actor_id", "cohort_month"], "_k", "share", vals, "first", prefix="SHARE")
-    ids = product_use_rows(events, named, groups).select("actor_id").distinct()
+    """D27 (wide): SHARE_<product_use>_<bucket>, dense over actors x cohort months, 0-filled.
+
+    Each product_use code is a bit; rows are reduced to one bit mask per
+    (actor, month, subject) with ``bit_or`` before the 12x cohort fan-out and
+    to one mask per (actor, cohort, bucket, subject) after it — fixed-width
+    hash aggregates, no distinct-count shuffles, no join of numerator and
+    denominator, no pivot.  The final aggregate per (actor, cohort) sums one
+    bit per (bucket, product_use) and counts subjects per bucket.
+    """
+    values = product_use_values(named, groups)
+    if len(values) > 62:
+        raise ValueError("share_wide supports at most 62 product_use codes")
+    idx = {v: i for i, v in enumerate(values)}
+    rows = product_use_rows(events, named, groups)
+    bit = None
+    for v, i in idx.items():
+        c = F.col("product_use") == F.lit(v)
+        bit = F.when(c, F.lit(1 << i)) if bit is None else bit.when(c, F.lit(1 << i))
+    masks = rows.groupBy("actor_id", "month", "subject_id").agg(F.bit_or(bit.cast("long")).alias("mask"))
+    fan = fan_out_cohorts(masks, "month", lag, cohort_lo, cohort_hi, edges).filter(F.col("bucket").isNotNull())
+    per = fan.groupBy("actor_id", "cohort_month", "bucket", "subject_id").agg(F.bit_or("mask").alias("mask"))
+    aggs = []
+    for e in edges:
+        b = f"LAST_{e}M"
+        in_b = F.col("bucket") == F.lit(b)
+        aggs.append(F.sum(in_b.cast("long")).alias(f"_den_{b}"))
+        for v, i in idx.items():
+            has = F.shiftright(F.col("mask"), i).bitwiseAND(F.lit(1))
+            aggs.append(F.sum(F.when(in_b, has).otherwise(F.lit(0))).alias(f"_num_{i}_{b}"))
+    wide = per.groupBy("actor_id", "cohort_month").agg(*aggs)
+    share_cols = []
+    for v, i in idx.items():
+        for e in edges:
+            b = f"LAST_{e}M"
+            share_cols.append(F.coalesce(F.try_divide(F.col(f"_num_{i}_{b}").cast("double"), F.col(f"_den_{b}")),
+                                         F.lit(0.0)).alias(col_name("SHARE", f"{v}_{b}")))
+    wide = wide.select("actor_id", "cohort_month", *share_cols)
+    ids = rows.select("actor_id").distinct()
     grid = densify_ids(ids, "actor_id", "_c", month_index_of_str(F.lit(cohort_lo)),
                        month_index_of_str(F.lit(cohort_hi))) \
         .select("actor_id", month_from_index("_c").alias("cohort_month"))

@@ -1,9 +1,12 @@
 """Master table assembly and its checks.
 
 Grain safety: instead of comparing row counts before and after every left
-join (two full jobs per join), each right side is checked once for a unique
-key; a left join against a unique right side cannot change the spine's
-grain.  The check collects at most ``sample`` offending keys.
+join (two full jobs per join), each right side carries an in-plan key check:
+a count over a window partitioned by the join keys, and a filter that calls
+``raise_error`` naming the offending key when the count exceeds 1.  The
+window needs the same hash partitioning on the keys as the sort-merge join,
+so the check adds no shuffle and no separate job; a left join against a
+unique right side cannot change the spine's grain.
 
 Join plan: every feature table is joined on the same (actor, month) keys,
 so after the first shuffle the growing left side stays hash-partitioned on
@@ -13,7 +16,7 @@ broadcast a small one).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortkit.functions.exprs import any_positive
@@ -36,6 +39,16 @@ def assert_unique(df: DataFrame, keys, name: str = "table", sample: int = 5) ->
     return df
 
 
+def guard_unique(df: DataFrame, keys, name: str = "table") -> DataFrame:
+    """Lazily fail the job with the offending key if ``keys`` is not unique."""
+    keys = list(keys)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    msg = F.concat(F.lit(f"{name}: duplicate key "), F.to_json(F.struct(*keys)))
+    return (df.withColumn("_key_n", n)
+              .filter(F.when(F.col("_key_n") > 1, F.raise_error(msg)).otherwise(F.lit(True)))
+              .drop("_key_n"))
+
+
 def master_table(spine: DataFrame, features, keys=("actor_id", "cohort_month"), fill=0,
                  check: bool = True) -> DataFrame:
     """Spine ⟕ each feature table (on ``keys`` or a subset), then fill.
@@ -51,7 +64,7 @@ def master_table(spine: DataFrame, features, keys=("actor_id", "cohort_month"),
         if clash:
             raise ValueError(f"{name}: columns already present: {sorted(clash)}")
         if check:
-            assert_unique(df, jk, name)
+            df = guard_unique(df, jk, name)
         out = out.join(df, jk, "left")
     if fill is not None:
         out = out.fillna(fill)

@@ -26,7 +26,7 @@ MONTHLY_COLS = fp._SHARE_COLS + ["org_flag", "peer_flag"]
 def master_df(spark, sf, materialize_events: bool = True):
     ev = event_log(spark, sf)
     if materialize_events:
-        ev = materialize(ev, "event_log", partition_by="month")
+        ev = materialize(ev, "event_log")  # flat: read whole by every branch
     affl = affiliations(spark, sf, ev)
     spine = co.target_spine(ev, C)
     shares = fe.share_wide(ev, fp.NAMED, fp.GROUPS, C.study_start, C.study_end, C.lag_months, fp.EDGES)
