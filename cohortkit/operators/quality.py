@@ -219,7 +219,7 @@ def dimension_coverage(facts: DataFrame, fact_key: str, dim: DataFrame, dim_key:
                        dim_attr: str) -> DataFrame:
     """Distinct fact ids, and how many have a dimension row with a non-null attribute."""
     d = dim.select(F.col(dim_key).alias(fact_key), F.col(dim_attr).alias("_attr"))
-    j = facts.select(fact_key).join(d, fact_key, "left")
+    j = facts.select(fact_key).distinct().join(d, fact_key, "left")  # dedupe before the join
     return j.agg(F.countDistinct(fact_key).alias("n_ids"),
                  F.countDistinct(F.when(F.col("_attr").isNotNull(), F.col(fact_key))).alias("n_matched")) \
             .withColumn("share", F.col("n_matched") / F.col("n_ids"))

@@ -381,7 +381,19 @@ def q_class_breadth_lookback(spark, sf):
 _TS = [f"n_{c}_sum12" for c in CLASSES]
 
 
-@register("trailing_share", None)
+def _trailing_share_sql() -> str:
+    from cohortkit.plans.registry import ORACLE
+
+    base = ORACLE["class_breadth_trailing"]
+    tot = " + ".join(f"coalesce({c}, 0)" for c in _TS)
+    shares = ", ".join(f"CASE WHEN ({tot}) = 0 THEN NULL ELSE {c} * 1.0 / ({tot}) END AS {c}_share" for c in _TS)
+    return f"SELECT t.*, {shares}, CAST({tot} AS BIGINT) AS row_total FROM ({base}) t"
+
+
+import cohortkit.plans.panel_plans  # noqa: E402,F401  (registers class_breadth_trailing first)
+
+
+@register("trailing_share", _trailing_share_sql())
 def q_trailing_share(spark, sf):
     """Row total of the trailing class breadth and each class's share of it."""
     tr = class_breadth_trailing(_ev(spark, sf), CLASSES, C.first_month, C.study_end)

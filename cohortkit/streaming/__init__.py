@@ -1,0 +1,9 @@
+"""Streaming.
+
+The operators this engine re-implements are bounded batch jobs over fixed
+date windows; none of them reads a stream, keeps state across micro-batches
+or handles late data.  No streaming operator is provided, so nothing here
+pretends otherwise.  Every operator is a plain ``DataFrame -> DataFrame``
+function, so a caller who does receive the event log as a stream can apply
+any of them per micro-batch inside ``writeStream.foreachBatch``.
+"""
