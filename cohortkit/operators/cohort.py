@@ -97,7 +97,8 @@ def lookback_counts(events: DataFrame, firsts: DataFrame, product: str,
 
 
 def study_summary(events: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Per actor, one pass: prior/study activity, user flags and anchor dates."""
+    """Per actor, one pass: prior/study activity, user flags, anchor dates and
+    the sorted set of active study months (bounded by the study calendar)."""
     m = F.col("month")
     t = _is(cfg.target_product)
     in_study = (m >= cfg.study_start) & (m <= cfg.study_end)
@@ -108,12 +109,13 @@ def study_summary(events: DataFrame, cfg: StudyConfig) -> DataFrame:
                        F.max((in_study & t).cast("int")).alias("study_user"),
                        F.max((in_study & ~t).cast("int")).alias("study_other"),
                        F.min(F.when(in_study & t, F.col("event_date"))).alias("first_target_date"),
-                       F.min(F.when(in_study, F.col("event_date"))).alias("first_any_date")))
+                       F.min(F.when(in_study, F.col("event_date"))).alias("first_any_date"),
+                       F.array_sort(F.collect_set(F.when(in_study, m))).alias("study_months")))
 
 
 def actor_classes(events: DataFrame, cfg: StudyConfig, require_inclusion: bool = True,
                   nonuser_lookback_months: int | None = None,
-                  row_level_nonusers: bool = False) -> DataFrame:
+                  row_level_nonusers: bool = False, keep_months: bool = False) -> DataFrame:
     """Label included actors new / existing (users) or discontinued / never (non-users).
 
     users      = an event of the target product in the study months, anchored
@@ -123,21 +125,31 @@ def actor_classes(events: DataFrame, cfg: StudyConfig, require_inclusion: bool =
                  anchored at their first study event of any product.
     A user is *new* and a non-user *never* when no target event falls in
     [anchor - (N+1) months, anchor month).
+
+    Two passes over the events: the per-actor summary, and one join of the
+    events to the per-actor anchors (an inner join, so AQE can split a hot
+    actor's events; actors with nothing in the window come back through a
+    left join of the anchors, which reuses the anchors' shuffle).
     """
     n_user = cfg.lookback_months
     n_non = cfg.lookback_months if nonuser_lookback_months is None else nonuser_lookback_months
     s = study_summary(events, cfg)
     incl = (F.col("prior_active") == 1) & (F.col("study_active") == 1) if require_inclusion \
         else (F.col("study_active") == 1)
-    users = s.filter(incl & (F.col("study_user") == 1)).select(
-        "actor_id", F.lit("user").alias("branch"), F.col("first_target_date").alias("anchor_date"),
-        F.lit(n_user).alias("_n"))
     non_cond = (F.col("study_other") == 1) if row_level_nonusers else (F.col("study_user") == 0)
-    nonusers = s.filter(incl & non_cond).select(
-        "actor_id", F.lit("non_user").alias("branch"), F.col("first_any_date").alias("anchor_date"),
-        F.lit(n_non).alias("_n"))
-    anchors = users.unionByName(nonusers).withColumn("_ai", month_index("anchor_date")) \
-                   .withColumn("_lbi", F.col("_ai") - F.col("_n") - 1)
+    branch = F.struct
+    choices = F.array(
+        F.when(incl & (F.col("study_user") == 1),
+               branch(F.lit("user").alias("branch"), F.col("first_target_date").alias("anchor_date"),
+                      F.lit(n_user).alias("n"))),
+        F.when(incl & non_cond,
+               branch(F.lit("non_user").alias("branch"), F.col("first_any_date").alias("anchor_date"),
+                      F.lit(n_non).alias("n"))))
+    anchors = (s.select("actor_id", "study_months",
+                        F.explode(F.filter(choices, lambda x: x.isNotNull())).alias("b"))
+                .select("actor_id", "study_months", "b.branch", "b.anchor_date",
+                        month_index(F.col("b.anchor_date")).alias("_ai"),
+                        (month_index(F.col("b.anchor_date")) - F.col("b.n") - 1).alias("_lbi")))
     t = _is(cfg.target_product)
     ev = events.select("actor_id", "subject_id", "product", month_index("event_date").alias("_mi"))
     inwin = (F.col("_mi") >= F.col("_lbi")) & (F.col("_mi") < F.col("_ai"))
@@ -153,10 +165,10 @@ def actor_classes(events: DataFrame, cfg: StudyConfig, require_inclusion: bool =
     cls = (F.when(F.col("branch") == "user",
                   F.when(F.col("target_rows") == 0, "new").otherwise("existing"))
             .otherwise(F.when(F.col("target_rows") == 0, "never").otherwise("discontinued")))
-    return out.select(
-        "actor_id", "branch", "anchor_date", month_str("anchor_date").alias("anchor_month"),
-        month_from_index(F.col("_lbi")).alias("lookback_start_month"),
-        "target_rows", "target_subjects", "other_rows", "other_subjects", cls.alias("actor_class"))
+    cols = ["actor_id", "branch", "anchor_date", month_str("anchor_date").alias("anchor_month"),
+            month_from_index(F.col("_lbi")).alias("lookback_start_month"),
+            "target_rows", "target_subjects", "other_rows", "other_subjects", cls.alias("actor_class")]
+    return out.select(*cols, *(["study_months"] if keep_months else []))
 
 
 def target_spine(events: DataFrame, cfg: StudyConfig, never_months: str = "active",
@@ -167,28 +179,25 @@ def target_spine(events: DataFrame, cfg: StudyConfig, never_months: str = "activ
     new   -> one row at the first target month, target 1;
     never -> ``never_months='active'``: one row per study month with an event;
              ``'all'``: every study month (D20a); ``'first'``: the anchor month (D20b).
+
+    Rows come from one ``explode`` over the classes (the active months travel
+    with each actor from the summary pass), so the events are read twice in
+    total and nothing is unioned or re-joined.
     """
     c = classes if classes is not None else actor_classes(
-        events, cfg, require_inclusion, nonuser_lookback_months, row_level_nonusers)
-    new = c.filter(F.col("actor_class") == "new").select(
-        "actor_id", F.col("anchor_month").alias("cohort_month"), F.lit(1).alias("target"))
-    never = c.filter(F.col("actor_class") == "never").select("actor_id")
+        events, cfg, require_inclusion, nonuser_lookback_months, row_level_nonusers, keep_months=True)
     if never_months == "first":
-        nev = c.filter(F.col("actor_class") == "never").select(
-            "actor_id", F.col("anchor_month").alias("cohort_month"))
+        nev = F.array(F.col("anchor_month"))
     elif never_months == "all":
-        from cohortkit.functions.dates import month_axis
-
-        axis = month_axis(events.sparkSession, cfg.study_start, cfg.study_end, "cohort_month")
-        # the axis is bounded by the study parameters, so broadcasting it is safe
-        nev = never.crossJoin(F.broadcast(axis))
+        lo, hi = month_index_of_str(F.lit(cfg.study_start)), month_index_of_str(F.lit(cfg.study_end))
+        nev = F.transform(F.sequence(lo, hi), lambda i: month_from_index(i))
     else:
-        m = F.col("month")
-        act = (events.filter((m >= cfg.study_start) & (m <= cfg.study_end))
-                     .select("actor_id", F.col("month").alias("cohort_month")).distinct())
-        nev = act.join(never, "actor_id", "left_semi")
-    nev = nev.select("actor_id", "cohort_month", F.lit(0).alias("target"))
-    return new.unionByName(nev)
+        nev = F.col("study_months")
+    months = (F.when(F.col("actor_class") == "new", F.array(F.col("anchor_month")))
+               .when(F.col("actor_class") == "never", nev))
+    return (c.filter(F.col("actor_class").isin("new", "never"))
+             .select("actor_id", F.explode(months).alias("cohort_month"),
+                     F.when(F.col("actor_class") == "new", 1).otherwise(0).alias("target")))
 
 
 def sort_spine(spine: DataFrame) -> DataFrame:
