@@ -96,34 +96,55 @@ def _ev(spark, sf):
     return event_log(spark, sf)
 
 
+def _spine_window():
+    """Dates the spine needs: the prior period start (or the earliest
+    look-back start, if earlier) through the last study day."""
+    lo = min(C.first_month, _shift(C.study_start, -(max(C.lookback_months, 36) + 1)))
+    return f"{lo}-01", C.study_end_date
+
+
+def _shift(month: str, n: int) -> str:
+    y, m = (int(x) for x in month.split("-"))
+    i = y * 12 + m - 1 + n
+    return f"{i // 12:04d}-{i % 12 + 1:02d}"
+
+
+def _ev_spine(spark, sf):
+    return event_log(spark, sf, *_spine_window())
+
+
+def _ev_study(spark, sf):
+    return event_log(spark, sf, C.study_start_date, C.study_end_date)
+
+
 @register("target_spine", spine_sql())
 def q_target_spine(spark, sf):
     """D20 flagship: new users at their first month (1), never users per active study month (0)."""
-    return co.target_spine(_ev(spark, sf), C)
+    return co.target_spine(_ev_spine(spark, sf), C)
 
 
 @register("target_spine_all_months", spine_sql("all"))
 def q_target_spine_all_months(spark, sf):
     """Never users get every study month."""
-    return co.target_spine(_ev(spark, sf), C, never_months="all")
+    return co.target_spine(_ev_spine(spark, sf), C, never_months="all")
 
 
 @register("target_spine_no_inclusion", spine_sql("first", require_inclusion=False))
 def q_target_spine_no_inclusion(spark, sf):
     """No prior-activity rule; never users at their first study month only."""
-    return co.target_spine(_ev(spark, sf), C, never_months="first", require_inclusion=False)
+    return co.target_spine(_ev_spine(spark, sf), C, never_months="first", require_inclusion=False)
 
 
 @register("target_spine_nonuser_36", spine_sql(nonuser_lookback=36))
 def q_target_spine_nonuser_36(spark, sf):
     """36-month look-back for non-users."""
-    return co.target_spine(_ev(spark, sf), C, nonuser_lookback_months=36)
+    return co.target_spine(_ev_spine(spark, sf), C, nonuser_lookback_months=36)
 
 
 @register("target_spine_row_level", spine_sql(row_level=True))
 def q_target_spine_row_level(spark, sf):
     """D20d: non-users = actors with any non-target study row (sets may overlap)."""
-    return co.target_spine(_ev(spark, sf), C, row_level_nonusers=True)
+    return co.target_spine(_ev_spine(spark, sf), C, row_level_nonusers=True)
 
 
 @register("actor_classes", with_(EV, classes_sql()) + """
@@ -132,7 +153,7 @@ SELECT actor_id, branch, strftime(anchor_date, '%Y-%m-%d') AS anchor_date, ancho
 FROM cls""")
 def q_actor_classes(spark, sf):
     """New / existing / discontinued / never with look-back counts."""
-    return co.actor_classes(_ev(spark, sf), C)
+    return co.actor_classes(_ev_spine(spark, sf), C)
 
 
 @register("period_activity", with_(EV) + f"""
@@ -140,7 +161,7 @@ SELECT actor_id, count(DISTINCT subject_id) AS n_subjects FROM ev
 WHERE month >= '{C.study_start}' AND month <= '{C.study_end}' GROUP BY actor_id""")
 def q_period_activity(spark, sf):
     """Distinct subjects per actor in the study months."""
-    return co.period_activity(_ev(spark, sf), C.study_start, C.study_end)
+    return co.period_activity(_ev_study(spark, sf), C.study_start, C.study_end)
 
 
 @register("inclusion_set", with_(EV) + f"""
@@ -149,7 +170,7 @@ INTERSECT
 SELECT actor_id FROM ev WHERE month >= '{C.study_start}' AND month <= '{C.study_end}'""")
 def q_inclusion_set(spark, sf):
     """Active before and during the study."""
-    return co.inclusion_set(_ev(spark, sf), C)
+    return co.inclusion_set(event_log(spark, sf, f"{C.first_month}-01", C.study_end_date), C)
 
 
 @register("product_user_flag", with_(EV) + f"""
@@ -157,7 +178,7 @@ SELECT actor_id, CAST(max(CASE WHEN product = '{T}' THEN 1 ELSE 0 END) AS BIGINT
 WHERE month >= '{C.study_start}' AND month <= '{C.study_end}' GROUP BY actor_id""")
 def q_product_user_flag(spark, sf):
     """Target users among study-active actors."""
-    return co.product_user_flag(_ev(spark, sf), T, C.study_start, C.study_end)
+    return co.product_user_flag(_ev_study(spark, sf), T, C.study_start, C.study_end)
 
 
 FIRST_SQL = f"""
@@ -180,7 +201,7 @@ SELECT actor_id, strftime(first_date, '%Y-%m-%d') AS first_date, first_month,
 FROM f2""")
 def q_first_event(spark, sf):
     """First target event in the study with its look-back start."""
-    return co.first_event(_ev(spark, sf), C.study_start_date, C.study_end_date, C.lookback_months, T)
+    return co.first_event(_ev_study(spark, sf), C.study_start_date, C.study_end_date, C.lookback_months, T)
 
 
 @register("lookback_counts", with_(EV, FIRST_SQL) + f"""
@@ -206,7 +227,7 @@ def q_lookback_counts(spark, sf):
     "SELECT actor_id, anchor_month AS cohort_month, CAST(1 AS BIGINT)", 1) + ") sp GROUP BY cohort_month")
 def q_spine_monthly_counts(spark, sf):
     """Spine rows per cohort month and label."""
-    return co.spine_monthly_counts(co.target_spine(_ev(spark, sf), C))
+    return co.spine_monthly_counts(co.target_spine(_ev_spine(spark, sf), C))
 
 
 @register("spine_disjoint_check", spine_sql().replace(
@@ -216,7 +237,7 @@ def q_spine_monthly_counts(spark, sf):
     + ") sp GROUP BY actor_id HAVING count(DISTINCT target) > 1")
 def q_spine_disjoint_check(spark, sf):
     """Actors carrying both labels (expected empty)."""
-    return co.spine_disjoint_check(co.target_spine(_ev(spark, sf), C))
+    return co.spine_disjoint_check(co.target_spine(_ev_spine(spark, sf), C))
 
 
 @register("spine_disjoint_check_row_level", spine_sql(row_level=True).replace(
@@ -226,7 +247,7 @@ def q_spine_disjoint_check(spark, sf):
     + ") sp GROUP BY actor_id HAVING count(DISTINCT target) > 1")
 def q_spine_disjoint_check_row_level(spark, sf):
     """U5 on the row-level variant, where the two sets can overlap."""
-    return co.spine_disjoint_check(co.target_spine(_ev(spark, sf), C, row_level_nonusers=True))
+    return co.spine_disjoint_check(co.target_spine(_ev_spine(spark, sf), C, row_level_nonusers=True))
 
 
 @register("new_user_volume", with_(EV, classes_sql()) + f"""
@@ -277,3 +298,19 @@ SELECT actor_id, strftime(index_date, '%Y-%m-%d') AS index_date, index_month, st
 def q_new_to_product_actor_ids(spark, sf):
     """D9 on the actor id (the reference runs it for both ids)."""
     return co.new_to_product(_ev(spark, sf), T, C.study_start_date, 2, id_col="actor_id")
+
+
+@register("target_spine_sorted", spine_sql())
+def q_target_spine_sorted(spark, sf):
+    """The spine in the reference's output order (target desc, actor, month);
+    the only global sort, applied at output."""
+    return co.sort_spine(co.target_spine(_ev_spine(spark, sf), C))
+
+
+@register("study_window_scan", with_(EV) + f"""
+SELECT actor_id, subject_id, strftime(event_date, '%Y-%m-%d') AS event_date, product, quantity FROM ev
+WHERE event_date BETWEEN DATE '{C.study_start_date}' AND DATE '{C.study_end_date}'""")
+def q_study_window_scan(spark, sf):
+    """Inclusive date-window scan (both ends kept), pushed into the
+    lineitem parquet reader, with a column shortlist."""
+    return _ev_study(spark, sf).select("actor_id", "subject_id", "event_date", "product", "quantity")

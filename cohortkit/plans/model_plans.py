@@ -18,7 +18,7 @@ from cohortkit.modeling import prep as pr
 from cohortkit.operators import cohort as co
 from cohortkit.operators import features as fe
 from cohortkit.plans import feature_plans as fp
-from cohortkit.plans.cohort_plans import spine_cte
+from cohortkit.plans.cohort_plans import _ev_spine, spine_cte
 from cohortkit.plans.oracle_sql import EV, with_
 from cohortkit.plans.registry import register
 from cohortkit.session import checkpoint_dir, materialize
@@ -33,7 +33,7 @@ SEED = C.seed
 
 
 def _spine(spark, sf):
-    return co.target_spine(event_log(spark, sf), C)
+    return co.target_spine(_ev_spine(spark, sf), C)
 
 
 def scored_fixture(spark, sf):

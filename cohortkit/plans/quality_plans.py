@@ -30,13 +30,14 @@ def _ev(spark, sf):
 
 @register("clean_events", with_(EV) + """
 SELECT month, actor_id, subject_id, strftime(event_date, '%Y-%m-%d') AS event_date, product, product_group,
-       quantity, use_flag, source, coalesce(institution, 'UNK') AS institution, birth_year_alt
+       quantity, use_flag, source, coalesce(institution, 'UNK') AS institution_code, birth_year_alt
 FROM ev WHERE subject_id NOT IN (
   SELECT subject_id FROM ev GROUP BY subject_id HAVING count(DISTINCT birth_year_alt) > 1)""")
 def q_clean_events(spark, sf):
-    """Shortlist, fill, drop conflicted subjects, month first."""
+    """Shortlist, fill, drop conflicted subjects, rename, month first."""
     return qa.clean_events(_ev(spark, sf), CLEAN_COLS, "subject_id", "birth_year_alt",
-                           fill={"institution": "UNK"}, move_after=("month", None))
+                           fill={"institution": "UNK"}, rename={"institution": "institution_code"},
+                           move_after=("month", None))
 
 
 @register("conflicting_entities", with_(EV) + """

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit.functions.dates import month_str
-from cohortkit.sources.tables import read_table
+from cohortkit.sources.tables import date_window, read_table
 
 EVENT_COLUMNS = [
     "actor_id", "subject_id", "event_date", "month", "product", "product_group",
@@ -21,16 +21,21 @@ EVENT_COLUMNS = [
 ]
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_log(spark: SparkSession, sf_dir: str, start: str | None = None,
+              end: str | None = None) -> DataFrame:
     """lineitem ⋈ orders ⋈ part as the event log (one row per line).
 
-    Join strategy is left to Catalyst/AQE: at scale lineitem ⋈ orders is a
-    shuffle join on the order key and part is broadcast only if AQE measures
-    it under the broadcast threshold.
+    ``start`` / ``end`` ('yyyy-MM-dd', inclusive) bound the event date on the
+    raw ship-date column, so the window is pushed into the lineitem scan
+    and filtered rows never reach the join.  Join strategy is left to
+    Catalyst/AQE: at scale lineitem ⋈ orders is a shuffle join on the order
+    key and part is broadcast only if AQE measures it under the threshold.
     """
     li = read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_returnflag", "l_linestatus", "l_shipdate"])
+    if start or end:
+        li = li.filter(date_window(li, "l_shipdate", start, end))
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_type"])
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)

@@ -29,14 +29,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None,
     return df
 
 
-def date_window(col: str, start: str, end: str) -> Column:
-    """Inclusive date window (both ends kept) on a date/timestamp column.
+def date_window(df: DataFrame, col: str, start: str | None, end: str | None) -> Column:
+    """Inclusive date window (both ends kept) on a raw date/timestamp column.
 
-    Bounds are compared as timestamps on the raw column so the comparison is
-    pushed into the parquet scan; the end bound is the whole last day.
+    Bounds are literals cast to the column's own type, so the comparison is
+    pushed into the parquet reader (``PushedFilters``) and prunes row
+    groups; the end bound covers the whole last day.
     """
-    c = F.col(col)
-    return (c >= F.to_timestamp(F.lit(start))) & (c < F.date_add(F.to_date(F.lit(end)), 1).cast("timestamp"))
+    import datetime as dt
+
+    typ = df.schema[col].dataType
+    cond = F.lit(True)
+    if start:
+        cond = cond & (F.col(col) >= F.lit(start).cast(typ))
+    if end:
+        nxt = (dt.date.fromisoformat(end) + dt.timedelta(days=1)).isoformat()
+        cond = cond & (F.col(col) < F.lit(nxt).cast(typ))
+    return cond
 
 
 def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite",
