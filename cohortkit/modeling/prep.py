@@ -32,8 +32,8 @@ def expanding_month_splits(df: DataFrame, month_col: str, n_splits: int) -> Data
     mi = months.withColumn("_i", F.dense_rank().over(Window.orderBy(month_col)) - 1)
     m_total = months.count()
     size = max(m_total // (n_splits + 1), 1)
-    folds = df.sparkSession.range(1, n_splits + 1).withColumnRenamed("id", "fold")
-    roles = (mi.crossJoin(F.broadcast(folds))  # months x folds: both bounded by the calendar
+    # months x folds, both bounded by the calendar: generated per month row
+    roles = (mi.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(n_splits))))
                .withColumn("role", F.when(F.col("_i") < F.col("fold") * size, "train")
                            .when(F.col("_i") < (F.col("fold") + 1) * size, "valid"))
                .filter(F.col("role").isNotNull()))
