@@ -73,3 +73,55 @@ def register(name: str, oracle: str | None = None):
         return fn
 
     return deco
+
+
+ORACLE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+                 "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def _normalize_expr(name: str, duck_type: str) -> str:
+    """DuckDB twin of ``finalize`` for one output column."""
+    q = '"' + name.replace('"', '""') + '"'
+    t = duck_type.upper()
+    if t.startswith(("DOUBLE", "FLOAT", "REAL", "DECIMAL", "NUMERIC")):
+        return f"round(CAST({q} AS DOUBLE), 6) AS {q}"
+    if t in ("TINYINT", "SMALLINT", "INTEGER", "BIGINT", "HUGEINT", "UTINYINT", "USMALLINT", "UINTEGER",
+             "UBIGINT", "BOOLEAN"):
+        return f"CAST({q} AS BIGINT) AS {q}"
+    if t == "DATE":
+        return f"strftime({q}, '%Y-%m-%d') AS {q}"
+    if t.startswith("TIMESTAMP"):
+        return f"strftime({q}, '%Y-%m-%d %H:%M:%S') AS {q}"
+    return q
+
+
+def normalized_oracle(sf_dir: str) -> dict[str, str]:
+    """Oracle SQL wrapped so its output types match ``finalize``: doubles
+    rounded to 6 places, integers as BIGINT, dates as strings.
+
+    Column types come from DuckDB ``DESCRIBE`` (planning only) on the tables
+    of ``sf_dir``; when DuckDB or the tables are unavailable the raw SQL is
+    returned.
+    """
+    import os
+
+    try:
+        import duckdb
+    except ImportError:  # pragma: no cover
+        return dict(ORACLE)
+    con = duckdb.connect()
+    for t in ORACLE_TABLES:
+        path = os.path.join(sf_dir, f"{t}.parquet")
+        if os.path.exists(path):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
+    out = {}
+    for name, sql in ORACLE.items():
+        try:
+            cols = con.execute(f"DESCRIBE {sql}").fetchall()
+        except Exception:  # noqa: BLE001 - keep the raw SQL if it cannot be described
+            out[name] = sql
+            continue
+        exprs = ", ".join(_normalize_expr(c[0], c[1]) for c in cols)
+        out[name] = f"SELECT {exprs} FROM (\n{sql}\n) AS _oracle"
+    con.close()
+    return out
