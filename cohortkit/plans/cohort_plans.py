@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from cohortkit.config import TEST_CONFIG as C
 from cohortkit.operators import cohort as co
 from cohortkit.plans.oracle_sql import EV, with_

@@ -3,8 +3,6 @@ characteristics, channel engagement, subject quantities, class breadth."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from cohortkit.config import TEST_CONFIG as C
 from cohortkit.operators import features as fe
 from cohortkit.operators import shape as sh
