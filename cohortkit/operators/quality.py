@@ -74,36 +74,47 @@ def _long_values(df: DataFrame, cols) -> DataFrame:
         [], list(cols), "column_name", "value")
 
 
+def value_counts(df: DataFrame, cols) -> DataFrame:
+    """(column_name, value, n) over all columns at once, nulls kept as a value."""
+    return _long_values(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _top_from_counts(cnt: DataFrame, k: int, salts: int) -> DataFrame:
+    order = [F.desc("n"), F.asc("value")]
+    salted = cnt.filter(F.col("value").isNotNull()).withColumn("_s", F.abs(F.xxhash64("value")) % salts)
+    part = salted.withColumn("_r", F.row_number().over(
+        Window.partitionBy("column_name", "_s").orderBy(*order))).filter(F.col("_r") <= k)
+    return (part.withColumn("rank", F.row_number().over(Window.partitionBy("column_name").orderBy(*order)))
+                .filter(F.col("rank") <= k).select("column_name", "rank", "value", "n"))
+
+
 def top_values(df: DataFrame, cols, k: int = 3, salts: int = 64) -> DataFrame:
     """K most frequent non-null values per column (ties by value), as rows.
 
     Two-level top-k: rank inside (column, hash(value) % salts) then over the
-    <= k * salts survivors per column.
+    <= k * salts survivors per column, so a high-cardinality column never
+    lands in one window partition.
     """
-    cnt = (_long_values(df, cols).filter(F.col("value").isNotNull())
-           .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
-    order = [F.desc("n"), F.asc("value")]
-    salted = cnt.withColumn("_s", F.abs(F.xxhash64("value")) % salts)
-    part = salted.withColumn("_r", F.row_number().over(
-        Window.partitionBy("column_name", "_s").orderBy(*order))).filter(F.col("_r") <= k)
-    return (part.withColumn("rank", F.row_number().over(
-        Window.partitionBy("column_name").orderBy(*order)))
-        .filter(F.col("rank") <= k).select("column_name", "rank", "value", "n"))
+    return _top_from_counts(value_counts(df, cols), k, salts)
+
 
+def table_profile(df: DataFrame, cols=None, k: int = 3, salts: int = 64) -> DataFrame:
+    """Per column null %, distinct count and the top-k values joined by ', '.
 
-def table_profile(df: DataFrame, cols=None, k: int = 3) -> DataFrame:
-    """Per column null %, distinct count and the top-k values joined by ', '."""
+    One scan: the (column, value) counts feed the totals, the null and
+    distinct counts and the top-k (the shared subtree's shuffle is reused).
+    """
     cols = list(cols or df.columns)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    stats = (_long_values(df, cols).groupBy("column_name")
-             .agg(F.sum(F.col("value").isNull().cast("long")).alias("n_null"),
-                  F.countDistinct("value").alias("n_distinct")))
-    top = (top_values(df, cols, k).groupBy("column_name")
+    cnt = value_counts(df, cols)
+    stats = cnt.groupBy("column_name").agg(
+        F.sum("n").alias("_total"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
+        F.count(F.when(F.col("value").isNotNull(), F.lit(1))).alias("n_distinct"))
+    top = (_top_from_counts(cnt, k, salts).groupBy("column_name")
            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))),
-                                         lambda s: s["value"]), ", ").alias("top_values")))
+                                         lambda x: x["value"]), ", ").alias("top_values")))
     return (stats.join(top, "column_name", "left")
-            .select("column_name",
-                    F.round(F.col("n_null") * 100.0 / total, 6).alias("null_pct"),
+            .select("column_name", F.round(F.col("n_null") * 100.0 / F.col("_total"), 6).alias("null_pct"),
                     "n_distinct", "top_values"))
 
 
