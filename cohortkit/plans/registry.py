@@ -61,6 +61,8 @@ def register(name: str, oracle: str | None = None):
 
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # dates are derived from timestamps: pin the zone whatever session runs us
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return finalize(fn(spark, sf_dir))
 
         run.__name__ = fn.__name__
