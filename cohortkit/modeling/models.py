@@ -124,3 +124,16 @@ def learning_curve(train: DataFrame, valid: DataFrame, features, fractions, labe
             acc.append(with_rates(confusion_counts(sc, 0.5, label, "score")).first()["accuracy"])
         rows.append((float(fr), acc[0], acc[1]))
     return rows
+
+
+def compare_models(train: DataFrame, test: DataFrame, features, kinds=("logistic_l1", "forest", "boosted", "mlp"),
+                   label: str = "target", weight_col: str | None = "weight", seed: int = 42):
+    """Fit each model kind on ``train``, evaluate on ``test``; yields
+    (kind, one-row metrics DataFrame).  Fits are distributed; the loop runs
+    over a handful of model kinds only."""
+    from cohortkit.modeling.metrics import classification_metrics
+
+    for kind in kinds:
+        m = fit(train, features, kind, label, weight_col=weight_col, seed=seed)
+        sc = score(m, test).select(F.col(label).alias("label"), "score")
+        yield kind, classification_metrics(sc).select(F.lit(kind).alias("model"), "*")

@@ -414,11 +414,8 @@ def q_model_comparison(spark, sf):
     train, test, feats = model_frame(spark, sf)
     wtrain = pr.with_class_weight(train, "target")
     out = None
-    for kind in ("logistic_l1", "forest", "boosted", "mlp"):
-        m = md.fit(wtrain, feats, kind, weight_col="weight", seed=SEED)
-        sc = md.score(m, test).select(F.col("target").alias("label"), "score")
-        row = mt.classification_metrics(sc).select(F.lit(kind).alias("model"), "*")
-        row = materialize(row, f"metrics-{kind}")
+    for kind, row in md.compare_models(wtrain, test, feats, seed=SEED):
+        row = materialize(row, f"metrics-{kind}")  # one row per model, written once
         out = row if out is None else out.unionByName(row)
     return out
 

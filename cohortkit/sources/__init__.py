@@ -1,4 +1,6 @@
 """Sources and sinks (parquet scans with pushed predicates, table writes)."""
 
-from cohortkit.sources.tables import read_table, write_table, read_written, describe_table  # noqa: F401
+from cohortkit.sources.tables import (  # noqa: F401
+    describe_table, read_source, read_table, read_written, write_table,
+)
 from cohortkit.sources import roles  # noqa: F401

@@ -29,6 +29,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None,
     return df
 
 
+# name used by callers of the reference's warehouse reader
+read_source = read_table
+
+
 def date_window(df: DataFrame, col: str, start: str | None, end: str | None) -> Column:
     """Inclusive date window (both ends kept) on a raw date/timestamp column.
 
