@@ -106,11 +106,13 @@ GROUP BY 1, 2, 3"""
 
 
 def _recency(spark, sf, lag, cumulative=False):
-    ev = event_log(spark, sf).select("actor_id", "subject_id", "month")
+    # pre-aggregate to (actor, month, subject) before the <= 12x fan-out
+    ev = (event_log(spark, sf).groupBy("actor_id", "month", "subject_id")
+          .agg(F.count(F.lit(1)).alias("n")))
     fan = pn.fan_out_cohorts(ev, "month", lag, C.study_start, C.study_end, C.bucket_edges, cumulative)
     return (fan.filter(F.col("bucket").isNotNull())
                .groupBy("actor_id", "cohort_month", "bucket")
-               .agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("subject_id").alias("n_subjects")))
+               .agg(F.sum("n").alias("n_events"), F.countDistinct("subject_id").alias("n_subjects")))
 
 
 @register("recency_buckets", _recency_sql(0))
