@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
+from .packing import pack_documents
+from .quality_rules import quality_rules
+from .token_store import round_trip, token_checksums
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,3 +32,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under 5-word shingle Jaccard of at least 0.75."""
     return ngram_jaccard_join(documents(spark, sf_dir)).documents
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the divergence verdict of every document."""
+    judged = quality_rules(documents(spark, sf_dir), keep=["doc_id"])
+    return judged.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("class_distance", 4).alias("class_distance"), F.round("word_distance", 4).alias("word_distance"))
+
+
+@query("op5_pattern_packing")
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces in sequences of at most 2048 tokens."""
+    return pack_documents(documents(spark, sf_dir))
+
+
+@query("op7_water_filling_mix")
+def op7_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document by the mix of all sources."""
+    mixed = mix_sources(documents(spark, sf_dir), keep=["doc_id"])
+    return mixed.select("row.doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", "times")
+
+
+@query("op9_token_store")
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written, read back and summed up."""
+    return token_checksums(round_trip(documents(spark, sf_dir)))
