@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_rules import license_scan
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
+from .order_minhash import edited_fingerprints
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .token_store import round_trip, token_checksums
@@ -60,3 +62,15 @@ def op7_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written, read back and summed up."""
     return token_checksums(round_trip(documents(spark, sf_dir)))
+
+
+@query("op10_license_rules")
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and detections of every document."""
+    return license_scan(documents(spark, sf_dir)).drop("detections")
+
+
+@query("op3_order_minhash")
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return edited_fingerprints(documents(spark, sf_dir))
