@@ -12,6 +12,7 @@ from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
 from .order_minhash import edited_fingerprints
 from .packing import pack_documents
+from .pii import KINDS, pii_spans, span_digest
 from .quality_rules import quality_rules
 from .token_store import round_trip, token_checksums
 
@@ -74,3 +75,15 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return edited_fingerprints(documents(spark, sf_dir))
+
+
+@query("op1_contextual_pii")
+def op1_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts, a checksum of the base spans and all spans."""
+    found = pii_spans(documents(spark, sf_dir), keep=["doc_id"])
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("row.doc_id", *map(count, KINDS), F.sha2(span_digest("spans", True), 256).alias("base_sha256"),
+                        span_digest("spans", False).alias("spans"))
