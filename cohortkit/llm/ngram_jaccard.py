@@ -45,6 +45,8 @@ HOT_FACTOR, HOT_LEAST = 8, 4096
 BLOCK_ENTRIES = 400_000
 #: Members of a slice of a block that is too large for one R-tree.
 SLICE = 1024
+#: Blocks of so many classes are a few leaves: searched whole, many at once, up to so many rows.
+SMALL, SMALL_ROWS = 64, 8192
 #: Best pairs tried for each two components of a block before all that survive.
 BEST = 8
 #: Class ids of sets whose documents all have a null id start here.
@@ -255,38 +257,61 @@ class RTree:
         return i[ok], j[ok]
 
 
+def _leaves(points, sizes, block, percent: int):
+    """Pairs of rows of one block, for many blocks of a few leaves each, sorted by block and size."""
+    reach, distance = np.arange(len(block)), 0
+    while True:
+        distance += 1
+        reach = reach[reach + distance < len(block)]
+        reach = reach[block[reach] == block[reach + distance]]
+        if not len(reach):
+            return
+        x, y = reach, reach + distance
+        near = 100 * sizes[x] >= percent * sizes[y]
+        for k in range(0, int(near.sum()), 4096):
+            i, j = x[near][k:k + 4096], y[near][k:k + 4096]
+            bound = np.minimum(points[i], points[j]).sum(axis=1)
+            ok = (100 + percent) * bound >= percent * (sizes[i] + sizes[j])
+            yield i[ok], j[ok], bound[ok]
+
+
 def _search(percent: int, best: int | None):
-    """Pairs of a block (or of two of its slices) that are in different components and pass the bound."""
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        sides = [frame[frame["slice"] == i], frame[frame["slice"] == j]]
-        a, b = ((np.stack(s["point"].to_numpy()).astype(np.int64), s["n"].to_numpy(), s["cid"].to_numpy(),
-                 s["label"].to_numpy()) if len(s) else None for s in sides)
-        found = []
-        if a is not None and b is not None:
-            left, right = RTree(a[0], a[1]), RTree(b[0], b[1])
-            for x, y, bound in left.pairs(right, percent):
-                ok = a[3][x] != b[3][y]
-                if i == j:
-                    ok &= a[2][x] < b[2][y]
-                x, y, bound = x[ok], y[ok], bound[ok]
-                score = bound / (a[1][x] + b[1][y] - bound)
-                found.append(pd.DataFrame({"a": a[2][x], "b": b[2][y], "la": a[3][x], "lb": b[3][y], "score": score}))
-                if best is not None and sum(map(len, found)) > 200_000:
-                    found = [_best_of(pd.concat(found), best)]
-        if not found:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        out = pd.concat(found)
-        if best is not None:
-            out = _best_of(out, best)
-        return pd.DataFrame({"a": np.minimum(out["a"], out["b"]), "b": np.maximum(out["a"], out["b"])})
+    """Surviving pairs of different components: of many small blocks, of a large one, or of two slices of one."""
+    def run(table: pa.Table) -> pa.Table:
+        block, cid, n, label, part, i, j, small = (
+            table.column(c).to_numpy() for c in ("token", "cid", "n", "label", "slice", "i", "j", "small"))
+        points = table.column("point").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+        if small[0]:
+            order = np.lexsort((n, block))
+            found = ((order[x], order[y], bound) for x, y, bound in _leaves(points[order], n[order], block[order], percent))
+        else:
+            one, two = np.flatnonzero(part == i[0]), np.flatnonzero(part == j[0])
+            found = ((one[x], two[y], bound) for x, y, bound in
+                     (RTree(points[one], n[one]).pairs(RTree(points[two], n[two]), percent) if len(one) and len(two) else ()))
+        kept, rows = [], 0
+        for x, y, bound in found:
+            ok = label[x] != label[y]
+            x, y, bound = x[ok], y[ok], bound[ok]
+            kept.append(pd.DataFrame({"a": np.minimum(cid[x], cid[y]), "b": np.maximum(cid[x], cid[y]),
+                                      "low": np.minimum(label[x], label[y]), "high": np.maximum(label[x], label[y]),
+                                      "score": bound / (n[x] + n[y] - bound)}).drop_duplicates(["a", "b"]))
+            rows += len(kept[-1])
+            if rows > 200_000:
+                kept = [_best_of(pd.concat(kept), None if small[0] else best)]
+                rows = len(kept[0]) // 2
+        if not kept:
+            kept = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})]
+        pairs = _best_of(pd.concat(kept), None if small[0] else best)
+        return pa.table({"a": pa.array(pairs["a"].to_numpy(), pa.int64()), "b": pa.array(pairs["b"].to_numpy(), pa.int64())})
     return run
 
 
-def _best_of(pairs: pd.DataFrame, best: int) -> pd.DataFrame:
-    low, high = np.minimum(pairs["la"], pairs["lb"]), np.maximum(pairs["la"], pairs["lb"])
-    ranked = pairs.assign(_l=low, _h=high).sort_values(["score", "a", "b"], ascending=[False, True, True])
-    return ranked[ranked.groupby(["_l", "_h"]).cumcount() < best].drop(columns=["_l", "_h"])
+def _best_of(pairs: pd.DataFrame, best: int | None) -> pd.DataFrame:
+    pairs = pairs.drop_duplicates(["a", "b"])
+    if best is None or pairs.empty:
+        return pairs
+    ranked = pairs.sort_values(["score", "a", "b"], ascending=[False, True, True])
+    return ranked[ranked.groupby(["low", "high"]).cumcount() < best]
 
 
 class JaccardJoin:
@@ -339,9 +364,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     points = staged(points.where("n > 0").dropDuplicates(["cid", "shingles"]), "points")
 
     links = staged(_verified(stars, points, percent), "links")
-    for best in (BEST, None):
+    for best, least in ((BEST, 2), (None, SMALL + 1)):
         labels = connected_components(links)
-        more = _residual(shared, points, labels, percent, best)
+        more = _residual(shared, points, labels, percent, best, least)
         if more is None:
             break
         links = staged(links.unionByName(_verified(more, points, percent)).dropDuplicates(["a", "b"]), "links")
@@ -390,23 +415,27 @@ def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "overlap"))
 
 
-def _residual(shared: DataFrame, points: DataFrame, labels: DataFrame, percent: int, best: int | None):
-    """Surviving pairs of different components that share a rare shingle; None when there are none to search."""
+def _residual(shared: DataFrame, points: DataFrame, labels: DataFrame, percent: int, best: int | None, least: int):
+    """Surviving pairs of different components in blocks of at least ``least`` classes; None without such a block."""
     member = shared.join(labels.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     mark = F.xxhash64("cid")
     blocks = (member.groupBy("token")
               .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"),
                    F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s"))
-              .where("low <> high")
+              .where((F.col("low") != F.col("high")) & (F.col("m") >= least))
               .groupBy("m", "x", "s").agg(F.min("token").alias("token")))  # blocks of the same classes are searched once
-    blocks = staged(blocks.select("token", F.ceil(F.col("m") / SLICE).cast("int").alias("slices")), "blocks")
+    blocks = staged(blocks.select("token", "m"), "blocks")
+    size = blocks.agg(F.sum(F.when(F.col("m") <= SMALL, F.col("m")))).first()[0] or 0
     if blocks.isEmpty():
         return None
+    small = F.col("m") <= SMALL
+    blocks = blocks.select("token", small.alias("small"),
+                           F.when(small, 1).otherwise(F.ceil(F.col("m") / SLICE)).cast("int").alias("slices"))
     spread = (member.select("token", "cid", "label").join(blocks, "token")
               .join(points.select("cid", "n", "point"), "cid")
-              .withColumn("slice", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("slices")).cast("int")))
-    partner = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    spread = (spread.withColumn("other", partner)
+              .withColumn("slice", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("slices")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
               .withColumn("i", F.least("slice", "other")).withColumn("j", F.greatest("slice", "other")))
-    found = spread.groupBy("token", "i", "j").applyInPandas(_search(percent, best), "a long, b long")
-    return found.where("a <> b").distinct()
+    heap = F.when(F.col("small"), F.pmod(F.xxhash64("token"), F.lit(max(8, size // SMALL_ROWS)))).otherwise(F.col("token"))
+    found = spread.groupBy("small", heap, "i", "j").applyInArrow(_search(percent, best), "a long, b long")
+    return found.distinct()
