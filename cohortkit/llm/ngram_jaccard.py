@@ -41,6 +41,8 @@ GROUPS = 128
 SKETCH_BITS = 18
 #: A sketch bucket counted this many times the mean (plus HOT_LEAST) is taken for a hot shingle.
 HOT_FACTOR, HOT_LEAST = 8, 4096
+#: Largest bitmap of wanted ids, and the chunks it is put together in.
+BITMAP_BITS, CHUNKS = 26, 64
 #: Entries that one block task should hold.
 BLOCK_ENTRIES = 400_000
 #: Members of a slice of a block that is too large for one R-tree.
@@ -180,6 +182,57 @@ def _shared(buckets: int):
     return run
 
 
+def _mark(bits: int):
+    """(id) -> the task's bitmap of hashed ids, in chunks."""
+    def run(batches):
+        seen = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            seen[_bit(batch.column(0).to_numpy(), bits)] = True
+        parts = np.packbits(seen).reshape(-1, bits // 8 // CHUNKS)
+        kept = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([parts[i].tobytes() for i in kept], pa.binary())],
+                                         names=["chunk", "marks"])
+    return run
+
+
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(U64)) & U64(bits - 1)).astype(np.int64)
+
+
+def _either(frame: pd.DataFrame) -> pd.DataFrame:
+    marks = np.bitwise_or.reduce([np.frombuffer(m, dtype=np.uint8) for m in frame["marks"]])
+    return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "marks": [marks.tobytes()]})
+
+
+def _maybe(marks, bits: int):
+    """(doc_id, text) -> the rows whose id is marked: all that are wanted and, by chance, a few more."""
+    def run(batches):
+        seen = np.unpackbits(marks.value).view(bool)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(seen[_bit(ids, bits)]))
+    return run
+
+
+def _only(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text) with a wanted id.
+
+    Texts are sieved by a bitmap before they are shuffled for the join.  The
+    bitmap has eight bits for each wanted id but at most 2 ** BITMAP_BITS (8 MB),
+    beyond which it only lets more texts through to the join.
+    """
+    spark = source.sparkSession
+    wanted = staged(wanted, "wanted")
+    bits = 1 << max(16, min(BITMAP_BITS, (8 * wanted.count()).bit_length()))
+    rows = (wanted.mapInArrow(_mark(bits), "chunk int, marks binary").groupBy("chunk")
+            .applyInPandas(_either, "chunk int, marks binary").collect())
+    marks = np.zeros((CHUNKS, bits // 8 // CHUNKS), dtype=np.uint8)
+    for row in rows:
+        marks[row["chunk"]] = np.frombuffer(row["marks"], dtype=np.uint8)
+    sieved = source.mapInArrow(_maybe(spark.sparkContext.broadcast(marks.ravel()), bits), source.schema)
+    return sieved.join(wanted, "doc_id", "left_semi")
+
+
 def _points(width: int):
     """(doc_id, text) -> class id, size, count vector, set."""
     def run(batches):
@@ -358,7 +411,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = (shared.join(lead.select("token", "a"), "token").where("cid <> a")
              .select("a", F.col("cid").alias("b")).distinct())
     involved = shared.select(F.col("cid").alias("doc_id")).distinct()
-    points = source.where("doc_id is not null").join(involved, "doc_id", "left_semi")
+    points = _only(source.where("doc_id is not null"), involved)
     points = points.unionByName(source.where("doc_id is null")).mapInArrow(
         _points(width), "cid long, n long, point array<int>, shingles array<long>")
     points = staged(points.where("n > 0").dropDuplicates(["cid", "shingles"]), "points")
