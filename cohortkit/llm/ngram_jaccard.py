@@ -3,8 +3,8 @@
 Two documents link when the Jaccard similarity of their shingle sets is at
 least ``percent`` / 100.  Equal sets are one class and are compared once.
 
-1. Every class is a point: its shingles are hashed into ``GROUPS`` groups and
-   counted.  The overlap of two sets is at most the sum of the coordinate-wise
+1. Every class is a point: its shingles are hashed into groups (more for larger
+   sets) and counted.  The overlap of two sets is at most the sum of the coordinate-wise
    minima of their points, and over two boxes at most the sum of the minima of
    their upper corners.
 2. An R-tree over all points prunes nothing: hashed counts of unrelated texts
@@ -25,6 +25,8 @@ least ``percent`` / 100.  Equal sets are one class and are compared once.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,10 +37,10 @@ from .components import connected_components
 from .staging import prepare, staged, text_of
 from .textwords import U64, Hasher, mix, shingle_sets
 
-#: Coordinates of a point.
-GROUPS = 128
+#: Coordinates of a point by set size (up to, number); a larger number is a multiple, so points can be folded.
+GROUPS = ((1024, 128), (8192, 512), (None, 2048))
 #: Buckets of the count sketch: fixed, so its size does not grow with the data.
-SKETCH_BITS = 18
+SKETCH_BITS, SKETCH_CHUNKS = 20, 256
 #: A sketch bucket counted this many times the mean (plus HOT_LEAST) is taken for a hot shingle.
 HOT_FACTOR, HOT_LEAST = 8, 4096
 #: Largest bitmap of wanted ids, and the chunks it is put together in.
@@ -84,20 +86,18 @@ def _profiles(width: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()),
                  pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-        parts = sketch.reshape(-1, 1024)
+        parts = sketch.reshape(SKETCH_CHUNKS, -1)
         kept = np.flatnonzero(parts.any(axis=1))
         m = len(kept)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(m, pa.int64())] * 4
-            + [pa.array(kept, pa.int32()), pa.array([parts[i].tobytes() for i in kept], pa.binary())], names=names)
+            + [pa.array(kept, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in kept], pa.binary())], names=names)
     return run
 
 
 def _sum_counts(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(1024, dtype=np.int64)
-    for counts in frame["counts"]:
-        total += np.frombuffer(counts, dtype=np.int64)
-    return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "counts": [total.tobytes()]})
+    total = np.sum([np.frombuffer(zlib.decompress(c), dtype=np.int64) for c in frame["counts"]], axis=0)
+    return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def _rarest(width: int, percent: int, order):
@@ -161,23 +161,20 @@ def _deal(buckets: int, salts: int, hot):
     return run
 
 
-def _shared(buckets: int):
-    """Of a bucket's entries those whose shingle is in two classes at least; all of a salted bucket."""
+def _shared(buckets: int, percent: int):
+    """Of a bucket's entries those whose shingle is also in a class of a size that can link; all of a salted bucket."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         token, cid, n = (np.concatenate([np.frombuffer(x, dtype=d) for x in frame[c]])
                          for c, d in (("tokens", np.int64), ("cids", np.int64), ("sizes", np.int64)))
         if frame["bucket"].iloc[0] < buckets:
-            order = np.lexsort((cid, token))
+            order = np.lexsort((cid, n, token))
             token, cid, n = token[order], cid[order], n[order]
-            if len(token) > 1:
-                new_token = np.r_[True, token[1:] != token[:-1]]
-                keep = new_token | np.r_[True, cid[1:] != cid[:-1]]
-                token, cid, n, new_token = token[keep], cid[keep], n[keep], new_token[keep]
-            else:
-                new_token = np.ones(len(token), dtype=bool)
-            first = np.flatnonzero(new_token)
-            several = np.repeat(np.diff(np.r_[first, len(token)]) > 1, np.diff(np.r_[first, len(token)]))
-            token, cid, n = token[several], cid[several], n[several]
+            new = np.r_[True, (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])]
+            token, cid, n = token[new], cid[new], n[new]
+            # sorted by size, a class has a partner exactly when one of its neighbours is one
+            close = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            kept = np.r_[close, False] | np.r_[False, close]
+            token, cid, n = token[kept], cid[kept], n[kept]
         return pd.DataFrame({"token": token, "cid": cid, "n": n})
     return run
 
@@ -209,19 +206,18 @@ def _maybe(marks, bits: int):
     def run(batches):
         seen = np.unpackbits(marks.value).view(bool)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(seen[_bit(ids, bits)]))
+            ids = batch.column(0)
+            marked = seen[_bit(ids.fill_null(0).to_numpy(), bits)] | ids.is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(marked))
     return run
 
 
-def _only(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of (doc_id, text) with a wanted id.
+def _sieved(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text) with a wanted id, and by chance a few more; texts are not shuffled for it.
 
-    Texts are sieved by a bitmap before they are shuffled for the join.  The
-    bitmap has eight bits for each wanted id but at most 2 ** BITMAP_BITS (8 MB),
-    beyond which it only lets more texts through to the join.
+    The bitmap has eight bits for each wanted id but at most 2 ** BITMAP_BITS
+    (8 MB), beyond which it only lets more texts through.  Null ids pass.
     """
-    spark = source.sparkSession
     wanted = staged(wanted, "wanted")
     bits = 1 << max(16, min(BITMAP_BITS, (8 * wanted.count()).bit_length()))
     rows = (wanted.mapInArrow(_mark(bits), "chunk int, marks binary").groupBy("chunk")
@@ -229,32 +225,61 @@ def _only(source: DataFrame, wanted: DataFrame) -> DataFrame:
     marks = np.zeros((CHUNKS, bits // 8 // CHUNKS), dtype=np.uint8)
     for row in rows:
         marks[row["chunk"]] = np.frombuffer(row["marks"], dtype=np.uint8)
-    sieved = source.mapInArrow(_maybe(spark.sparkContext.broadcast(marks.ravel()), bits), source.schema)
-    return sieved.join(wanted, "doc_id", "left_semi")
+    return source.mapInArrow(_maybe(source.sparkSession.sparkContext.broadcast(marks.ravel()), bits), source.schema)
 
 
-def _points(width: int):
-    """(doc_id, text) -> class id, size, count vector, set."""
+def _members(width: int, with_sets: bool):
+    """(doc_id, text) -> class id, size and count vector, or set."""
     def run(batches):
         hasher = Hasher()
         for batch in batches:
-            ids, sizes, vectors, sets = [], [], [], []
+            ids, sizes, points, sets = [], [], [], []
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width, hasher)):
-                ids.append(doc_id if doc_id is not None else _unnamed(_set_key(s)[0]))
-                sizes.append(len(s))
-                vectors.append(np.bincount((s % U64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32))
-                sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(vectors, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int64()))],
-                names=["cid", "n", "point", "shingles"])
+                if len(s):
+                    ids.append(doc_id if doc_id is not None else _unnamed(_set_key(s)[0]))
+                    sizes.append(len(s))
+                    if with_sets:
+                        sets.append(s.view(np.int64))
+                    else:
+                        groups = _groups(len(s))
+                        points.append(np.bincount((s % U64(groups)).astype(np.int64), minlength=groups).astype("<i4").tobytes())
+            last = pa.array(sets, pa.list_(pa.int64())) if with_sets else pa.array(points, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), last],
+                                             names=["cid", "n", "shingles" if with_sets else "point"])
     return run
 
 
+def _groups(n: int) -> int:
+    return next(g for most, g in GROUPS if most is None or n <= most)
+
+
 def _unnamed(k1: int) -> int:
     return NO_ID | (k1 & (NO_ID - 1))
 
 
+def _folded(points: list, groups: int) -> np.ndarray:
+    """Points of ``groups`` coordinates or more as a matrix of ``groups`` columns."""
+    out = np.empty((len(points), groups), dtype=np.int64)
+    for k, p in enumerate(points):
+        out[k] = np.frombuffer(p, dtype="<i4").reshape(-1, groups).sum(axis=0)
+    return out
+
+
+def _passing(percent: int):
+    """Pairs with sizes and points of both -> the pairs whose bound reaches the needed overlap."""
+    def run(batches):
+        for batch in batches:
+            a, b, n_a, n_b, point_a, point_b = (batch.column(c) for c in range(6))
+            sizes = zip(n_a.to_pylist(), n_b.to_pylist(), point_a, point_b)
+            ok = []
+            for x, y, p, q in sizes:
+                groups = _groups(min(x, y))
+                bound = int(np.minimum(*_folded([p.as_buffer(), q.as_buffer()], groups)).sum())
+                ok.append((100 + percent) * bound >= percent * (x + y))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    return run
+
+
 class RTree:
     """Points packed into boxes by size and then by their most spread coordinates, level by level."""
 
@@ -333,16 +358,31 @@ def _search(percent: int, best: int | None):
     def run(table: pa.Table) -> pa.Table:
         block, cid, n, label, part, i, j, small = (
             table.column(c).to_numpy() for c in ("token", "cid", "n", "label", "slice", "i", "j", "small"))
-        points = table.column("point").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
-        if small[0]:
-            order = np.lexsort((n, block))
-            found = ((order[x], order[y], bound) for x, y, bound in _leaves(points[order], n[order], block[order], percent))
-        else:
-            one, two = np.flatnonzero(part == i[0]), np.flatnonzero(part == j[0])
-            found = ((one[x], two[y], bound) for x, y, bound in
-                     (RTree(points[one], n[one]).pairs(RTree(points[two], n[two]), percent) if len(one) and len(two) else ()))
+        raw = table.column("point").to_pylist()
+        level = np.array([_groups(x) for x in n])
+
+        def candidates():
+            # pairs of the points' own coordinates, or folded to those of the smaller of two sizes
+            for groups in np.unique(level):
+                rows = np.flatnonzero(level >= groups)
+                points = _folded([raw[k] for k in rows], groups)
+                if small[0]:
+                    order = np.lexsort((n[rows], block[rows]))
+                    found = _leaves(points[order], n[rows][order], block[rows][order], percent)
+                    one = two = rows[order]
+                else:
+                    at_i, at_j = np.flatnonzero(part[rows] == i[0]), np.flatnonzero(part[rows] == j[0])
+                    if not len(at_i) or not len(at_j):
+                        continue
+                    found = RTree(points[at_i], n[rows][at_i]).pairs(RTree(points[at_j], n[rows][at_j]), percent)
+                    one, two = rows[at_i], rows[at_j]
+                for x, y, bound in found:
+                    x, y = one[x], two[y]
+                    own = np.minimum(level[x], level[y]) == groups
+                    yield x[own], y[own], bound[own]
+
         kept, rows = [], 0
-        for x, y, bound in found:
+        for x, y, bound in candidates():
             ok = label[x] != label[y]
             x, y, bound = x[ok], y[ok], bound[ok]
             kept.append(pd.DataFrame({"a": np.minimum(cid[x], cid[y]), "b": np.maximum(cid[x], cid[y]),
@@ -405,24 +445,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                .select(F.coalesce("doc_id", unnamed).alias("cid"), "n", "rare"))
     buckets, salts = max(16, entries // BLOCK_ENTRIES), max(1, hot_entries // BLOCK_ENTRIES)
     dealt = classes.mapInArrow(_deal(buckets, salts, hot), "bucket long, tokens binary, cids binary, sizes binary")
-    shared = staged(dealt.groupBy("bucket").applyInPandas(_shared(buckets), "token long, cid long, n long"), "shared")
+    shared = staged(dealt.groupBy("bucket").applyInPandas(_shared(buckets, percent), "token long, cid long, n long"), "shared")
 
     lead = shared.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a <> z")
     stars = (shared.join(lead.select("token", "a"), "token").where("cid <> a")
              .select("a", F.col("cid").alias("b")).distinct())
-    involved = shared.select(F.col("cid").alias("doc_id")).distinct()
-    points = _only(source.where("doc_id is not null"), involved)
-    points = points.unionByName(source.where("doc_id is null")).mapInArrow(
-        _points(width), "cid long, n long, point array<int>, shingles array<long>")
-    points = staged(points.where("n > 0").dropDuplicates(["cid", "shingles"]), "points")
+    points = _sieved(source, shared.select(F.col("cid").alias("doc_id")).distinct()).mapInArrow(
+        _members(width, False), "cid long, n long, point binary")
+    points = staged(points.dropDuplicates(["cid"]), "points")
 
-    links = staged(_verified(stars, points, percent), "links")
+    links = staged(_verified(stars, points, source, width, percent), "links")
     for best, least in ((BEST, 2), (None, SMALL + 1)):
         labels = connected_components(links)
         more = _residual(shared, points, labels, percent, best, least)
         if more is None:
             break
-        links = staged(links.unionByName(_verified(more, points, percent)).dropDuplicates(["a", "b"]), "links")
+        links = staged(links.unionByName(_verified(more, points, source, width, percent)).dropDuplicates(["a", "b"]), "links")
     else:
         labels = connected_components(links)
 
@@ -441,9 +479,9 @@ def _order(profile: DataFrame, percent: int):
     spark = profile.sparkSession
     rows = (profile.where("chunk is not null").groupBy("chunk")
             .applyInPandas(_sum_counts, "chunk int, counts binary").collect())
-    counts = np.zeros((1 << SKETCH_BITS) // 1024 * 1024, dtype=np.int64).reshape(-1, 1024)
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64).reshape(SKETCH_CHUNKS, -1)
     for row in rows:
-        counts[row["chunk"]] = np.frombuffer(row["counts"], dtype=np.int64)
+        counts[row["chunk"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
     counts = counts.ravel()
     hot = counts > HOT_FACTOR * counts.mean() + HOT_LEAST
     share = (100 - percent) / 100
@@ -452,20 +490,23 @@ def _order(profile: DataFrame, percent: int):
     return context.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32)), context.broadcast(hot), total, hot_total
 
 
-def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, points: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs those whose bound, and then whose sets, reach the similarity."""
-    def side(name: str, *columns: str) -> DataFrame:
-        return points.select(F.col("cid").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
-
-    bound = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    passed = (pairs.join(side("a", "n", "point"), "a").join(side("b", "n", "point"), "b")
-              .where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
-              .where((100 + percent) * bound >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct())
+    def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+        return table.select(F.col("cid").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    close = (pairs.join(side(points, "a", "n", "point"), "a").join(side(points, "b", "n", "point"), "b")
+             .where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))))
+    passed = staged(close.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(
+        _passing(percent), "a long, b long"), "passed")
+    ends = passed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = _sieved(source, ends).mapInArrow(_members(width, True), "cid long, n long, shingles array<long>")
+    sets = staged(sets, "sets")
     overlap = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return (passed.join(side("a", "n", "shingles"), "a").join(side("b", "n", "shingles"), "b")
+    return (passed.join(side(sets, "a", "n", "shingles"), "a").join(side(sets, "b", "n", "shingles"), "b")
             .select("a", "b", "n_a", "n_b", overlap.cast("long").alias("overlap"))
             .where((100 + percent) * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b")))
-            .select("a", "b", "overlap"))
+            .select("a", "b", "overlap").dropDuplicates(["a", "b"]))
 
 
 def _residual(shared: DataFrame, points: DataFrame, labels: DataFrame, percent: int, best: int | None, least: int):
