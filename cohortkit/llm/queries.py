@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_repair import repair_roles
 from .license_rules import license_scan
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
@@ -15,6 +16,7 @@ from .packing import pack_documents
 from .pii import KINDS, pii_spans, span_digest
 from .quality_rules import quality_rules
 from .token_store import round_trip, token_checksums
+from .toxicity import score_documents, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,3 +89,24 @@ def op1_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select("row.doc_id", *map(count, KINDS), F.sha2(span_digest("spans", True), 256).alias("base_sha256"),
                         span_digest("spans", False).alias("spans"))
+
+
+@query("op2_ordinal_toxicity")
+def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document.
+
+    Grades of the labelled documents: 0 not toxic, 1 toxic, 2 toxic and of low quality.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
+    docs = documents(spark, sf_dir)
+    model = train(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")), n_grades=3)
+    scored = score_documents(docs, model)
+    return scored.select("doc_id", "grade", F.round("expected_severity", 6).alias("expected_severity"),
+                         F.round("p_toxic", 6).alias("p_toxic"), (F.col("grade") > 0).alias("toxic"))
+
+
+@query("op4_chat_repair")
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation in legal roles, rendered turn by turn."""
+    return repair_roles(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
