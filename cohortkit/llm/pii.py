@@ -4,7 +4,9 @@ Seeds are the valid matches of fixed patterns (email, ip, card, phone).  The
 words beside their occurrences are lexical patterns.  Patterns and candidate
 tokens (those with a digit or an at sign that no seed covers) form a graph: a
 pattern's confidence is the share of all occurrences of its word in the corpus
-that stand beside an identifier of its kind; a candidate's is the noisy-or of
+that stand beside an identifier of its kind, each counted by its own
+confidence (1 for seeds), so that errors do not feed on themselves; a
+candidate's is the noisy-or of
 the confident patterns around any of its occurrences.  Candidates above the
 limit become identifiers and induce patterns in the next round.
 
@@ -137,22 +139,23 @@ def _bootstrap(docs: DataFrame, occurrences: DataFrame, text_col: str) -> DataFr
     near_candidate = near_candidate.join(totals.select("word"), "word", "left_semi")
     near_candidate = staged(near_candidate.groupBy("value", "side", "word").agg(F.count("*").alias("n")), "pii-graph")
     known = near_base.groupBy("kind", "value", "side", "word").agg(F.count("*").alias("n"))
-    found = docs.sparkSession.createDataFrame([], "value string, kind string")
+    known = known.withColumn("score", F.lit(1.0))
+    found = docs.sparkSession.createDataFrame([], "value string, kind string, score double")
     for _ in range(ROUNDS):
-        labelled = known.unionByName(near_candidate.join(found, "value").select("kind", "value", "side", "word", "n"))
-        patterns = (labelled.groupBy("kind", "side", "word").agg(F.sum("n").alias("n"), F.count("*").alias("support"))
+        labelled = known.unionByName(near_candidate.join(found, "value").select("kind", "value", "side", "word", "n", "score"))
+        patterns = (labelled.groupBy("kind", "side", "word").agg(F.sum(F.col("n") * F.col("score")).alias("n"), F.count("*").alias("support"))
                     .where(F.col("support") >= MIN_SUPPORT).join(totals, "word")
                     .withColumn("confidence", F.col("n") / F.col("total")).where(F.col("confidence") >= MIN_CONFIDENCE))
         fits = F.when(F.col("kind") == "email", F.col("value").contains("@")).otherwise(~F.col("value").contains("@"))
         miss = F.product(1 - F.least("confidence", F.lit(0.99)))
         scored = (near_candidate.join(patterns.select("kind", "side", "word", "confidence"), ["side", "word"]).where(fits)
                   .groupBy("value", "kind").agg((1 - miss).alias("score")).where(F.col("score") >= MIN_SCORE))
-        best = scored.groupBy("value").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind"))
+        best = scored.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("m")).select("value", "m.kind", "m.score")
         before = found
         found = staged(best.join(before.select("value"), "value", "left_anti").unionByName(before), "pii-found")
         if found.join(before.select("value"), "value", "left_anti").isEmpty():
             break
-    return found
+    return found.select("value", "kind")
 
 
 def pii_spans(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
