@@ -1,14 +1,73 @@
-"""A corpus pipeline of the operators in ``cohortkit.llm``, stage by stage."""
+"""A corpus pipeline of the operators in ``cohortkit.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+it as Parquet to the shared folder and reads it again as the next stage's
+documents.  All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortkit.llm.mixing import mix_sources
+from cohortkit.llm.ngram_jaccard import ngram_jaccard_join
+from cohortkit.llm.packing import pack_documents
+from cohortkit.llm.pii import redact
+from cohortkit.llm.quality_rules import quality_rules
+from cohortkit.llm.staging import staged
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules(docs).where("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates; of repeated rows one.
+
+    Documents without an id have no representative to be and stay.
+    """
+    groups = ngram_jaccard_join(docs).documents
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind and n_chars to match."""
+    clean = redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mix_sources(docs).where("times > 0")
+    return taken.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("col")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces in sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("personal data", personal_data),
+    ("source mixing", mixture),
+    ("best-fit packing", packing),
+]
+
+#: Tokenizing has no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
