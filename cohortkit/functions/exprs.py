@@ -63,3 +63,11 @@ def row_total(cols) -> Column:
 def r6(c) -> Column:
     """Round a double to 6 places (stable comparison across engines)."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def listed_class(column: str, classes):
+    """The class, null as UNKNOWN; a class that is not in ``classes`` is OTHER where that is listed, else it fails the job."""
+    cls = F.coalesce(F.col(column), F.lit("UNKNOWN"))
+    beyond = F.lit("OTHER") if "OTHER" in classes else F.when(
+        cls != "UNKNOWN", F.raise_error(F.concat(F.lit("class not listed: "), cls)).cast("string"))
+    return F.when(cls.isin(*classes), cls).otherwise(beyond)

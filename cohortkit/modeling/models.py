@@ -108,15 +108,20 @@ def recursive_elimination(train: DataFrame, features, label: str = "target", kee
     return feats
 
 
+def fraction_by_key(df: DataFrame, fraction: float, keys, seed: int) -> DataFrame:
+    """The rows whose hashed key falls into the first ``fraction`` of the hash range."""
+    place = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000))
+    return df if fraction >= 1 else df.filter(place < int(fraction * 1_000_000))
+
+
 def learning_curve(train: DataFrame, valid: DataFrame, features, fractions, label: str = "target",
-                   seed: int = 42, kind: str = "logistic_l2", **kw):
+                   seed: int = 42, kind: str = "logistic_l2", keys=("actor_id", "cohort_month"), **kw):
     """Train / validation accuracy at growing training fractions (table rows)."""
     from cohortkit.modeling.metrics import confusion_counts, with_rates
 
     rows = []
     for fr in fractions:
-        sub = train.filter(F.xxhash64(*[F.col(c) for c in train.columns], F.lit(seed)) % 1000 < int(fr * 1000)) \
-            if fr < 1 else train
+        sub = fraction_by_key(train, fr, keys, seed)
         m = fit(sub, features, kind, label, seed=seed, **kw)
         acc = []
         for part in (sub, valid):

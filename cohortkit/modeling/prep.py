@@ -24,18 +24,22 @@ def with_split(df: DataFrame, month_col: str, train_end: str) -> DataFrame:
 def expanding_month_splits(df: DataFrame, month_col: str, n_splits: int) -> DataFrame:
     """Expanding time-ordered folds over distinct months.
 
-    Months are numbered 0..M-1; fold k (1..n) validates on block k of
-    size M // (n + 1) and trains on every earlier month.  Returns per fold the
-    row counts and month ranges.  The month list is bounded by the calendar.
+    Months are numbered 0..M-1 and size = M // (n + 1).  The n validation
+    blocks are the last n * size months, the remainder belongs to the first
+    training block; fold k (1..n) validates on block k and trains on every
+    earlier month, so each month is in some fold.  Returns per fold the row
+    counts and month ranges.  The month list is bounded by the calendar.
     """
     months = df.select(month_col).distinct()
-    mi = months.withColumn("_i", F.dense_rank().over(Window.orderBy(month_col)) - 1)
-    m_total = months.count()
-    size = max(m_total // (n_splits + 1), 1)
+    everything = Window.partitionBy()
+    mi = (months.withColumn("_i", F.dense_rank().over(Window.orderBy(month_col)) - 1)
+                .withColumn("_m", F.count(F.lit(1)).over(everything)))
+    size = F.greatest(F.floor(F.col("_m") / (n_splits + 1)), F.lit(1))
+    start = F.col("_m") - n_splits * size
     # months x folds, both bounded by the calendar: generated per month row
     roles = (mi.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(n_splits))))
-               .withColumn("role", F.when(F.col("_i") < F.col("fold") * size, "train")
-                           .when(F.col("_i") < (F.col("fold") + 1) * size, "valid"))
+               .withColumn("role", F.when(F.col("_i") < start + (F.col("fold") - 1) * size, "train")
+                           .when(F.col("_i") < start + F.col("fold") * size, "valid"))
                .filter(F.col("role").isNotNull()))
     per_month = df.groupBy(month_col).agg(F.count(F.lit(1)).alias("_n"))
     j = roles.join(per_month, month_col)
@@ -81,11 +85,12 @@ def take_first_by_hash(df: DataFrame, n, key_cols, seed: int) -> DataFrame:
     cum = sizes.withColumn("_before", F.coalesce(F.sum("_bn").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n_col = n if not isinstance(n, int) else F.lit(n)
-    tagged = h.join(cum.select("_b", "_before"), "_b")
-    full = tagged.filter(F.col("_before") + 0 < n_col)
+    tagged = h.join(cum.select("_b", "_bn", "_before"), "_b").filter(F.col("_before") < n_col)
+    whole = tagged.filter(F.col("_before") + F.col("_bn") <= n_col)
     w = Window.partitionBy("_b").orderBy("_h", *key_cols)
-    ranked = full.withColumn("_r", F.col("_before") + F.row_number().over(w))
-    return ranked.filter(F.col("_r") <= n_col).drop("_h", "_b", "_before", "_r")
+    ranked = (tagged.filter(F.col("_before") + F.col("_bn") > n_col)
+              .withColumn("_r", F.col("_before") + F.row_number().over(w)).filter(F.col("_r") <= n_col).drop("_r"))
+    return whole.unionByName(ranked).drop("_h", "_b", "_bn", "_before")
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -122,9 +127,9 @@ def oversample(df: DataFrame, label: str, key_cols, seed: int) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """M5: balanced weights n / (n_classes * n_class)."""
+    everything = Window.partitionBy()  # over one row per class
+    total, k = F.sum("n").over(everything), F.count(F.lit(1)).over(everything)
     cnt = class_counts(df, label)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    k = cnt.agg(F.count(F.lit(1))).scalar()
     return cnt.select(label, "n", (total / (k * F.col("n"))).alias("weight"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.functions.dates import month_from_index, month_index_of_str
-from cohortkit.functions.exprs import any_true, recode_use
+from cohortkit.functions.exprs import any_true, listed_class, recode_use
 from cohortkit.operators.panel import densify_ids, fan_out_cohorts
 from cohortkit.operators.shape import col_name
 
@@ -66,6 +66,10 @@ def share_by_product_use(events: DataFrame, named, groups, cohort_lo: str, cohor
                .withColumn("share", F.col("n_subjects") / F.col("row_total")))
 
 
+#: Product x use codes in one long bit mask.
+MASK_BITS = 62
+
+
 def share_wide(events: DataFrame, named, groups, cohort_lo: str, cohort_hi: str, lag: int = 2,
                edges=(1, 3, 6, 9, 12)) -> DataFrame:
     """D27 (wide): SHARE_<product_use>_<bucket>, dense over actors x cohort months, 0-filled.
@@ -78,24 +82,26 @@ def share_wide(events: DataFrame, named, groups, cohort_lo: str, cohort_hi: str,
     bit per (bucket, product_use) and counts subjects per bucket.
     """
     values = product_use_values(named, groups)
-    if len(values) > 62:
-        raise ValueError("share_wide supports at most 62 product_use codes")
-    idx = {v: i for i, v in enumerate(values)}
     rows = product_use_rows(events, named, groups)
-    bit = None
-    for v, i in idx.items():
-        c = F.col("product_use") == F.lit(v)
-        bit = F.when(c, F.lit(1 << i)) if bit is None else bit.when(c, F.lit(1 << i))
-    masks = rows.groupBy("actor_id", "month", "subject_id").agg(F.bit_or(bit.cast("long")).alias("mask"))
-    fan = fan_out_cohorts(masks, "month", lag, cohort_lo, cohort_hi, edges).filter(F.col("bucket").isNotNull())
-    per = fan.groupBy("actor_id", "cohort_month", "bucket", "subject_id").agg(F.bit_or("mask").alias("mask"))
+    words = [values[k:k + MASK_BITS] for k in range(0, len(values), MASK_BITS)]  # as many masks as the codes need
+    masks = []
+    for k, word in enumerate(words):
+        bit = F.lit(0)
+        for i, v in enumerate(word):
+            bit = F.when(F.col("product_use") == F.lit(v), F.lit(1 << i)).otherwise(bit)
+        masks.append(F.bit_or(bit.cast("long")).alias(f"mask_{k}"))
+    names = [f"mask_{k}" for k in range(len(words))]
+    per_month = rows.groupBy("actor_id", "month", "subject_id").agg(*masks)
+    fan = fan_out_cohorts(per_month, "month", lag, cohort_lo, cohort_hi, edges).filter(F.col("bucket").isNotNull())
+    per = fan.groupBy("actor_id", "cohort_month", "bucket", "subject_id").agg(*[F.bit_or(m).alias(m) for m in names])
+    idx = {v: i for i, v in enumerate(values)}
     aggs = []
     for e in edges:
         b = f"LAST_{e}M"
         in_b = F.col("bucket") == F.lit(b)
         aggs.append(F.sum(in_b.cast("long")).alias(f"_den_{b}"))
-        for v, i in idx.items():
-            has = F.shiftright(F.col("mask"), i).bitwiseAND(F.lit(1))
+        for i in idx.values():
+            has = F.shiftright(F.col(names[i // MASK_BITS]), i % MASK_BITS).bitwiseAND(F.lit(1))
             aggs.append(F.sum(F.when(in_b, has).otherwise(F.lit(0))).alias(f"_num_{i}_{b}"))
     wide = per.groupBy("actor_id", "cohort_month").agg(*aggs)
     share_cols = []
@@ -253,7 +259,8 @@ def channel_engagement(channel: DataFrame, known_actors: DataFrame, channel_map:
     Actor-cohort keys with no event in the window are absent."""
     from cohortkit.functions.dates import month_str, parse_date
 
-    valid = channel.filter(F.col("actor_key").isNotNull() & (F.col("actor_key") != "-1"))
+    valid = channel.filter(F.col("actor_key").isNotNull() & (F.col("actor_key") != "-1")
+                           & F.col("channel").isin(*channel_map))
     known = valid.join(known_actors.select(F.col("actor_id").cast("string").alias("actor_key")).distinct(),
                        "actor_key", "left_semi")
     recode = None
@@ -290,7 +297,7 @@ def class_breadth_lookback(events: DataFrame, classes, cohort_lo: str, cohort_hi
                            lag: int = 0, horizon: int = 12) -> DataFrame:
     """Per class, the sum of monthly distinct products over the months with
     gap in (0, horizon] before the cohort month; wide, dense, 0-filled."""
-    cls = F.coalesce(F.col("product_group"), F.lit("UNKNOWN"))
+    cls = listed_class("product_group", classes)
     item = F.coalesce(F.col("product"), F.lit("UNKNOWN"))
     monthly = (events.select("actor_id", "month", cls.alias("cls"), item.alias("item"))
                      .groupBy("actor_id", "month", "cls").agg(F.countDistinct("item").alias("n_items")))

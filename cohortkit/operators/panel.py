@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortkit.functions.dates import month_from_index, month_index, month_index_of_str
+from cohortkit.functions.exprs import listed_class
 
 
 def densify_ids(ids: DataFrame, id_cols, period_name: str, lo, hi, step: str | None = None) -> DataFrame:
@@ -144,10 +145,10 @@ def class_breadth_monthly(events: DataFrame, classes, class_col: str = "product_
                           item_col: str = "product", id_col: str = "actor_id") -> DataFrame:
     """D48 step 1: distinct items per class per (id, month), wide with explicit classes.
 
-    Nulls in class/item become 'UNKNOWN'.  Conditional distinct counts give
+    Nulls in class/item become 'UNKNOWN', unlisted classes 'OTHER'.  Conditional distinct counts give
     the pivot in one aggregate (no value-discovery job).
     """
-    cls = F.coalesce(F.col(class_col), F.lit("UNKNOWN"))
+    cls = listed_class(class_col, classes)
     item = F.coalesce(F.col(item_col), F.lit("UNKNOWN"))
     return (events.groupBy(id_col, "month")
                   .agg(*[F.countDistinct(F.when(cls == c, item)).alias(f"n_{_safe(c)}") for c in classes]))

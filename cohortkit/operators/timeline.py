@@ -37,13 +37,25 @@ def market_overview(weekly: DataFrame, products) -> DataFrame:
     return m.groupBy("month").agg(*aggs)
 
 
+OTHER_LABEL = "QTY_OTHER"
+
+
+def quantity_label(product, use) -> str:
+    return f"QTY_{product}_USE_{use}"
+
+
 def weekly_wide(weekly: DataFrame, labels) -> DataFrame:
-    """Subject x week, one column per PRD_<product>_PRPHY_<use>, 0-filled."""
-    k = F.concat(F.lit("PRD_"), F.col("product"), F.lit("_PRPHY_"), F.col("use"))
-    w = weekly.withColumn("_k", k)
+    """Subject x week, one quantity column per label, 0-filled.
+
+    Quantities whose label is not listed go to ``OTHER_LABEL``, so that the
+    columns always add up to the subject's total.
+    """
+    k = F.concat(F.lit("QTY_"), F.col("product"), F.lit("_USE_"), F.col("use"))
+    named = [v for v in labels if v != OTHER_LABEL]
+    w = weekly.withColumn("_k", F.when(k.isin(named), k).otherwise(F.lit(OTHER_LABEL)))
     return w.groupBy("subject_id", "week").agg(
         *[F.coalesce(F.sum(F.when(F.col("_k") == F.lit(v), F.col("quantity"))), F.lit(0.0)).alias(col_name(v))
-          for v in labels])
+          for v in (*named, OTHER_LABEL)])
 
 
 def active_weeks(weekly: DataFrame) -> DataFrame:

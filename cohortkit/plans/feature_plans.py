@@ -8,14 +8,13 @@ from cohortkit.operators import features as fe
 from cohortkit.operators import shape as sh
 from cohortkit.operators.panel import class_breadth_trailing
 from cohortkit.operators.shape import col_name
-from cohortkit.plans.oracle_sql import AFFL, EV, PROFILE, with_
+from cohortkit.plans.oracle_sql import AFFL, CLASS_SQL, CLASSES, EV, PROFILE, with_
 from cohortkit.plans.registry import register
 from cohortkit.sources.roles import actor_profile, affiliations, channel_log, event_log
 
 T = C.target_product
 NAMED, GROUPS = C.named_products, C.product_groups
 EDGES = C.bucket_edges
-CLASSES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 # specialty rule parameters on the test tables (codes of the profile role)
 SPEC_CODES = {"MACHINERY": "SPEC_MACHINERY", "HOUSEHOLD": "SPEC_HOUSEHOLD", "ASIA": "SPEC_ASIA",
               "1-URGENT": "SPEC_URGENT"}
@@ -356,7 +355,7 @@ def q_subject_quantity_wide(spark, sf):
 
 
 BREADTH_SQL = """
-mon AS (SELECT actor_id, month, coalesce(product_group, 'UNKNOWN') AS cls,
+mon AS (SELECT actor_id, month, """ + CLASS_SQL + """ AS cls,
                count(DISTINCT coalesce(product, 'UNKNOWN')) AS n_items FROM ev GROUP BY 1, 2, 3),
 """ + _fan_sql("bf", "mon", "actor_id, cls, n_items", 0, C.study_start, C.study_end).strip() + """,
 bw AS (SELECT actor_id, ci, """ + ", ".join(

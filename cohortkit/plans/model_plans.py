@@ -27,7 +27,7 @@ from cohortkit.sources.roles import event_log
 KEYS = ["actor_id", "cohort_month"]
 BREADTH = [f"N_{c}_12M" for c in fp.CLASSES]
 # Fixed coefficients for the attribution queries (so SQL can check them).
-FIXED_COEFS = dict(zip(BREADTH, (0.5, -0.25, 0.1, -0.4, 0.3, 0.05)))
+FIXED_COEFS = dict(zip(BREADTH, (0.5, -0.25, 0.1, -0.4, 0.3, 0.05, 0.2, -0.15)))
 FIXED_THRESHOLDS = (0.95, 0.72, 0.75, 0.23, 0.215)
 SEED = C.seed
 
@@ -300,10 +300,11 @@ def q_top_reasons(spark, sf):
 
 @register("temporal_cv_splits", with_(EV, spine_cte()) + """
 , mo AS (SELECT cohort_month, dense_rank() OVER (ORDER BY cohort_month) - 1 AS i FROM (SELECT DISTINCT cohort_month FROM spine) x),
-sz AS (SELECT greatest(count(*) // 8, 1) AS size FROM mo),
+sz AS (SELECT count(*) AS m, greatest(count(*) // 8, 1) AS size FROM mo),
 fo AS (SELECT unnest(generate_series(1, 7)) AS fold),
 ro AS (SELECT fo.fold, mo.cohort_month,
-              CASE WHEN mo.i < fo.fold * sz.size THEN 'train' WHEN mo.i < (fo.fold + 1) * sz.size THEN 'valid' END AS role
+              CASE WHEN mo.i < sz.m - (8 - fo.fold) * sz.size THEN 'train'
+                   WHEN mo.i < sz.m - (7 - fo.fold) * sz.size THEN 'valid' END AS role
        FROM mo, fo, sz),
 pm AS (SELECT cohort_month, count(*) AS n FROM spine GROUP BY cohort_month)
 SELECT ro.fold, CAST(sum(CASE WHEN role = 'train' THEN n END) AS BIGINT) AS n_train,
@@ -404,7 +405,7 @@ def q_permutation_importance(spark, sf):
 def q_learning_curve(spark, sf):
     """Train / validation accuracy at growing training fractions."""
     train, test, feats = model_frame(spark, sf)
-    rows = md.learning_curve(train, test, feats, (0.25, 0.5, 1.0), "target", SEED, max_iter=100)
+    rows = md.learning_curve(train, test, feats, (0.25, 0.5, 1.0), "target", SEED, keys=KEYS, max_iter=100)
     return spark.createDataFrame(rows, "fraction double, train_accuracy double, valid_accuracy double")
 
 

@@ -57,5 +57,11 @@ profile AS (
 )"""
 
 
+# The product classes of the test tables; null classes are UNKNOWN, unlisted ones OTHER.
+CLASSES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "UNKNOWN", "OTHER")
+CLASS_SQL = (f"(CASE WHEN coalesce(product_group, 'UNKNOWN') IN {CLASSES[:-1]} "
+             "THEN coalesce(product_group, 'UNKNOWN') ELSE 'OTHER' END)")
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes)

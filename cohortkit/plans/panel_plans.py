@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 from cohortkit.config import TEST_CONFIG as C
 from cohortkit.functions.dates import week_start
 from cohortkit.operators import panel as pn
-from cohortkit.plans.oracle_sql import ACT, EV, with_
+from cohortkit.plans.oracle_sql import ACT, CLASS_SQL, CLASSES, EV, with_
 from cohortkit.plans.registry import register
 from cohortkit.sources.roles import activity_log, event_log
 
 T = C.target_product
-ACT_LO, ACT_HI = "2024-01-01", "2024-01-30"   # activity log window (one month of days)
-CLASSES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 FLAGS_SQL = {"use": "use_flag = '1'", "open": "source = 'O'"}
 
 
@@ -39,47 +37,69 @@ def q_activity_counts(spark, sf):
         F.count(F.lit(1)).alias("n_activities"))
 
 
-DENSE_SQL = f"""
-cnt AS (SELECT actor_id, event_date, count(*) AS n_activities FROM act GROUP BY 1, 2),
+def _dense_sql(period: str, step: str) -> str:
+    """Counts on the axis from the first to the last period of the data itself."""
+    return f"""
+acp AS (SELECT actor_id, CAST(date_trunc('{period}', event_date) AS DATE) AS period, count(*) AS n_activities FROM act GROUP BY 1, 2),
 grid AS (
-  SELECT a.actor_id, CAST(d.d AS DATE) AS event_date
+  SELECT a.actor_id, CAST(d.d AS DATE) AS period
   FROM (SELECT DISTINCT actor_id FROM act) a,
-       (SELECT unnest(generate_series(DATE '{ACT_LO}', DATE '{ACT_HI}', INTERVAL 1 DAY)) AS d) d
+       (SELECT unnest(generate_series(min(period), max(period), INTERVAL 1 {step})) AS d FROM acp) d
 ),
 dense AS (
-  SELECT g.actor_id, g.event_date, coalesce(c.n_activities, 0) AS n_activities
-  FROM grid g LEFT JOIN cnt c ON g.actor_id = c.actor_id AND g.event_date = c.event_date
+  SELECT g.actor_id, strftime(g.period, '{"%Y-%m" if period == "month" else "%Y-%m-%d"}') AS period,
+         coalesce(c.n_activities, 0) AS n_activities
+  FROM grid g LEFT JOIN acp c ON g.actor_id = c.actor_id AND g.period = c.period
 )"""
 
 
-def _dense(spark, sf):
+def _dense(spark, sf, period: str):
     act = activity_log(spark, sf)
-    cnt = act.groupBy("actor_id", "event_date").agg(F.count(F.lit(1)).alias("n_activities"))
-    return pn.dense_panel(cnt, "actor_id", "event_date", "n_activities",
-                          F.to_date(F.lit(ACT_LO)), F.to_date(F.lit(ACT_HI)), "interval 1 day",
-                          ids=act.select("actor_id").distinct())
-
-
-@register("dense_panel", with_(ACT, DENSE_SQL) + """
-SELECT actor_id, strftime(event_date, '%Y-%m-%d') AS event_date, n_activities FROM dense""")
-def q_dense_panel(spark, sf):
-    """Every actor x every day of the window, 0-filled."""
-    return _dense(spark, sf)
+    cnt = (act.groupBy("actor_id", F.trunc("event_date", "month").alias("period") if period == "month"
+                       else F.col("event_date").alias("period"))
+           .agg(F.count(F.lit(1)).alias("n_activities")))
+    lo, hi = cnt.agg(F.min("period")).scalar(), cnt.agg(F.max("period")).scalar()
+    panel = pn.dense_panel(cnt, "actor_id", "period", "n_activities", lo, hi, f"interval 1 {period}",
+                           ids=act.select("actor_id").distinct())
+    return panel.withColumn("period", F.date_format("period", "yyyy-MM" if period == "month" else "yyyy-MM-dd"))
 
 
 _TR = ",\n       ".join(
-    f"CAST(coalesce(sum(n_activities) OVER (PARTITION BY actor_id ORDER BY event_date "
+    f"CAST(coalesce(sum(n_activities) OVER (PARTITION BY actor_id ORDER BY period "
     f"ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prev_{k:02d}_n_activities"
     for k in C.trailing_sizes)
 
 
-@register("trailing_sums", with_(ACT, DENSE_SQL) + f"""
-SELECT actor_id, strftime(event_date, '%Y-%m-%d') AS event_date,
+@register("dense_panel", with_(ACT, _dense_sql("month", "MONTH")) + """
+SELECT actor_id, period, n_activities FROM dense""")
+def q_dense_panel(spark, sf):
+    """Every actor x every month from the log's first to its last, 0-filled."""
+    return _dense(spark, sf, "month")
+
+
+@register("dense_panel_daily", with_(ACT, _dense_sql("day", "DAY")) + """
+SELECT actor_id, period, n_activities FROM dense""")
+def q_dense_panel_daily(spark, sf):
+    """D23 at day grain."""
+    return _dense(spark, sf, "day")
+
+
+@register("trailing_sums", with_(ACT, _dense_sql("month", "MONTH")) + f"""
+SELECT actor_id, period,
        {_TR}
 FROM dense""")
 def q_trailing_sums(spark, sf):
-    """1/3/6/9/12-period sums before the current period."""
-    return pn.trailing_sums(_dense(spark, sf), "actor_id", "event_date", "n_activities", C.trailing_sizes)
+    """1/3/6/9/12-month sums before the current month."""
+    return pn.trailing_sums(_dense(spark, sf, "month"), "actor_id", "period", "n_activities", C.trailing_sizes)
+
+
+@register("trailing_sums_daily", with_(ACT, _dense_sql("day", "DAY")) + f"""
+SELECT actor_id, period,
+       {_TR}
+FROM dense""")
+def q_trailing_sums_daily(spark, sf):
+    """D24 / W1 at day grain: sums over the 1/3/6/9/12 days before."""
+    return pn.trailing_sums(_dense(spark, sf, "day"), "actor_id", "period", "n_activities", C.trailing_sizes)
 
 
 def _recency_sql(lag: int, cumulative: bool = False) -> str:
@@ -222,7 +242,7 @@ def q_use_type_trailing(spark, sf):
 
 
 _BR = ",\n         ".join(
-    f"count(DISTINCT CASE WHEN coalesce(product_group, 'UNKNOWN') = '{c}' THEN coalesce(product, 'UNKNOWN') END) AS n_{c}"
+    f"count(DISTINCT CASE WHEN {CLASS_SQL} = '{c}' THEN coalesce(product, 'UNKNOWN') END) AS n_{c}"
     for c in CLASSES)
 _BRS = ",\n       ".join(
     f"CAST(coalesce(sum(n_{c}) OVER w, 0) AS BIGINT) AS n_{c}_sum12" for c in CLASSES)

@@ -15,7 +15,8 @@ from cohortkit.sources.roles import event_log
 
 T = C.target_product
 ALL_BRANDS = [f"Brand#{i}" for i in range(1, 26)]   # the part table's brand domain
-LABELS = [f"PRD_{p}_PRPHY_{u}" for p in C.named_products for u in ("0", "1", "UNK")]
+USES = ("0", "1", "UNK")
+LABELS = [tl.quantity_label(p, u) for p in ALL_BRANDS for u in USES] + [tl.OTHER_LABEL]
 OTHERS = C.product_groups[0][1]
 OWN_BRANDS = ("Brand#12", "Brand#13", "Brand#14")
 SWITCH_YEAR = 2000
@@ -29,8 +30,11 @@ wq AS (
   FROM ev WHERE product IS NOT NULL GROUP BY 1, 2, 3, 4
 )"""
 WIDE_SQL = WK_SQL + ",\nwide AS (SELECT subject_id, week, " + ", ".join(
-    f"coalesce(sum(CASE WHEN 'PRD_' || product || '_PRPHY_' || use = '{v}' THEN quantity END), 0) AS {col_name(v)}"
-    for v in LABELS) + " FROM wq GROUP BY subject_id, week)"
+    f"coalesce(sum(CASE WHEN label = '{v}' THEN quantity END), 0) AS {col_name(v)}"
+    for v in LABELS) + f""" FROM (
+  SELECT *, CASE WHEN 'QTY_' || product || '_USE_' || use IN ({", ".join(f"'{v}'" for v in LABELS)})
+                 THEN 'QTY_' || product || '_USE_' || use ELSE '{tl.OTHER_LABEL}' END AS label FROM wq) wl
+  GROUP BY subject_id, week)"""
 WEEKS_SQL = "wc AS (SELECT subject_id, count(DISTINCT week) AS week_cnt FROM wq GROUP BY subject_id)"
 TL_SQL = f"""
 aw0 AS (
