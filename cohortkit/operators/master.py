@@ -50,11 +50,12 @@ def guard_unique(df: DataFrame, keys, name: str = "table") -> DataFrame:
 
 
 def master_table(spine: DataFrame, features, keys=("actor_id", "cohort_month"), fill=0,
-                 check: bool = True) -> DataFrame:
+                 check: bool = True, never_fill=("org_id",)) -> DataFrame:
     """Spine ⟕ each feature table (on ``keys`` or a subset), then fill.
 
     ``features`` is a list of (name, DataFrame, join_keys or None).  Feature
-    columns that collide with spine columns are rejected.
+    columns that collide with spine columns are rejected.  Identifiers
+    (``never_fill``) stay null where missing: 0 may be a real one.
     """
     keys = list(keys)
     out = spine
@@ -67,7 +68,7 @@ def master_table(spine: DataFrame, features, keys=("actor_id", "cohort_month"),
             df = guard_unique(df, jk, name)
         out = out.join(df, jk, "left")
     if fill is not None:
-        out = out.fillna(fill)
+        out = out.fillna(fill, [c for c in out.columns if c not in keys and c not in never_fill])
     return out
 
 

@@ -20,7 +20,9 @@ SPEC_CODES = {"MACHINERY": "SPEC_MACHINERY", "HOUSEHOLD": "SPEC_HOUSEHOLD", "ASI
               "1-URGENT": "SPEC_URGENT"}
 SPEC_PARTS = ("AMER", "HIGH")
 SPEC_FALLBACK = "SPEC_FALLBACK"
-AGE_YEAR = ("2000-01-01", "2000-12-31")
+# the calendar year before the study: no event at or after a label month
+_YEAR = int(C.study_start[:4]) - 1
+AGE_YEAR = (f"{_YEAR}-01-01", f"{_YEAR}-12-31")
 CHANNELS = {"click": "CLICK", "view": "VIEW", "purchase": "PURCHASE"}
 CH_LO, CH_HI = "2024-01", "2024-12"
 MEASURES = ("exposures", "light", "deep", "total")

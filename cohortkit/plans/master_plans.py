@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cohortkit.config import TEST_CONFIG as C
 from cohortkit.operators import cohort as co
 from cohortkit.operators import features as fe
 from cohortkit.operators import master as ma
 from cohortkit.operators import shape as sh
 from cohortkit.plans import feature_plans as fp
+from cohortkit.plans import panel_plans as pp
 from cohortkit.plans.cohort_plans import spine_cte
 from cohortkit.plans.oracle_sql import ACT, AFFL, EV, PROFILE, with_
 from cohortkit.plans.registry import register
 from cohortkit.session import materialize
-from cohortkit.sources.roles import activity_log, actor_profile, affiliations, event_log
+from cohortkit.sources.roles import activity_log, actor_profile, affiliations, channel_log, event_log
 
 T = C.target_product
 KEYS = ["actor_id", "cohort_month"]
-CHAR_NUM = ["n_subjects"] + [f"{b[0]}_CNT" for b in fe.AGE_BANDS] + ["org_id", "account_size"]
+CHAR_NUM = ["n_subjects"] + [f"{b[0]}_CNT" for b in fe.AGE_BANDS]
+ACTIVITY_COLS = [f"prev_{k:02d}_n_activities" for k in C.trailing_sizes]
+CHANNEL_COLS = [c for _, _, c in fp._CH_COLS]
+BEFORE_STUDY = F.to_date(F.lit(C.study_start_date))
 BREADTH_COLS = [f"N_{c}_12M" for c in fp.CLASSES]
 MONTHLY_COLS = fp._SHARE_COLS + ["org_flag", "peer_flag"]
 
@@ -24,8 +30,11 @@ MONTHLY_COLS = fp._SHARE_COLS + ["org_flag", "peer_flag"]
 def master_df(spark, sf, materialize_events: bool = True):
     ev = event_log(spark, sf)
     if materialize_events:
-        ev = materialize(ev, "event_log")  # flat: read whole by every branch
-    affl = affiliations(spark, sf, ev)
+        # read by every branch: written once, with the columns that the branches use
+        ev = materialize(ev.select("actor_id", "subject_id", "event_date", "month", "product", "product_group",
+                                   "use_flag", "institution", "birth_year"), "event_log")
+    # affiliations as known when the study starts
+    affl = affiliations(spark, sf, ev.filter(F.col("event_date") < BEFORE_STUDY))
     spine = co.target_spine(ev, C)
     shares = fe.share_wide(ev, fp.NAMED, fp.GROUPS, C.study_start, C.study_end, C.lag_months, fp.EDGES)
     orgf = fe.org_flag(ev).withColumnRenamed("month", "cohort_month")
@@ -38,40 +47,59 @@ def master_df(spark, sf, materialize_events: bool = True):
         fe.age_band_counts(ev, fp.AGE_YEAR[0], fp.AGE_YEAR[1], C.as_of_date),
         fe.specialty_group(actor_profile(spark, sf), codes=fp.SPEC_CODES, fallback_parts=fp.SPEC_PARTS,
                            fallback_group=fp.SPEC_FALLBACK),
-        affl, fe.org_size(affl))
-    return ma.master_table(spine, [("monthly", monthly, KEYS), ("breadth", breadth, KEYS),
-                                   ("own", own, KEYS), ("characteristics", chars, ["actor_id"])])
-
-
+        affl, fe.org_size(affl)).drop("org_id", "account_size", "specialty")
+    # specialty and organisation do not depend on events in the reference year
+    specialty = fe.specialty_group(actor_profile(spark, sf), codes=fp.SPEC_CODES, fallback_parts=fp.SPEC_PARTS,
+                                   fallback_group=fp.SPEC_FALLBACK)
+    org = (affl.filter(F.col("org_rank") == 1).select("actor_id", "org_id")
+               .join(fe.org_size(affl), "org_id", "left").select("actor_id", "org_id", "account_size"))
+    activity = pp.trailing_activity(spark, sf).withColumnRenamed("period", "cohort_month")
+    channel = fe.channel_engagement(channel_log(spark, sf), ev.select("actor_id"), fp.CHANNELS, fp.CH_LO, fp.CH_HI, 0,
+                                    fp.EDGES, fp.MEASURES).withColumn("actor_id", F.col("actor_id").cast("long"))
+    return ma.master_table(spine, [("activity", activity, KEYS), ("channel", channel, KEYS), ("monthly", monthly, KEYS),
+                                   ("breadth", breadth, KEYS), ("own", own, KEYS), ("characteristics", chars, ["actor_id"]),
+                                   ("specialty", specialty, ["actor_id"]), ("organisation", org, ["actor_id"])])
+
+
+AFFL_BEFORE = AFFL.replace("FROM ev JOIN supplier s ON ev.subject_id = s.s_suppkey",
+                           f"FROM ev JOIN supplier s ON ev.subject_id = s.s_suppkey AND ev.event_date < DATE '{C.study_start_date}'")
 MASTER_SQL = ",\n".join([
-    spine_cte().strip(), fp.SHARE_WIDE_SQL.strip(), fp.ORG_FLAG_SQL, fp.PEER_SQL.strip(), fp.MONTHLY_SQL.strip(),
+    spine_cte().strip(), pp.MONTHLY_ACTIVITY_SQL.strip(), fp.CHANNEL_SQL.strip(), fp.SHARE_WIDE_SQL.strip(), fp.ORG_FLAG_SQL, fp.PEER_SQL.strip(), fp.MONTHLY_SQL.strip(),
     fp.BREADTH_SQL.strip(), fp.OWN_SQL.strip(), fp._spec_sql().strip(), fp.AGE_SQL.strip(), fp.CHAR_SQL.strip()]) + """,
 master AS (
   SELECT sp.actor_id, sp.cohort_month, CAST(sp.target AS BIGINT) AS target, """ + ", ".join(
-    [f"coalesce(mf.{c}, 0) AS {c}" for c in MONTHLY_COLS]
+    [f"coalesce(av.{c}, 0) AS {c}" for c in ACTIVITY_COLS]
+    + [f"coalesce(cn.{c}, 0) AS {c}" for c in CHANNEL_COLS]
+    + [f"coalesce(mf.{c}, 0) AS {c}" for c in MONTHLY_COLS]
     + [f"coalesce(br.{c}, 0) AS {c}" for c in BREADTH_COLS]
     + ["coalesce(own.own_flag, 0) AS own_flag"]
-    + [f'coalesce(ch."{c}", 0) AS "{c}"' for c in CHAR_NUM] + ["ch.specialty"]) + """
+    + [f'coalesce(ch."{c}", 0) AS "{c}"' for c in CHAR_NUM]
+    + ["sc.specialty", "CAST(mo.org_id AS BIGINT) AS org_id", "coalesce(os.account_size, 0) AS account_size"]) + """
   FROM spine sp
   LEFT JOIN mf ON mf.actor_id = sp.actor_id AND mf.cohort_month = sp.cohort_month
   LEFT JOIN breadth br ON br.actor_id = sp.actor_id AND br.cohort_month = sp.cohort_month
   LEFT JOIN own ON own.actor_id = sp.actor_id AND own.cohort_month = sp.cohort_month
   LEFT JOIN chars ch ON ch.actor_id = sp.actor_id
+  LEFT JOIN act_trailing av ON av.actor_id = sp.actor_id AND av.period = sp.cohort_month
+  LEFT JOIN chan cn ON cn.actor_id = CAST(sp.actor_id AS VARCHAR) AND cn.cohort_month = sp.cohort_month
+  LEFT JOIN spec sc ON sc.actor_id = sp.actor_id
+  LEFT JOIN (SELECT actor_id, org_id FROM affl WHERE org_rank = 1) mo ON mo.actor_id = sp.actor_id
+  LEFT JOIN osize os ON os.org_id = mo.org_id
 )"""
-MASTER_WITH = with_(EV, AFFL, PROFILE, MASTER_SQL)
+MASTER_WITH = with_(EV, ACT, AFFL_BEFORE, PROFILE, MASTER_SQL)
 
 
 @register("master_table", MASTER_WITH + "\nSELECT * FROM master")
 def q_master_table(spark, sf):
-    """Spine ⟕ monthly features ⟕ class breadth ⟕ own use ⟕ characteristics, 0-filled,
-    with unique-key checks on every right side."""
+    """Spine ⟕ activity ⟕ channels ⟕ monthly features ⟕ class breadth ⟕ own use ⟕ characteristics
+    ⟕ specialty ⟕ main organisation; features 0-filled, identifiers not; every right side checked for unique keys."""
     return master_df(spark, sf)
 
 
 @register("label_balance", MASTER_WITH + "\nSELECT target, count(*) AS n FROM master GROUP BY target")
 def q_label_balance(spark, sf):
-    """Class balance of the master table."""
-    return ma.label_balance(master_df(spark, sf))
+    """Class balance of the master table, whose rows are the spine's."""
+    return ma.label_balance(co.target_spine(event_log(spark, sf), C))
 
 
 @register("flag_label_crosstab", MASTER_WITH + """

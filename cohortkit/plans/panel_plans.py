@@ -90,9 +90,19 @@ SELECT actor_id, period,
 FROM dense""")
 def q_trailing_sums(spark, sf):
     """1/3/6/9/12-month sums before the current month."""
+    return trailing_activity(spark, sf)
+
+
+def trailing_activity(spark, sf):
     return pn.trailing_sums(_dense(spark, sf, "month"), "actor_id", "period", "n_activities", C.trailing_sizes)
 
 
+MONTHLY_ACTIVITY_SQL = _dense_sql("month", "MONTH").strip() + f""",
+act_trailing AS (SELECT actor_id, period,
+       {_TR}
+FROM dense)"""
+
+
 @register("trailing_sums_daily", with_(ACT, _dense_sql("day", "DAY")) + f"""
 SELECT actor_id, period,
        {_TR}
