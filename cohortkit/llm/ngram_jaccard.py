@@ -14,13 +14,15 @@ least ``percent`` / 100.  Equal sets are one class and are compared once.
    shingles under any order common to all sets.  The order is the frequency
    in a count sketch of all shingles, so passages that many documents share
    come last.
-3. In each such block, first every point is compared with the block's smallest
-   class (linear however large the block), pairs pass the count bound and then
-   the real sets are intersected.  Blocks that the verified links leave in
-   several components are searched with an R-tree; a block too large for a
-   task is cut into slices, and every pair of slices is searched.  Only pairs
-   of different components survive, so a group of thousands of near copies
-   does not give all its pairs, and no pair of components is left untried.
+3. A block is named by its smallest class; shingles with the same smallest
+   class share one block.  First every point is compared with that class
+   (linear however large the block): pairs pass the count bound and then the
+   real sets are intersected.  Blocks that the verified links leave in several
+   components are searched with an R-tree, first for the best partners of each
+   point, in the end for all; a block too large for a task is cut into slices,
+   and every pair of slices is searched.  Only pairs of different components
+   survive, so a group of thousands of near copies does not give all its
+   pairs, and no pair that could join two components is left untried.
 """
 
 from __future__ import annotations
@@ -51,8 +53,8 @@ BLOCK_ENTRIES = 400_000
 SLICE = 1024
 #: Blocks of so many classes are a few leaves: searched whole, many at once, up to so many rows.
 SMALL, SMALL_ROWS = 64, 8192
-#: Best pairs tried for each two components of a block before all that survive.
-BEST = 8
+#: Best partners in other components that are tried for each class, round by round, before all that survive.
+BEST = (4, 4)
 #: Class ids of sets whose documents all have a null id start here.
 NO_ID = 1 << 62
 
@@ -357,7 +359,7 @@ def _search(percent: int, best: int | None):
     """Surviving pairs of different components: of many small blocks, of a large one, or of two slices of one."""
     def run(table: pa.Table) -> pa.Table:
         block, cid, n, label, part, i, j, small = (
-            table.column(c).to_numpy() for c in ("token", "cid", "n", "label", "slice", "i", "j", "small"))
+            table.column(c).to_numpy() for c in ("block", "cid", "n", "label", "slice", "i", "j", "small"))
         raw = table.column("point").to_pylist()
         level = np.array([_groups(x) for x in n])
 
@@ -386,25 +388,25 @@ def _search(percent: int, best: int | None):
             ok = label[x] != label[y]
             x, y, bound = x[ok], y[ok], bound[ok]
             kept.append(pd.DataFrame({"a": np.minimum(cid[x], cid[y]), "b": np.maximum(cid[x], cid[y]),
-                                      "low": np.minimum(label[x], label[y]), "high": np.maximum(label[x], label[y]),
-                                      "score": bound / (n[x] + n[y] - bound)}).drop_duplicates(["a", "b"]))
+                                      "score": bound / (n[x] + n[y] - bound)}))
             rows += len(kept[-1])
             if rows > 200_000:
-                kept = [_best_of(pd.concat(kept), None if small[0] else best)]
+                kept = [_best_of(pd.concat(kept), best)]
                 rows = len(kept[0]) // 2
         if not kept:
-            kept = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})]
-        pairs = _best_of(pd.concat(kept), None if small[0] else best)
+            kept = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        pairs = _best_of(pd.concat(kept), best)
         return pa.table({"a": pa.array(pairs["a"].to_numpy(), pa.int64()), "b": pa.array(pairs["b"].to_numpy(), pa.int64())})
     return run
 
 
 def _best_of(pairs: pd.DataFrame, best: int | None) -> pd.DataFrame:
+    """Of the pairs (a, b, score) those that are among the best of either end."""
     pairs = pairs.drop_duplicates(["a", "b"])
     if best is None or pairs.empty:
         return pairs
     ranked = pairs.sort_values(["score", "a", "b"], ascending=[False, True, True])
-    return ranked[ranked.groupby(["low", "high"]).cumcount() < best]
+    return ranked[(ranked.groupby("a").cumcount() < best) | (ranked.groupby("b").cumcount() < best)]
 
 
 class JaccardJoin:
@@ -447,17 +449,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = classes.mapInArrow(_deal(buckets, salts, hot), "bucket long, tokens binary, cids binary, sizes binary")
     shared = staged(dealt.groupBy("bucket").applyInPandas(_shared(buckets, percent), "token long, cid long, n long"), "shared")
 
-    lead = shared.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a <> z")
-    stars = (shared.join(lead.select("token", "a"), "token").where("cid <> a")
-             .select("a", F.col("cid").alias("b")).distinct())
-    points = _sieved(source, shared.select(F.col("cid").alias("doc_id")).distinct()).mapInArrow(
+    # a block is the classes that share a rare shingle with the smallest class of any of that shingle's classes
+    lead = shared.groupBy("token").agg(F.min("cid").alias("block"), F.max("cid").alias("z")).where("block <> z")
+    blocks = staged(shared.join(lead.select("token", "block"), "token").select("block", "cid").distinct(), "blocks")
+    stars = blocks.where("cid <> block").select(F.col("block").alias("a"), F.col("cid").alias("b"))
+    points = _sieved(source, blocks.select(F.col("cid").alias("doc_id")).distinct()).mapInArrow(
         _members(width, False), "cid long, n long, point binary")
     points = staged(points.dropDuplicates(["cid"]), "points")
 
     links = staged(_verified(stars, points, source, width, percent), "links")
-    for best, least in ((BEST, 2), (None, SMALL + 1)):
+    for best in (*BEST, None):
         labels = connected_components(links)
-        more = _residual(shared, points, labels, percent, best, least)
+        more = _residual(blocks, points, labels, percent, best)
         if more is None:
             break
         links = staged(links.unionByName(_verified(more, points, source, width, percent)).dropDuplicates(["a", "b"]), "links")
@@ -509,27 +512,21 @@ def _verified(pairs: DataFrame, points: DataFrame, source: DataFrame, width: int
             .select("a", "b", "overlap").dropDuplicates(["a", "b"]))
 
 
-def _residual(shared: DataFrame, points: DataFrame, labels: DataFrame, percent: int, best: int | None, least: int):
-    """Surviving pairs of different components in blocks of at least ``least`` classes; None without such a block."""
-    member = shared.join(labels.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    mark = F.xxhash64("cid")
-    blocks = (member.groupBy("token")
-              .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"),
-                   F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s"))
-              .where((F.col("low") != F.col("high")) & (F.col("m") >= least))
-              .groupBy("m", "x", "s").agg(F.min("token").alias("token")))  # blocks of the same classes are searched once
-    blocks = staged(blocks.select("token", "m"), "blocks")
-    size = blocks.agg(F.sum(F.when(F.col("m") <= SMALL, F.col("m")))).first()[0] or 0
-    if blocks.isEmpty():
+def _residual(blocks: DataFrame, points: DataFrame, labels: DataFrame, percent: int, best: int | None):
+    """Surviving pairs of different components in blocks that hold several; None without such a block."""
+    member = blocks.join(labels.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    several = staged(member.groupBy("block").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low <> high"), "several")
+    if several.isEmpty():
         return None
+    rows = several.agg(F.sum(F.when(F.col("m") <= SMALL, F.col("m")))).first()[0] or 0
     small = F.col("m") <= SMALL
-    blocks = blocks.select("token", small.alias("small"),
-                           F.when(small, 1).otherwise(F.ceil(F.col("m") / SLICE)).cast("int").alias("slices"))
-    spread = (member.select("token", "cid", "label").join(blocks, "token")
-              .join(points.select("cid", "n", "point"), "cid")
+    several = several.select("block", small.alias("small"),
+                             F.when(small, 1).otherwise(F.ceil(F.col("m") / SLICE)).cast("int").alias("slices"))
+    spread = (member.join(several, "block").join(points.select("cid", "n", "point"), "cid")
               .withColumn("slice", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("slices")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
               .withColumn("i", F.least("slice", "other")).withColumn("j", F.greatest("slice", "other")))
-    heap = F.when(F.col("small"), F.pmod(F.xxhash64("token"), F.lit(max(8, size // SMALL_ROWS)))).otherwise(F.col("token"))
+    heap = F.when(F.col("small"), F.pmod(F.xxhash64("block"), F.lit(max(8, rows // SMALL_ROWS)))).otherwise(F.col("block"))
     found = spread.groupBy("small", heap, "i", "j").applyInArrow(_search(percent, best), "a long, b long")
     return found.distinct()

@@ -107,7 +107,7 @@ def shingle_sets(texts: pa.Array, width: int, hasher: Hasher):
     A text with fewer than ``width`` words has its whole word sequence as its
     one shingle; a text without words has none.
     """
-    factors = np.arange(1, 2 * width, 2, dtype=U64) * U64(0xA24BAED4963EE407)
+    factors = mix(np.arange(1, width + 1, dtype=U64)) | U64(1)  # unrelated, so that no two orders of words agree
     for _, data, offsets in blocks(texts):
         words, first = word_hashes(hasher, data, offsets)
         n = len(words)
