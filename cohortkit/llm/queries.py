@@ -11,6 +11,7 @@ from .chat_repair import repair_roles
 from .license_rules import license_scan
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
+from .oracle import ORACLE
 from .order_minhash import edited_fingerprints
 from .packing import pack_documents
 from .pii import KINDS, pii_spans, span_digest
@@ -18,8 +19,9 @@ from .quality_rules import quality_rules
 from .token_store import round_trip, token_checksums
 from .toxicity import score_documents, train
 
+#: name -> (spark, sf_dir) -> result; ORACLE has the SQL of those that SQL can express.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def query(name: str):
