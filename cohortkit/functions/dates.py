@@ -38,10 +38,6 @@ def month_from_index(idx_col) -> Column:
     return F.format_string("%04d-%02d", F.floor(i / 12).cast("int"), (i % 12 + 1).cast("int"))
 
 
-def add_months_str(month_col, n: int) -> Column:
-    """Shift a 'yyyy-MM' month by n months."""
-    return month_from_index(month_index_of_str(month_col) + F.lit(n))
-
 
 def week_start(date_col) -> Column:
     """Monday of the week (date_trunc('week') is Monday-based)."""
@@ -58,18 +54,7 @@ def parse_date_any(str_col, fmts=("yyyyMMdd", "MMddyyyy")) -> Column:
     return F.coalesce(*[parse_date(str_col, f) for f in fmts])
 
 
-def month_axis(spark, start_month: str, end_month: str, name: str = "month"):
-    """One row per month in [start, end]; bounded by the parameters, not the data."""
-    return spark.range(1).select(
-        F.explode(F.sequence(F.to_date(F.lit(start_month + "-01")),
-                             F.to_date(F.lit(end_month + "-01")),
-                             F.expr("interval 1 month"))).alias("_d")
-    ).select(month_str("_d").alias(name))
-
-
-def week_axis(spark, start_date: str, end_date: str, name: str = "week"):
-    """One row per Monday in [week(start), week(end)]."""
-    return spark.range(1).select(
-        F.explode(F.sequence(week_start(F.to_date(F.lit(start_date))),
-                             week_start(F.to_date(F.lit(end_date))),
-                             F.expr("interval 1 week"))).alias(name))
+def month_before(month: str, n: int) -> str:
+    """The 'yyyy-MM' month n months earlier."""
+    i = int(month[:4]) * 12 + int(month[5:7]) - 1 - n
+    return f"{i // 12:04d}-{i % 12 + 1:02d}"

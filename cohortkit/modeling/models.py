@@ -20,7 +20,7 @@ KINDS = ("logistic_l1", "logistic_l2", "forest", "boosted", "mlp")
 
 
 def make_estimator(kind: str, n_features: int, label: str = "target", weight_col: str | None = None,
-                   seed: int = 42, reg: float = 0.001, max_iter: int = 1000):
+                   seed: int = 42, reg: float = 0.0, max_iter: int = 1000):
     common = dict(featuresCol="features", labelCol=label)
     if kind in ("logistic_l1", "logistic_l2"):
         est = LogisticRegression(maxIter=max_iter, regParam=reg,
@@ -43,6 +43,10 @@ def fit(train: DataFrame, features, kind: str = "logistic_l1", label: str = "tar
     """Assemble features and fit one estimator as a PipelineModel."""
     features = list(features)
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    if kind in ("logistic_l1", "logistic_l2") and "reg" not in kw:
+        # penalty of strength 1 on the summed loss; the estimator averages the loss over the weights
+        total = train.agg(F.sum(weight_col) if weight_col else F.count(F.lit(1))).first()[0]
+        kw["reg"] = 1.0 / total if total else 0.0
     est = make_estimator(kind, len(features), label, weight_col, seed, **kw)
     # iterative solvers pass over the training frame many times: keep the
     # assembled rows (the master grain, not raw events) on executors,

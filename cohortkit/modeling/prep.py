@@ -136,3 +136,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def with_class_weight(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
     w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
     return df.join(F.broadcast(w), label)  # one row per class
+
+
+def with_positive_weight(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
+    """Weight n / (2 p) for positives and 1 for the others."""
+    ratio = df.agg(F.count(F.lit(1)) / (2 * F.sum((F.col(label) == 1).cast("long")))).scalar()
+    return df.withColumn(weight_col, F.when(F.col(label) == 1, ratio).otherwise(1.0))

@@ -48,6 +48,12 @@ def product_use_rows(events: DataFrame, named, groups) -> DataFrame:
                   .filter(F.col("_code").isNotNull()).drop("_code").distinct())
 
 
+def product_use_actors(events: DataFrame, named, groups) -> DataFrame:
+    """Actors with an event of a named or grouped product."""
+    listed = [*named, *(p for _, members in groups for p in members)]
+    return events.filter(F.col("product").isin(listed)).select("actor_id").distinct()
+
+
 def product_use_values(named, groups, uses=("0", "1")):
     return [f"{p}_{u}" for p in named for u in uses] + [f"{g}_{u}" for g, _ in groups for u in uses]
 
@@ -71,7 +77,7 @@ MASK_BITS = 62
 
 
 def share_wide(events: DataFrame, named, groups, cohort_lo: str, cohort_hi: str, lag: int = 2,
-               edges=(1, 3, 6, 9, 12)) -> DataFrame:
+               edges=(1, 3, 6, 9, 12), ids: DataFrame | None = None) -> DataFrame:
     """D27 (wide): SHARE_<product_use>_<bucket>, dense over actors x cohort months, 0-filled.
 
     Each product_use code is a bit; rows are reduced to one bit mask per
@@ -111,7 +117,7 @@ def share_wide(events: DataFrame, named, groups, cohort_lo: str, cohort_hi: str,
             share_cols.append(F.coalesce(F.try_divide(F.col(f"_num_{i}_{b}").cast("double"), F.col(f"_den_{b}")),
                                          F.lit(0.0)).alias(col_name("SHARE", f"{v}_{b}")))
     wide = wide.select("actor_id", "cohort_month", *share_cols)
-    ids = rows.select("actor_id").distinct()
+    ids = rows.select("actor_id").distinct() if ids is None else ids
     grid = densify_ids(ids, "actor_id", "_c", month_index_of_str(F.lit(cohort_lo)),
                        month_index_of_str(F.lit(cohort_hi))) \
         .select("actor_id", month_from_index("_c").alias("cohort_month"))
@@ -278,9 +284,9 @@ def channel_engagement(channel: DataFrame, known_actors: DataFrame, channel_map:
     return agg.fillna(0, [c for c in agg.columns if c not in ("actor_id", "cohort_month")])
 
 
-def subject_quantity(events: DataFrame) -> DataFrame:
-    """Quantity per subject and month."""
-    return events.groupBy("subject_id", "month").agg(F.sum("quantity").alias("quantity"))
+def subject_quantity(events: DataFrame, keys=("subject_id",)) -> DataFrame:
+    """Quantity per subject (or other keys) and month."""
+    return events.groupBy(*keys, "month").agg(F.sum("quantity").alias("quantity"))
 
 
 def subject_quantity_wide(events: DataFrame, products) -> DataFrame:
@@ -294,7 +300,7 @@ def subject_quantity_wide(events: DataFrame, products) -> DataFrame:
 
 
 def class_breadth_lookback(events: DataFrame, classes, cohort_lo: str, cohort_hi: str,
-                           lag: int = 0, horizon: int = 12) -> DataFrame:
+                           lag: int = 0, horizon: int = 12, ids: DataFrame | None = None) -> DataFrame:
     """Per class, the sum of monthly distinct products over the months with
     gap in (0, horizon] before the cohort month; wide, dense, 0-filled."""
     cls = listed_class("product_group", classes)
@@ -304,7 +310,7 @@ def class_breadth_lookback(events: DataFrame, classes, cohort_lo: str, cohort_hi
     fan = fan_out_cohorts(monthly, "month", lag, cohort_lo, cohort_hi, (horizon,)).filter(F.col("bucket").isNotNull())
     wide = fan.groupBy("actor_id", "cohort_month").agg(
         *[F.sum(F.when(F.col("cls") == c, F.col("n_items"))).alias(col_name("N", c, f"{horizon}M")) for c in classes])
-    ids = events.select("actor_id").distinct()
+    ids = events.select("actor_id").distinct() if ids is None else ids
     grid = densify_ids(ids, "actor_id", "_c", month_index_of_str(F.lit(cohort_lo)),
                        month_index_of_str(F.lit(cohort_hi))) \
         .select("actor_id", month_from_index("_c").alias("cohort_month"))

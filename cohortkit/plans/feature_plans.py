@@ -4,6 +4,7 @@ characteristics, channel engagement, subject quantities, class breadth."""
 from __future__ import annotations
 
 from cohortkit.config import TEST_CONFIG as C
+from cohortkit.functions.dates import month_before
 from cohortkit.operators import features as fe
 from cohortkit.operators import shape as sh
 from cohortkit.operators.panel import class_breadth_trailing
@@ -104,17 +105,29 @@ def _ev(spark, sf):
     return event_log(spark, sf)
 
 
+def ev_informing(spark, sf, lag: int, horizon: int = 12):
+    """Events of the months that can inform a cohort month of the study; the bounds reach the scan."""
+    return event_log(spark, sf, f"{month_before(C.study_start, lag + horizon)}-01", C.study_end_date)
+
+
+def actors(spark, sf):
+    """Actors of the whole log: the rows of the dense tables."""
+    return event_log(spark, sf).select("actor_id").distinct()
+
+
+
 @register("share_by_product_use", with_(EV, PU_SQL) + f"""
 SELECT actor_id, {_mstr('ci')} AS cohort_month, bucket, product_use, n_subjects, row_total, share FROM shr""")
 def q_share_by_product_use(spark, sf):
     """D27 long: subject share per product x use and recency bucket (lag 2)."""
-    return fe.share_by_product_use(_ev(spark, sf), NAMED, GROUPS, C.study_start, C.study_end, C.lag_months, EDGES)
+    return fe.share_by_product_use(ev_informing(spark, sf, C.lag_months), NAMED, GROUPS, C.study_start, C.study_end, C.lag_months, EDGES)
 
 
 @register("share_wide", with_(EV, SHARE_WIDE_SQL) + "\nSELECT * FROM swide")
 def q_share_wide(spark, sf):
     """D27 wide: dense actor x cohort month share features, 0-filled."""
-    return fe.share_wide(_ev(spark, sf), NAMED, GROUPS, C.study_start, C.study_end, C.lag_months, EDGES)
+    return fe.share_wide(ev_informing(spark, sf, C.lag_months), NAMED, GROUPS, C.study_start, C.study_end, C.lag_months,
+                         EDGES, ids=fe.product_use_actors(_ev(spark, sf), NAMED, GROUPS))
 
 
 _PU_VALS = fe.product_use_values(NAMED, GROUPS)
@@ -172,8 +185,8 @@ peer AS (SELECT m.actor_id, {_mstr('oc.ci')} AS cohort_month, 1 AS peer_flag, m.
 SELECT actor_id, cohort_month, CAST(peer_flag AS BIGINT) AS peer_flag, CAST(org_id AS BIGINT) AS org_id FROM peer""")
 def q_peer_use_flag(spark, sf):
     """Actors whose main organisation had a target user in the 12 months before cohort - 2."""
-    ev = _ev(spark, sf)
-    return fe.peer_use_flag(ev, affiliations(spark, sf, ev), T, C.study_start, C.study_end, C.lag_months)
+    ev = ev_informing(spark, sf, C.lag_months)
+    return fe.peer_use_flag(ev, affiliations(spark, sf), T, C.study_start, C.study_end, C.lag_months)
 
 
 OWN_SQL = """
@@ -192,8 +205,8 @@ own AS (
 @register("own_use_flag", with_(EV, AFFL, OWN_SQL) + "\nSELECT * FROM own")
 def q_own_use_flag(spark, sf):
     """Per main-affiliated actor and cohort month, own target use in the 12 months before cohort - 2."""
-    ev = _ev(spark, sf)
-    return fe.own_use_flag(ev, affiliations(spark, sf, ev), T, C.study_start, C.study_end, C.lag_months)
+    ev = ev_informing(spark, sf, C.lag_months)
+    return fe.own_use_flag(ev, affiliations(spark, sf), T, C.study_start, C.study_end, C.lag_months)
 
 
 def _spec_sql() -> str:
@@ -340,6 +353,13 @@ def q_channel_engagement(spark, sf):
     return channel_df(spark, sf)
 
 
+@register("subject_quantity_actor", with_(EV) + """
+SELECT actor_id, subject_id, month, sum(quantity) AS quantity FROM ev GROUP BY actor_id, subject_id, month""")
+def q_subject_quantity_actor(spark, sf):
+    """D38 with the actor: quantity per actor, subject and month."""
+    return fe.subject_quantity(_ev(spark, sf), ("actor_id", "subject_id"))
+
+
 @register("subject_quantity", with_(EV) + """
 SELECT subject_id, month, sum(quantity) AS quantity FROM ev GROUP BY subject_id, month""")
 def q_subject_quantity(spark, sf):
@@ -374,7 +394,8 @@ breadth AS (
 @register("class_breadth_lookback", with_(EV, BREADTH_SQL) + "\nSELECT * FROM breadth")
 def q_class_breadth_lookback(spark, sf):
     """Per class, sum of monthly distinct products with gap in (0, 12]."""
-    return fe.class_breadth_lookback(_ev(spark, sf), CLASSES, C.study_start, C.study_end, 0, 12)
+    return fe.class_breadth_lookback(ev_informing(spark, sf, 0), CLASSES, C.study_start, C.study_end, 0, 12,
+                                     ids=actors(spark, sf))
 
 
 _TS = [f"n_{c}_sum12" for c in CLASSES]

@@ -29,6 +29,7 @@ BREADTH = [f"N_{c}_12M" for c in fp.CLASSES]
 # Fixed coefficients for the attribution queries (so SQL can check them).
 FIXED_COEFS = dict(zip(BREADTH, (0.5, -0.25, 0.1, -0.4, 0.3, 0.05, 0.2, -0.15)))
 FIXED_THRESHOLDS = (0.95, 0.72, 0.75, 0.23, 0.215)
+BINARY = ("org_flag", "peer_flag", "own_flag")
 SEED = C.seed
 
 
@@ -331,13 +332,15 @@ def model_frame(spark, sf):
              and t in ("int", "bigint", "double")]
     m = m.select(*KEYS, "target", *[F.col(c).cast("double").alias(c) for c in feats])
     train, test = pr.temporal_split(m, "cohort_month", C.train_end)
-    stats = pr.fit_scaler(train, feats)
-    return pr.apply_scaler(train, stats, feats).fillna(0.0), pr.apply_scaler(test, stats, feats).fillna(0.0), feats
+    scaled = [c for c in feats if c not in BINARY]
+    stats = pr.fit_scaler(train, scaled)
+    return pr.apply_scaler(train, stats, scaled).fillna(0.0), pr.apply_scaler(test, stats, scaled).fillna(0.0), feats
 
 
 def _fit_score(spark, sf, kind):
     train, test, feats = model_frame(spark, sf)
-    model = md.fit(pr.with_class_weight(train, "target"), feats, kind, weight_col="weight", seed=SEED)
+    weighted = pr.with_positive_weight(train, "target") if kind == "boosted" else pr.with_class_weight(train, "target")
+    model = md.fit(weighted, feats, kind, weight_col="weight", seed=SEED)
     return md.score(model, test).select(*KEYS, "target", "score", "prediction")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortkit.config import TEST_CONFIG as C
-from cohortkit.functions.dates import week_start
+from cohortkit.functions.dates import month_before, week_start
 from cohortkit.operators import panel as pn
 from cohortkit.plans.oracle_sql import ACT, CLASS_SQL, CLASSES, EV, with_
 from cohortkit.plans.registry import register
@@ -137,7 +137,8 @@ GROUP BY 1, 2, 3"""
 
 def _recency(spark, sf, lag, cumulative=False):
     # pre-aggregate to (actor, month, subject) before the <= 12x fan-out
-    ev = (event_log(spark, sf).groupBy("actor_id", "month", "subject_id")
+    start = f"{month_before(C.study_start, lag + max(C.bucket_edges))}-01"  # earlier events inform no cohort month
+    ev = (event_log(spark, sf, start, C.study_end_date).groupBy("actor_id", "month", "subject_id")
           .agg(F.count(F.lit(1)).alias("n")))
     fan = pn.fan_out_cohorts(ev, "month", lag, C.study_start, C.study_end, C.bucket_edges, cumulative)
     return (fan.filter(F.col("bucket").isNotNull())
