@@ -22,7 +22,6 @@ KEYS = ["actor_id", "cohort_month"]
 CHAR_NUM = ["n_subjects"] + [f"{b[0]}_CNT" for b in fe.AGE_BANDS]
 ACTIVITY_COLS = [f"prev_{k:02d}_n_activities" for k in C.trailing_sizes]
 CHANNEL_COLS = [c for _, _, c in fp._CH_COLS]
-BEFORE_STUDY = F.to_date(F.lit(C.study_start_date))
 BREADTH_COLS = [f"N_{c}_12M" for c in fp.CLASSES]
 MONTHLY_COLS = fp._SHARE_COLS + ["org_flag", "peer_flag"]
 
@@ -34,7 +33,7 @@ def master_df(spark, sf, materialize_events: bool = True):
         ev = materialize(ev.select("actor_id", "subject_id", "event_date", "month", "product", "product_group",
                                    "use_flag", "institution", "birth_year"), "event_log")
     # affiliations as known when the study starts
-    affl = affiliations(spark, sf, ev.filter(F.col("event_date") < BEFORE_STUDY))
+    affl = affiliations(spark, sf, ev.filter(F.col("event_date") < F.to_date(F.lit(C.study_start_date))))
     spine = co.target_spine(ev, C)
     shares = fe.share_wide(ev, fp.NAMED, fp.GROUPS, C.study_start, C.study_end, C.lag_months, fp.EDGES)
     orgf = fe.org_flag(ev).withColumnRenamed("month", "cohort_month")
