@@ -40,7 +40,9 @@ from .staging import prepare, staged, text_of
 from .textwords import U64, Hasher, mix, shingle_sets
 
 #: Coordinates of a point by set size (up to, number); a larger number is a multiple, so points can be folded.
-GROUPS = ((1024, 128), (8192, 512), (None, 2048))
+GROUPS = ((1024, 512), (8192, 2048), (None, 8192))
+#: Coordinates compared at once.
+COMPARED = 1 << 21
 #: Buckets of the count sketch: fixed, so its size does not grow with the data.
 SKETCH_BITS, SKETCH_CHUNKS = 20, 256
 #: A sketch bucket counted this many times the mean (plus HOT_LEAST) is taken for a hot shingle.
@@ -244,7 +246,8 @@ def _members(width: int, with_sets: bool):
                         sets.append(s.view(np.int64))
                     else:
                         groups = _groups(len(s))
-                        points.append(np.bincount((s % U64(groups)).astype(np.int64), minlength=groups).astype("<i4").tobytes())
+                        counts = np.bincount((s % U64(groups)).astype(np.int64), minlength=groups).astype("<i4")
+                        points.append(zlib.compress(counts.tobytes(), 1))  # mostly zeros and ones
             last = pa.array(sets, pa.list_(pa.int64())) if with_sets else pa.array(points, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), last],
                                              names=["cid", "n", "shingles" if with_sets else "point"])
@@ -261,9 +264,9 @@ def _unnamed(k1: int) -> int:
 
 def _folded(points: list, groups: int) -> np.ndarray:
     """Points of ``groups`` coordinates or more as a matrix of ``groups`` columns."""
-    out = np.empty((len(points), groups), dtype=np.int64)
+    out = np.empty((len(points), groups), dtype=np.int32)
     for k, p in enumerate(points):
-        out[k] = np.frombuffer(p, dtype="<i4").reshape(-1, groups).sum(axis=0)
+        out[k] = np.frombuffer(zlib.decompress(p), dtype="<i4").reshape(-1, groups).sum(axis=0)
     return out
 
 
@@ -289,7 +292,7 @@ class RTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
         spread = np.argsort(-points.std(axis=0), kind="stable")[:3]
-        order = np.lexsort(tuple(points[:, c] for c in spread[::-1]) + (sizes // max(1, int(sizes.max()) // 16),))
+        order = np.lexsort((*(points[:, c] for c in spread[::-1]), sizes // max(1, int(sizes.max()) // 16)))
         self.order = order
         self.points, self.sizes = points[order], sizes[order]
         self.levels = []
@@ -303,13 +306,14 @@ class RTree:
         """Yield (rows here, rows there, bounds) of the points whose bound reaches the needed overlap."""
         depth = max(len(self.levels), len(other.levels))
         here, there = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        step = max(16, COMPARED // self.points.shape[1])
         for level in range(depth, -1, -1):
             a, b = self._level(level), other._level(level)
             if level < depth:
                 here, there = self._children(here, there, len(a[0]), len(b[0]))
             keep = []
-            for x in range(0, len(here), 4096):
-                i, j = here[x:x + 4096], there[x:x + 4096]
+            for x in range(0, len(here), step):
+                i, j = here[x:x + step], there[x:x + step]
                 bound = np.minimum(a[0][i], b[0][j]).sum(axis=1)
                 # the smallest sizes that the boxes allow, and sizes too far apart
                 ok = (100 + percent) * bound >= percent * (a[1][i] + b[1][j])
@@ -340,6 +344,7 @@ class RTree:
 def _leaves(points, sizes, block, percent: int):
     """Pairs of rows of one block, for many blocks of a few leaves each, sorted by block and size."""
     reach, distance = np.arange(len(block)), 0
+    step = max(16, COMPARED // points.shape[1])
     while True:
         distance += 1
         reach = reach[reach + distance < len(block)]
@@ -348,8 +353,8 @@ def _leaves(points, sizes, block, percent: int):
             return
         x, y = reach, reach + distance
         near = 100 * sizes[x] >= percent * sizes[y]
-        for k in range(0, int(near.sum()), 4096):
-            i, j = x[near][k:k + 4096], y[near][k:k + 4096]
+        for k in range(0, int(near.sum()), step):
+            i, j = x[near][k:k + step], y[near][k:k + step]
             bound = np.minimum(points[i], points[j]).sum(axis=1)
             ok = (100 + percent) * bound >= percent * (sizes[i] + sizes[j])
             yield i[ok], j[ok], bound[ok]
