@@ -19,8 +19,14 @@ from cohortkit.llm.staging import staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs).where("kept").select("row.*")
+    """Documents that the quality rules keep.
+
+    The verdicts are written first: a filter on them would be pushed down and
+    repeat the whole computation inside itself.
+    """
+    verdict = "kept_" + "_" * max((len(c) for c in docs.columns), default=0)  # longer than any column's name
+    judged = staged(quality_rules(docs).select("row.*", F.col("kept").alias(verdict)), "judged")
+    return judged.where(verdict).drop(verdict)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
