@@ -3,9 +3,11 @@
 A document's character classes and common words are counted into two
 histograms and compared with its language's reference by Jensen-Shannon
 distance (base 2, 0 to 1).  The references are the pooled histograms of all
-documents of the language that are long enough, so they follow the corpus.
-Everything is DataFrame expressions: one pass over the texts for the
-references, one for the verdicts, no shuffle of texts.
+documents of the language that are long enough, so they follow the corpus; an
+unlisted or missing language is pooled by itself and the text's main script,
+each document with equal weight.  Everything is DataFrame expressions: one
+pass over the texts for the references, one for the verdicts, no shuffle of
+texts.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import prepare, text_of
+from .staging import prepare, staged, text_of
 
 # The commonest function words of each language.
 COMMON_WORDS = {
@@ -22,8 +24,18 @@ COMMON_WORDS = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una"],
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "sur"],
 }
-#: Languages with a reference of their own; all others share one (character classes only).
+#: Mark of the languages without a list of common words (compared by character classes only).
 OTHER = "other"
+#: Scripts told apart within an unlisted language; a text of none of them gets no verdict.
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Armenian", "Georgian", "Devanagari", "Bengali", "Gurmukhi", "Gujarati",
+           "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala", "Thai", "Lao", "Tibetan", "Myanmar", "Khmer", "Ethiopic",
+           "Mongolian", "Hangul", "Hiragana", "Katakana", "Han")
+#: Fewer long documents than this are no reference for an unlisted language.
+MIN_DOCUMENTS = 20
+#: Each document's weight in an unlisted language's reference (whole numbers, so that sums are exact).
+SHARE = 1_000_000
+#: More references than this are not broadcast.
+BROADCAST_ROWS = 4096
 #: Character classes besides white space, symbols and the rest (mostly small letters).
 CLASSES = {"upper": "A-Z", "digit": "0-9", "punctuation": ".,;:!?'\"()\\-", "beyond_ascii": "\\x{80}-\\x{10FFFF}"}
 SPACE = " \\t-\\r"
@@ -59,12 +71,23 @@ def _repeat_words(frame: DataFrame) -> DataFrame:
             .drop("windows", "by_value", "places"))
 
 
+def _script(text: str) -> Column:
+    """The script of most of the text's characters; null when it has none of SCRIPTS."""
+    scripts = F.array(*map(F.lit, SCRIPTS))
+    most = F.array_max(F.transform(scripts, lambda s: F.struct(
+        F.length(F.regexp_replace(text, F.concat(F.lit("\\P{Is"), s, F.lit("}+")), F.lit(""))).alias("n"), s.alias("s"))))
+    return F.when(most["n"] > 0, most["s"])
+
+
 def _profile(docs: DataFrame, keep: list[str], text_col: str, lang_col: str | None, repeats: bool) -> DataFrame:
     """The base counts and the two histograms of each document, beside its kept columns as ``row``."""
     language = docs[lang_col].cast("string") if lang_col else F.lit(None).cast("string")
     frame = docs.select(F.struct(*[docs[c] for c in keep]).alias("row") if keep else F.lit(None).alias("row"),
                         text_of(docs, text_col).alias("text"),
-                        F.when(language.isin(*COMMON_WORDS), language).otherwise(F.lit(OTHER)).alias("language"))
+                        F.when(language.isin(*COMMON_WORDS), language).otherwise(F.lit(OTHER)).alias("language"),
+                        F.coalesce(language, F.lit("")).alias("given"))
+    frame = frame.withColumn("pool", F.when(F.col("language") == OTHER, F.concat_ws(":", F.lit(OTHER), _script("text"), "given"))
+                             .otherwise(F.col("language"))).drop("given")
     frame = frame.withColumn("words", F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != ""))
     frame = frame.withColumns({
         "n_words": F.size("words").cast("int"),
@@ -96,15 +119,25 @@ def _spellings() -> list[str]:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """Pooled histograms by language: one row per listed language and one for all others, at most."""
+    """Pooled histograms by ``pool``: one row per listed language, and per unlisted language and script of MIN_DOCUMENTS or more.
+
+    Listed languages are summed by characters and words, others by the shares of each document.
+    """
     profile = _profile(docs, [], text_col, lang_col, repeats=False).where(F.col("n_words") >= MIN_WORDS)
 
+    total = F.aggregate("class_counts", F.lit(0).cast("long"), lambda s, x: s + x)
+    shares = F.transform("class_counts", lambda x: F.round(x * SHARE / total).cast("long"))
+    profile = profile.withColumn("class_counts", F.when(F.col("language") == OTHER, shares).otherwise(F.col("class_counts")))
+
     def pooled(column: str, n: int) -> Column:
         return F.array(*[F.sum(F.coalesce(F.get(column, F.lit(i)), F.lit(0))) for i in range(n)])
 
     n_classes, n_common = len(CLASSES) + 3, max(map(len, COMMON_WORDS.values())) + 1
-    return profile.groupBy("language").agg(pooled("class_counts", n_classes).alias("class_reference"),
-                                           pooled("word_counts", n_common).alias("word_reference"))
+    pools = profile.groupBy("language", "pool").agg(pooled("class_counts", n_classes).alias("class_reference"),
+                                                    pooled("word_counts", n_common).alias("word_reference"),
+                                                    F.count("*").alias("n_documents"))
+    named = F.col("pool").rlike(f"^{OTHER}:({'|'.join(SCRIPTS)}):")
+    return pools.where((F.col("language") != OTHER) | (named & (F.col("n_documents") >= MIN_DOCUMENTS))).drop("language", "n_documents")
 
 
 def jensen_shannon(counts: str, reference: str) -> Column:
@@ -131,15 +164,17 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, text_col: str
     base_failed: fewer than 50 words, or more than half of the words in
     repeated 3-word windows.  kept: not base_failed and, with MIN_WORDS words
     or more, both Jensen-Shannon distances within their limits.  A null text
-    has no words and fails; a null or unlisted language is compared with the
-    other unlisted ones by character classes only; a language without a long
-    document has no reference and a distance of 0.  Repeated rows are judged
+    has no words and fails; a null or unlisted language is compared by
+    character classes only, with the documents of the same language value and
+    main script; one with fewer than MIN_DOCUMENTS long documents, like a
+    listed one with none, has no reference and a distance of 0.  Repeated rows are judged
     alike; columns of ``docs`` never clash, as they stay inside ``row``.
     """
     prepare(docs.sparkSession)
     profile = _profile(docs, docs.columns if keep is None else keep, text_col, lang_col, repeats=True)
-    # at most one row for each listed language and one more: bounded whatever the data
-    judged = profile.join(F.broadcast(references(docs, text_col, lang_col)), "language", "left")
+    # a row for each pool; a column of thousands of language values is left to Spark's choice of join
+    known = staged(references(docs, text_col, lang_col), "quality-references")
+    judged = profile.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "pool", "left")
     judged = judged.withColumns({
         "class_distance": F.coalesce(jensen_shannon("class_counts", "class_reference"), F.lit(0.0)),
         "word_distance": F.when(F.col("language") == OTHER, F.lit(0.0)).otherwise(

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -68,6 +69,34 @@ def test_quality_rejects_foreign_distribution(spark, docs):
     assert all(kept[k] for k, t in enumerate(prose) if not base_quality(t)[5] and "|" not in t and "**" not in t)
 
 
+def test_quality_keeps_clean_texts_of_unlisted_languages(spark):
+    """Clean Russian and Portuguese, tagged, untagged and under one shared tag, beside a language of few documents."""
+    russian = "Сегодня утром мы вышли из дома и долго шли вдоль реки пока не увидели старый мост за которым начинался лес"
+    portuguese = "Hoje de manhã saímos de casa e andámos muito tempo junto ao rio até vermos a ponte velha atrás da floresta"
+
+    def text(prose, k):
+        return " ".join(w + "," * (j % 9 == 0) for j, w in enumerate(random.Random(k).choices(prose.split(), k=150)))
+
+    rows = [(text(p, k), lang) for n, lang_of in ((30, lambda own: own), (30, lambda own: None), (30, lambda own: "und"))
+            for p, own in ((russian, "ru"), (portuguese, "pt")) for lang in [lang_of(own)] for k in range(n)]
+    rows += [(text(russian, k), "bg") for k in range(2)] + [(" ".join(f"{k}***&&&{j}" for j in range(150)), "bg") for k in range(2)]
+    rows += [(" ".join(f"7***&&&{j}мы" for j in range(150)), "ru")]
+    frame = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(frame).select("row.doc_id", "kept", "base_failed", "class_distance").collect()}
+    assert len(got) == len(rows) and not any(r["base_failed"] for r in got.values())
+    assert all(got[k]["kept"] for k in range(len(rows) - 1))
+    assert not got[len(rows) - 1]["kept"]
+
+
+def test_quality_reference_weighs_documents_alike(spark):
+    """A few very long documents of an unlisted language don't set its reference."""
+    rows = [(k, " ".join(f"palavra{'abcdefghijk'[(j * k) % 11]}{'qrstuvwxyz'[j % 10]}{j}" for j in range(120)).replace("0", "o"), "pt") for k in range(30)]
+    rows += [(100, " ".join(f"Ж{j}ЖЩЦХ" for j in range(60_000)), "pt")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(frame).select("row.doc_id", "kept").collect()}
+    assert all(got[k] for k in range(30))
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
