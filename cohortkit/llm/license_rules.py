@@ -49,12 +49,12 @@ FAMILIES = [
     ("unlicense", r"unlicense", ("unlicense",)),
     ("wtfpl", r"do what the f[a-z]+ you want to public licen[cs]e|wtfpl", ("do what the", "wtfpl")),
     ("cc0", r"cc0(?: 1 0)?(?: universal)?|creative commons zero", ("cc0", "creative commons zero")),
-    ("cc-by-nc-nd", r"(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?derivatives|attribution non ?commercial no ?derivs)", ("cc by", "attribution")),
-    ("cc-by-nc-sa", r"(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)", ("cc by", "attribution")),
-    ("cc-by-nc", r"(?:cc|creative commons) (?:by nc|attribution non ?commercial)", ("cc by", "attribution")),
-    ("cc-by-nd", r"(?:cc|creative commons) (?:by nd|attribution no ?deriv(?:ative)?s)", ("cc by", "attribution")),
-    ("cc-by-sa", r"(?:cc|creative commons) (?:by sa|attribution share ?alike)", ("cc by", "attribution")),
-    ("cc-by", r"(?:cc|creative commons) (?:by|attribution)", ("cc by", "attribution")),
+    ("cc-by-nc-nd", r"(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?derivatives|attribution non ?commercial no ?derivs)", ("cc by", "creative commons by", "attribution")),
+    ("cc-by-nc-sa", r"(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)", ("cc by", "creative commons by", "attribution")),
+    ("cc-by-nc", r"(?:cc|creative commons) (?:by nc|attribution non ?commercial)", ("cc by", "creative commons by", "attribution")),
+    ("cc-by-nd", r"(?:cc|creative commons) (?:by nd|attribution no ?deriv(?:ative)?s)", ("cc by", "creative commons by", "attribution")),
+    ("cc-by-sa", r"(?:cc|creative commons) (?:by sa|attribution share ?alike)", ("cc by", "creative commons by", "attribution")),
+    ("cc-by", r"(?:cc|creative commons) (?:by|attribution)", ("cc by", "creative commons by", "attribution")),
     ("odbl", r"open database licen[cs]e|odbl", ("open database", "odbl")),
     ("odc-by", r"open data commons attribution licen[cs]e|odc by", ("open data commons", "odc by")),
     ("pddl", r"public domain dedication and licen[cs]e|pddl", ("public domain dedication", "pddl")),

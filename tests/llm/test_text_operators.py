@@ -218,3 +218,43 @@ def test_license_rules(spark, odd_docs, no_docs):
     assert [got[k] for k in range(len(cases))] == list(cases.values())
     assert license_rules.license_scan(odd_docs).count() == odd_docs.count()
     assert license_rules.license_scan(no_docs).count() == 0
+
+
+def samples(parsed):
+    """Texts that a parsed regex matches: every alternative, and every optional part with and without."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(x if str(o) == "LITERAL" else x[0]) for o, x in arg]
+        elif name == "BRANCH":
+            more = [t for branch in arg[1] for t in samples(branch)]
+        elif name == "SUBPATTERN":
+            more = samples(arg[3])
+        elif name == "MAX_REPEAT":
+            more = ([""] if arg[0] == 0 else []) + samples(arg[2])
+        else:
+            assert name == "ASSERT_NOT", name
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_keywords_lose_no_match():
+    from re import _parser
+
+    for label, name, keywords in license_rules.FAMILIES:
+        for text in samples(_parser.parse(name)):
+            assert any(k in text for k in keywords), (label, text)
+    for label, _, pattern, keywords in license_rules.CLAUSES:
+        for text in samples(_parser.parse(pattern)):
+            assert any(k in text for k in keywords), (label, text)
+
+
+def test_license_spelled_out_creative_commons(spark):
+    cases = {f"Licensed under Creative Commons {c.upper()} 4.0": c for c in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")}
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for r in license_rules.license_scan(frame).collect():
+        assert f"cc-{list(cases.values())[r['doc_id']]}" in r["labels"].split(",") and r["score"] > 0.9
