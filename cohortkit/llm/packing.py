@@ -178,10 +178,15 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     columns named part, number, place_number, sequence_id or offset.  An empty
     table gives no rows; rows may repeat.
     """
-    spark = pieces.sparkSession
-    prepare(spark)
+    prepare(pieces.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    numbered = staged(pieces.mapInArrow(_number, f"{schema}, part int, number long"), "pieces")
+    return _placed(pieces.mapInArrow(_number, f"{schema}, part int, number long"), schema, capacity)
+
+
+def _placed(numbered: DataFrame, schema: str, capacity: int) -> DataFrame:
+    """The rows that ``_number`` made of rows of the schema, with sequence_id and offset."""
+    spark, columns = numbered.sparkSession, numbered.columns[:-2]
+    numbered = staged(numbered, "pieces")
     counts = staged(numbered.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
@@ -190,7 +195,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = (numbered.join(base, ["part", "length"])
-              .select(*[F.col(f"`{c}`") for c in pieces.columns], (F.col("base") + F.col("number")).alias("place_number")))
+              .select(*[F.col(f"`{c}`") for c in columns], (F.col("base") + F.col("number")).alias("place_number")))
     return placed.mapInArrow(_assign(plan), f"{schema}, sequence_id long, offset long")
 
 
@@ -205,10 +210,11 @@ def _cut(path: str, capacity: int, separator: int, with_ids: bool):
                     part = ids[start:start + capacity]
                     for values, v in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), part)):
                         values.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            n = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out[:n], kinds[:n])],
-                                             names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:n])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            columns = [pa.array(v, k) for v, k in zip(out, kinds)]
+            if with_ids:
+                columns.append(pa.array(out[5], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(columns)])
     return run
 
 
@@ -228,3 +234,62 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = SEP
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """The documents' pieces (see ``token_pieces``) with sequence_id and offset (see ``best_fit_pack``)."""
     return best_fit_pack(token_pieces(docs, capacity, with_ids=with_ids), capacity)
+
+
+#: Between the cut and the sequences ids travel as bytes, two for each where the vocabulary allows.
+_NARROW = 1 << 16
+
+
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids as little-endian bytes: two for each, or four where one is too large."""
+    return ids.astype("<u2" if not len(ids) or ids.max() < _NARROW else "<u4").tobytes()
+
+
+def _cut_numbered(path: str, capacity: int, separator: int):
+    """``_cut`` with ids in bytes and ``_number`` in one Python task, so that a tokenizer is held once for each."""
+    def cut(batches):
+        tokenizer = PieceTokenizer.of_process(path)
+        for batch in batches:
+            out: list[list] = [[] for _ in _PIECES]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1))):
+                ids = np.append(ids, np.uint32(separator))
+                for piece, start in enumerate(range(0, len(ids), capacity)):
+                    part = ids[start:start + capacity]
+                    for values, v in zip(out, (doc_id, piece, start, len(part), _narrow(part))):
+                        values.append(v)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=list(_PIECES))
+    return lambda batches: _number(cut(batches))
+
+
+def _opened(batches):
+    """Ids as a list column again, with a checksum taken from the ids as packed."""
+    for batch in batches:
+        names = batch.schema.names
+        data, length = batch.column(names.index("ids")).to_pylist(), batch.column(names.index("length")).to_pylist()
+        parts = [np.frombuffer(d, "<u2" if len(d) == 2 * n else "<u4").astype("<u4") for d, n in zip(data, length)]
+        ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+        ids = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+        columns = dict(zip(names, batch.columns))
+        columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+        columns["ids_crc32"] = pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64())
+        yield pa.RecordBatch.from_arrays([columns[c] for c in _SEQUENCES], names=list(_SEQUENCES))
+
+
+_PIECES = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids": "binary"}
+_SEQUENCES = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "sequence_id": "long",
+              "offset": "long", "ids": "array<int>"}
+
+
+def pack_sequences(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The documents' sequences with their tokens: pieces as of ``pack_documents`` with ``ids`` and the checksum of these.
+
+    The rows of a sequence lie behind one another in one partition, by offset,
+    so a sequence's ids are those of its rows, joined.
+    """
+    prepare(docs.sparkSession)
+    schema = ", ".join(f"{c} {k}" for c, k in _PIECES.items())
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    numbered = slim.mapInArrow(_cut_numbered(default_path(), capacity, SEPARATOR_ID), f"{schema}, part int, number long")
+    placed = _placed(numbered, schema, capacity).repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    return placed.mapInArrow(_opened, ", ".join(f"{c} {k}" for c, k in _SEQUENCES.items()))

@@ -13,7 +13,7 @@ from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
 from .oracle import ORACLE
 from .order_minhash import edited_fingerprints
-from .packing import pack_documents
+from .packing import pack_sequences
 from .pii import KINDS, pii_spans, span_digest
 from .quality_rules import quality_rules
 from .token_store import round_trip, token_checksums
@@ -52,8 +52,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_pattern_packing")
 def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's token pieces in sequences of at most 2048 tokens."""
-    return pack_documents(documents(spark, sf_dir))
+    """Every document's token pieces in sequences of at most 2048 tokens, with checksums of the packed ids."""
+    return pack_sequences(documents(spark, sf_dir)).drop("ids")
 
 
 @query("op7_water_filling_mix")

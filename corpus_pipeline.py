@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.llm.mixing import mix_sources
 from cohortkit.llm.ngram_jaccard import ngram_jaccard_join
-from cohortkit.llm.packing import pack_documents
+from cohortkit.llm.packing import pack_sequences
 from cohortkit.llm.pii import redact
 from cohortkit.llm.quality_rules import quality_rules
 from cohortkit.llm.staging import staged
@@ -55,8 +55,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces in sequences."""
-    return pack_documents(docs)
+    """The documents' token pieces with their ids, the pieces of a sequence behind one another."""
+    return pack_sequences(docs)
 
 
 STAGES = [

@@ -228,6 +228,36 @@ def test_packing(spark, texts, tokenizer, odd_docs, no_docs):
     assert with_ids["ids"][-1] == 0 and len(with_ids["ids"]) == with_ids["length"]
 
 
+def test_packed_sequences_hold_the_tokens(spark, texts, tokenizer, odd_docs, no_docs):
+    rows = [*texts.items(), (10_000, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for packed in (packing.pack_sequences(frame), corpus_pipeline.packing(spark, frame, "")):
+        got = packed.collect()
+        check_packed(got, 2048)
+        sequences = defaultdict(list)
+        for a, b in itertools.pairwise(got):  # a sequence's rows lie together, by offset
+            assert a["sequence_id"] != b["sequence_id"] or a["offset"] + a["length"] == b["offset"]
+        for r in got:
+            assert len(sequences[r["sequence_id"]]) == r["offset"]
+            sequences[r["sequence_id"]] += r["ids"]
+        tokens = defaultdict(list)
+        for r in sorted(got, key=lambda r: (r["doc_id"], r["piece"])):
+            part = sequences[r["sequence_id"]][r["offset"]:r["offset"] + r["length"]]
+            assert r["start"] == len(tokens[r["doc_id"]]) and r["ids_crc32"] == crc(part)
+            tokens[r["doc_id"]] += part
+        assert tokens == {k: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for k, t in rows}
+    assert packing.pack_sequences(odd_docs).count() == packing.pack_documents(odd_docs).count()
+    assert packing.pack_sequences(no_docs).count() == 0
+
+
+def test_narrow_ids_come_back():
+    names = ["doc_id", "piece", "start", "length", "sequence_id", "offset", "ids"]
+    for ids in ([0, 65535], [65536, 1], [1 << 30]):
+        batch = pa.RecordBatch.from_arrays([pa.array([v]) for v in (1, 0, 0, len(ids), 0, 0, packing._narrow(np.array(ids, np.uint32)))], names=names)
+        back = next(packing._opened([batch]))
+        assert back.column(back.schema.names.index("ids")).to_pylist() == [ids]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pattern_plan_uses_up_the_histogram(seed):
     rng = np.random.default_rng(seed)
