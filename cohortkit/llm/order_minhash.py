@@ -1,8 +1,11 @@
 """Document fingerprints by order min-hash, in DataFrame expressions.
 
-A text's units are its words, or its characters when it has at most
-CHARACTER_TEXT of them.  Every run of UNITS units is a k-mer, numbered among
-its equals, so a repeated k-mer counts as often as it occurs.  One hash deals
+A text's units are its words; a text of at most CHARACTER_TEXT characters has
+its characters as a second kind of unit, and two such texts are compared by
+these, all others by words.  Words that are long or written without spaces
+count as the overlapping pieces they are made of.  Every run of UNITS units is
+a k-mer, numbered among its equals, so a repeated k-mer counts as often as it
+occurs.  One hash deals
 the numbered k-mers into BINS bins and ranks them there; from each bin the
 TUPLE smallest are taken, put back into text order and hashed together.  A
 text moved about keeps its k-mers but not their order, so the signatures
@@ -21,6 +24,10 @@ BINS = 1 << BINS_BITS
 CHARACTER_TEXT = 512
 #: Units of a k-mer of words, and of characters.
 UNITS = {"words": 2, "characters": 5}
+#: A word that is longer, or has a character of a script without spaces, is split into pieces of so many characters,
+#: each one character on from the one before: two in a row are a k-mer of UNITS["characters"].
+LONG_WORD, PIECE = 32, UNITS["characters"] - 1
+UNSPACED = "\\x{0E00}-\\x{0EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{2E80}-\\x{A4CF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFF}"
 #: Bits of a k-mer's place in its text kept beside its rank.
 PLACE_BITS = 24
 RANK_BITS = 63 - BINS_BITS - PLACE_BITS
@@ -33,15 +40,38 @@ def _kmers(units: Column, n: int) -> Column:
     return F.transform(F.slice(units, 1, last), lambda u, i: F.xxhash64(u, *[F.get(units, i + k) for k in range(1, n)]))
 
 
+def _words(text: str) -> Column:
+    words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda x: x != "")
+    odd = f"[{UNSPACED}]|[^ \\t-\\r]{{{LONG_WORD + 1}}}"
+
+    def pieces(word):
+        chars = F.filter(F.split(word, ""), lambda x: x != "")
+        return F.transform(F.slice(chars, 1, F.greatest(F.size(chars) - (PIECE - 1), F.lit(1))),
+                           lambda c, i: F.concat_ws("", c, *[F.get(chars, i + k) for k in range(1, PIECE)]))
+
+    return F.when(F.col(text).rlike(odd), F.flatten(F.transform(
+        words, lambda w: F.when(w.rlike(odd), pieces(w)).otherwise(F.array(w))))).otherwise(words)
+
+
 def with_fingerprint(frame: DataFrame, text: str, name: str) -> DataFrame:
-    """Add column ``name``: an array of (bin, tuple hash) structs of the text column; null where it has no k-mer."""
-    u, h, s, v = (f"_{name}_{x}" for x in ("units", "kmers", "sorted", "ranked"))
+    """Add column ``name``: an array of signatures of the text column, by kind of unit and bin.
+
+    The low bits of a signature are its bin, the bit above them is 1 for
+    characters; a text has those when it is short enough to.
+    """
+    units = {"words": _words(text), "characters": F.when(F.length(text) <= CHARACTER_TEXT, F.filter(F.split(text, ""), lambda x: x != ""))
+             .otherwise(F.array().cast("array<string>"))}
+    for kind, of_kind in units.items():
+        frame = _with_signatures(frame.withColumn(f"_{name}_units", of_kind), f"_{name}_units", f"{name}_{kind}", UNITS[kind], kind == "characters")
+    both = [f"{name}_{kind}" for kind in units]
+    return frame.withColumn(name, F.concat(*both)).drop(*both)
+
+
+def _with_signatures(frame: DataFrame, u: str, name: str, n_units: int, characters: bool) -> DataFrame:
+    """Replace the units by their signatures, column ``name``."""
+    h, s, v = (f"_{name}_{x}" for x in ("kmers", "sorted", "ranked"))
     place, low = F.lit((1 << PLACE_BITS) - 1), PLACE_BITS
-    by_character = F.length(text) <= CHARACTER_TEXT
-    frame = frame.withColumn(u, F.when(by_character, F.split(text, "")).otherwise(F.split(text, "[ \\t-\\r]+")))
-    frame = frame.withColumn(u, F.filter(u, lambda x: x != ""))
-    frame = frame.withColumn(h, F.when(by_character, _kmers(F.col(u), UNITS["characters"]))
-                             .otherwise(_kmers(F.col(u), UNITS["words"]))).drop(u)
+    frame = frame.withColumn(h, _kmers(F.col(u), n_units)).drop(u)
     # value in the high bits, place in the low ones: one sort brings equal k-mers together in text order
     packed = F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, low), low).bitwiseOR(i.bitwiseAND(place).cast("long")))
     frame = frame.withColumn(s, F.sort_array(packed)).drop(h)
@@ -75,24 +105,33 @@ def with_fingerprint(frame: DataFrame, text: str, name: str) -> DataFrame:
         kmer = lambda x: F.shiftright(x, low)
         in_order = F.when(p["b"].isNull(), F.xxhash64(kmer(p["a"]))).when(
             at(p["a"]) < at(p["b"]), F.xxhash64(kmer(p["a"]), kmer(p["b"]))).otherwise(F.xxhash64(kmer(p["b"]), kmer(p["a"])))
-        return F.shiftleft(in_order, BINS_BITS).bitwiseOR(of_bin(p["a"]))
+        return F.shiftleft(in_order, BINS_BITS + 1).bitwiseOR(of_bin(p["a"])).bitwiseOR(F.lit(BINS if characters else 0).cast("long"))
 
     return frame.withColumn(name, F.transform(pairs, signature)).drop(v)
 
 
 def fingerprint_string(signatures: str) -> Column:
-    """The signatures in hex, by bin; empty for a text without k-mers."""
+    """The signatures in hex, by kind and bin; empty for a text without k-mers."""
     return F.array_join(F.transform(signatures, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def likeness(a: str, b: str) -> Column:
     """From the share of the bins that either text uses in which both have the same tuple; 1 for two texts without k-mers.
 
+    Compared by characters where both texts have k-mers of them, by words otherwise.
+
     All TUPLE k-mers of a tuple must agree, so the share's TUPLE-th root estimates that of one k-mer.
     """
-    bins = lambda c: F.transform(c, lambda x: x.bitwiseAND(F.lit(BINS - 1).cast("long")))
-    used = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(used == 0, 1.0).otherwise(F.pow(F.size(F.array_intersect(a, b)) / used, F.lit(1.0 / TUPLE)))
+    def of(c, characters):
+        return F.filter(c, lambda x: (x.bitwiseAND(F.lit(BINS).cast("long")) != 0) == characters)
+
+    def share(a, b):
+        bins = lambda c: F.transform(c, lambda x: x.bitwiseAND(F.lit(BINS - 1).cast("long")))
+        used = F.size(F.array_union(bins(a), bins(b)))
+        return F.when(used == 0, 1.0).otherwise(F.pow(F.size(F.array_intersect(a, b)) / used, F.lit(1.0 / TUPLE)))
+
+    by_character = (F.size(of(a, True)) > 0) & (F.size(of(b, True)) > 0)
+    return F.when(by_character, share(of(a, True), of(b, True))).otherwise(share(of(a, False), of(b, False)))
 
 
 def with_next(frame: DataFrame, columns: list[str]) -> DataFrame:

@@ -181,6 +181,21 @@ def test_fingerprint_follows_order(spark):
     assert 0.5 < near[0] < 1 and near[2] < near[0]
 
 
+@pytest.mark.parametrize("text", [
+    " ".join(f"w{k}" for k in range(200))[:order_minhash.CHARACTER_TEXT],  # at the limit of the second kind of unit
+    "".join(chr(0x4E00 + k * k * 37 % 5000) for k in range(900)),  # no spaces
+    "data " + hashlib.sha512(b"x").hexdigest() * 2 + hashlib.sha512(b"y").hexdigest() * 3])
+def test_fingerprint_of_near_copies(spark, text):
+    """A copy with one character more is near, an unrelated text of the sort is not."""
+    other = "".join(chr(ord(c) ^ 3) if k % 2 else c for k, c in enumerate(text[::-1]))
+    copies = [text, text + "z", text[:100] + "q" + text[100:]]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate([*copies, other])], "doc_id long, text string")
+    got = {r["doc_id"]: r["signatures"] for r in order_minhash.fingerprints(frame).collect()}
+    rows = spark.createDataFrame([(got[0], got[k]) for k in (1, 2, 3)], "a array<long>, b array<long>")
+    one_more, inserted, unrelated = (r[0] for r in rows.select(order_minhash.likeness("a", "b")).collect())
+    assert one_more > 0.9 and inserted > 0.8 and unrelated < 0.3
+
+
 def test_fingerprint_odd_rows(odd_docs, no_docs, spark):
     assert order_minhash.edited_fingerprints(odd_docs).count() == odd_docs.count()
     assert order_minhash.edited_fingerprints(no_docs).count() == 0
