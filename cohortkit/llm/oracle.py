@@ -124,15 +124,134 @@ shingles AS (
   SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s
   FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM docs WHERE len(words) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-overlaps AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-links AS (SELECT o.a, o.b FROM overlaps o JOIN sizes x ON x.doc_id = o.a JOIN sizes y ON y.doc_id = o.b
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT o.a, o.b FROM shared o JOIN sizes x ON x.doc_id = o.a JOIN sizes y ON y.doc_id = o.b
           WHERE 100 * o.n >= 75 * (x.n + y.n - o.n)),
 reached AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
 SELECT d.doc_id, CAST(coalesce(any_value(s.n), 0) AS BIGINT) AS n_shingles, CAST(min(r.other) AS BIGINT) AS component_id
 FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reached r ON r.doc_id = d.doc_id GROUP BY d.doc_id"""
 
+
+_AUDIT = """
+WITH labelled AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {words} AS words FROM documents),
+cells AS (
+  SELECT c.part, (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END)
+         + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END)
+         + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+         + (CASE WHEN c.doc_id > min(c.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS mask,
+         coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic
+  FROM counted c LEFT JOIN labelled l ON l.doc_id = c.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (
+  SELECT v.c || w.c || x.c || y.c || z.c AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bits
+  FROM letters v, letters w, letters x, letters y, letters z WHERE (v.b | w.b | x.b | y.b | z.b) = 31),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+masks AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM cells GROUP BY part, mask),
+audited AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM masks, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM audited""".format(words=_WORDS)
+
+
+#: The checksum is worked out byte by byte; one recursion then reads a row of every conversation at a time and keeps
+#: the cheapest edits to each state (0 nothing yet, 1 after s, 2 after u, 3 after a).
+_REPAIR = """
+WITH RECURSIVE bytes(b, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bytes WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS l FROM bytes WHERE k = 8),
+named AS (
+  SELECT DISTINCT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations),
+harms AS (
+  SELECT conv_id, turn, xor(list_reduce(list_concat([4294967295], list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                        lambda c, b: xor(c >> 8, l[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS harm
+  FROM named, crc),
+damaged AS (
+  SELECT v.conv_id, v.turn, CASE WHEN harm = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+         unnest(CASE harm WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM conversations v JOIN harms h ON h.conv_id IS NOT DISTINCT FROM v.conv_id AND h.turn IS NOT DISTINCT FROM v.turn),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+faulty AS (
+  SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous,
+         CASE WHEN NOT regexp_matches(text, '[^ \t-\r]') THEN 'blank'
+              WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][ \t-\r]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+convs AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+numbered AS (SELECT c, f.* FROM faulty f JOIN convs v ON v.conv_id IS NOT DISTINCT FROM f.conv_id),
+inserts AS (SELECT * FROM (VALUES (0, 0, 0, ''), (0, 2, 1, chr(10) || 'user:'), (0, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, 1, 0, ''), (1, 2, 1, chr(10) || 'user:'), (1, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, 2, 0, ''), (2, 3, 1, chr(10) || 'assistant:'), (3, 3, 0, ''), (3, 2, 1, chr(10) || 'user:')) AS t(q, q2, n, said)),
+edits AS (SELECT * FROM (VALUES ('D', 0, 0, '', ''), ('D', 1, 1, '', ''), ('D', 2, 2, '', ''), ('D', 3, 3, '', ''),
+  ('K', 0, 1, 's', ''), ('K', 0, 2, 'u', ''), ('K', 1, 2, 'u', ''), ('K', 2, 3, 'a', ''), ('K', 3, 2, 'u', ''),
+  ('R', 0, 2, '', 'user'), ('R', 1, 2, '', 'user'), ('R', 2, 3, '', 'assistant'), ('R', 3, 2, '', 'user')) AS t(letter, q, q2, initial, role)),
+fixed(c, i, q, cost, audit, said) AS (
+  SELECT c, CAST(0 AS BIGINT), q2, 5 * n, repeat('I', n), said FROM convs, inserts WHERE q = 0
+  UNION ALL
+  SELECT c, i, q, cost, audit, said FROM (
+    SELECT *, row_number() OVER (PARTITION BY c, q ORDER BY cost, audit) AS rank FROM (
+      SELECT f.c, r.i, x.q2 AS q,
+             f.cost + CASE e.letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END
+               + CASE WHEN e.letter <> 'D' AND r.fault = 'truncated' THEN 5 ELSE 0 END + 5 * x.n AS cost,
+             f.audit || e.letter || repeat('I', x.n) AS audit,
+             f.said || CASE e.letter WHEN 'D' THEN '' WHEN 'R' THEN chr(10) || e.role || ':' || r.text
+                                     ELSE chr(10) || r.role || ':' || r.text END || x.said AS said
+      FROM fixed f JOIN numbered r ON r.c = f.c AND r.i = f.i + 1
+      JOIN edits e ON e.q = f.q AND (e.letter = 'D' OR r.fault IN ('', 'truncated') AND (e.letter = 'R' OR e.initial = r.initial))
+      JOIN inserts x ON x.q = e.q2)) WHERE rank = 1),
+lengths AS (
+  SELECT v.c, v.conv_id, count(n.i) AS n, coalesce(max(n.turn) - min(n.turn) + 1 - count(DISTINCT n.turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM convs v LEFT JOIN numbered n ON n.c = v.c GROUP BY v.c, v.conv_id),
+ranked AS (
+  SELECT l.*, f.cost, f.audit, f.said, row_number() OVER (PARTITION BY l.c ORDER BY f.cost, f.audit) AS rank
+  FROM lengths l JOIN fixed f ON f.c = l.c AND f.i = l.n AND f.q IN (0, 3))
+SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, CAST(blank AS BIGINT) AS blank, CAST(duplicate AS BIGINT) AS duplicate,
+       CAST(truncated AS BIGINT) AS truncated, CAST(illegal AS BIGINT) AS illegal, CAST(cost AS BIGINT) AS cost, audit,
+       sha256(substr(said, 2)) AS repaired_sha256
+FROM ranked WHERE rank = 1"""
+
+
+_WARC = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages),
+digits AS (
+  SELECT *, list_transform(string_split(h, ''), lambda x: instr('0123456789abcdef', x) - 1) AS d FROM hashed)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(((16 * d[i * 5 // 4 + 1] + d[i * 5 // 4 + 2]) >> (3 - i * 5 % 4)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN NULL ELSE first_id END AS refers_to
+FROM digits"""
+
 ORACLE = {
     "op6_quality_rules": _quality(),
     "op7_water_filling_mix": _mixing(),
     "op8_ngram_jaccard": _JACCARD,
+    "op11_filter_audit": _AUDIT,
+    "op12_conversation_repair": _REPAIR,
+    "op13_warc": _WARC,
 }

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import warc
 from .chat_repair import repair_roles
+from .conversation_repair import damage, repair_reports
+from .filter_audit import filter_audit
 from .license_rules import license_scan
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
@@ -112,3 +115,28 @@ def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation in legal roles, rendered turn by turn."""
     return repair_roles(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op11_filter_audit")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes at each step of every order, for each source."""
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return repair_reports(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+@query("op13_warc")
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from WARC archives."""
+    records = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    stored = F.col("warc_type") == "response"
+    declared = F.regexp_replace(F.col("headers")["WARC-Payload-Digest"], "^sha1:", "")
+    return records.select(
+        F.col("headers")["Page-Id"].cast("long").alias("page_id"),
+        F.when(stored, F.octet_length("payload")).otherwise(F.col("http_headers")["Content-Length"]).cast("long").alias("payload_bytes"),
+        F.when(stored, warc.base32_sha1(F.col("payload"))).otherwise(declared).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), F.col("headers")["Refers-To-Page-Id"].cast("long").alias("refers_to"))
