@@ -7,6 +7,8 @@ distances are exact integers and window frames do not depend on day counts.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,3 +60,32 @@ def month_before(month: str, n: int) -> str:
     """The 'yyyy-MM' month n months earlier."""
     i = int(month[:4]) * 12 + int(month[5:7]) - 1 - n
     return f"{i // 12:04d}-{i % 12 + 1:02d}"
+
+
+#: Formats whose text order is the order of the dates.
+ORDERED_FORMATS = {"yyyyMMdd": "%Y%m%d", "yyyy-MM-dd": "%Y-%m-%d", "yyyy/MM/dd": "%Y/%m/%d"}
+#: Formats that end with the year.
+YEAR_LAST_FORMATS = ("MMddyyyy", "ddMMyyyy", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyyy")
+
+
+def string_date_window(col: str, fmt: str, start: str, end: str) -> Column:
+    """Rows whose text ``col``, read as ``fmt``, is a date of the inclusive window ``start``..``end``.
+
+    The exact test parses the text.  Beside it stands a coarser condition on
+    the text itself that reaches the scan: bounds where the text order is the
+    date order, the window's years as endings where the year stands last.  No
+    text that parses into the window fails it, so malformed texts are judged
+    by the exact test alone.
+    """
+    first, last = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
+    exact = parse_date(col, fmt).between(F.lit(first), F.lit(last))
+    if fmt in ORDERED_FORMATS:
+        shape = ORDERED_FORMATS[fmt]
+        return (F.col(col) >= first.strftime(shape)) & (F.col(col) <= last.strftime(shape)) & exact
+    if fmt in YEAR_LAST_FORMATS:
+        ends = None
+        for year in range(first.year, last.year + 1):
+            one = F.col(col).endswith(f"{year:04d}")
+            ends = one if ends is None else ends | one
+        return exact if ends is None else ends & exact
+    return exact

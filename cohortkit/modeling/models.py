@@ -1,4 +1,4 @@
-"""Estimators on pyspark.ml.
+"""Estimators on pyspark.ml.
 
 Fitting is distributed (executors aggregate gradients / tree statistics);
 only model parameters live on the driver.
@@ -6,16 +6,16 @@ only model parameters live on the driver.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortkit.session import materialize
+
 KINDS = ("logistic_l1", "logistic_l2", "forest", "boosted", "mlp")
 
 
@@ -75,22 +75,6 @@ def last_stage(model: PipelineModel):
     return model.stages[-1]
 
 
-def save_version(model: PipelineModel, root: str, name: str, version: int) -> str:
-    """Save under <root>/<name>/v=<version> (overwrite)."""
-    path = os.path.join(root, name, f"v={version}")
-    model.write().overwrite().save(path)
-    return path
-
-
-def load_version(root: str, name: str, version: int) -> PipelineModel:
-    return PipelineModel.load(os.path.join(root, name, f"v={version}"))
-
-
-def version_table(spark, rows) -> DataFrame:
-    """Small registry table (name, version, stage, path, metric)."""
-    return spark.createDataFrame(rows, "name string, version int, stage string, path string, roc_auc double")
-
-
 def select_by_importance(model: PipelineModel, features, max_features: int = 50) -> list:
     """Forest importances above their mean, at most ``max_features`` (largest first)."""
     imp = list(last_stage(model).featureImportances.toArray())
@@ -99,50 +83,160 @@ def select_by_importance(model: PipelineModel, features, max_features: int = 50)
     return [f for _, f in ranked[:max_features]]
 
 
-def recursive_elimination(train: DataFrame, features, label: str = "target", keep: int = 50,
-                          step: int = 1, **kw) -> list:
-    """Refit a logistic model, drop the ``step`` smallest |coef| until ``keep`` remain."""
-    feats = list(features)
-    while len(feats) > keep:
-        m = fit(train, feats, "logistic_l2", label, **kw)
-        coef = list(last_stage(m).coefficients.toArray())
-        order = sorted(zip((abs(c) for c in coef), feats))
-        drop = {f for _, f in order[: min(step, len(feats) - keep)]}
-        feats = [f for f in feats if f not in drop]
-    return feats
-
+class Matrix:
+    """Rows assembled once: a feature vector beside the kept columns, written to the shared folder.
+
+    Searches that fit many models on subsets of the features slice the vector
+    instead of assembling the rows anew.
+    """
+
+    def __init__(self, rows: DataFrame, features) -> None:
+        self.rows, self.features = rows, list(features)
+
+    @classmethod
+    def of(cls, df: DataFrame, features, keep) -> Matrix:
+        features = list(features)
+        rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df).select(*keep, "features")
+        return cls(materialize(rows, "matrix"), features)
+
+    def where(self, condition) -> Matrix:
+        return Matrix(self.rows.where(condition), self.features)
+
+    def sliced(self, features) -> Matrix:
+        """The same rows with the named features only."""
+        features = list(features)
+        if features == self.features:
+            return self
+        at = [self.features.index(f) for f in features]
+        rows = VectorSlicer(inputCol="_all", outputCol="features", indices=at).transform(self.rows.withColumnRenamed("features", "_all"))
+        return Matrix(rows.drop("_all"), features)
+
+    def fit(self, kind: str, label: str = "target", weight_col: str | None = None, seed: int = 42, **kw):
+        """A fitted model of the vector column."""
+        if kind in ("logistic_l1", "logistic_l2") and "reg" not in kw:
+            total = self.rows.agg(F.sum(weight_col) if weight_col else F.count(F.lit(1))).first()[0]
+            kw["reg"] = 1.0 / total if total else 0.0
+        return make_estimator(kind, len(self.features), label, weight_col, seed, **kw).fit(self.rows)
+
+
+def recursive_elimination(matrix: Matrix, label: str = "target", keep: int = 50, step: int = 1, **kw) -> list[tuple[int, str, float]]:
+    """Refit an L2 logistic model and drop the ``step`` smallest |coefficients| (ties by name) until ``keep`` remain.
+
+    Returns (round, feature, |coefficient| in that round's model) in the order
+    of elimination, then the kept features with round 0 and their coefficient
+    in the last model.  The rows are read from the written matrix each time.
+    """
+    if step < 1:
+        raise ValueError("step must be at least 1")
+    left, out, number = list(matrix.features), [], 0
+    while True:
+        fitted = matrix.sliced(left).fit("logistic_l2", label, **kw)
+        order = sorted(zip((abs(float(c)) for c in fitted.coefficients.toArray()), left))
+        if len(left) <= keep:
+            return out + [(0, f, c) for c, f in reversed(order)]
+        number += 1
+        gone = order[:min(step, len(left) - keep)]
+        out += [(number, f, c) for c, f in gone]
+        left = [f for f in left if f not in {f for _, f in gone}]
+
+
+def prefix_place(keys, seed: int):
+    """A row's place in a fixed hash order of its keys, in [0, 1)."""
+    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def learning_curve(matrix: Matrix, folds: DataFrame, fractions, label: str = "target", month_col: str = "cohort_month",
+                   keys=("actor_id", "cohort_month"), kind: str = "logistic_l2", seed: int = 42, **kw) -> DataFrame:
+    """Accuracy on training and validation rows at growing sizes, over expanding folds.
+
+    A size is the prefix of the training months' rows in one hash order, so
+    every size contains the smaller ones.  Returns a row for each fold and
+    fraction: (fold, fraction, n_train, n_valid, train_accuracy, valid_accuracy).
+    ``folds`` has the month ranges of ``prep.expanding_month_splits``: a
+    handful of rows.  A size with one class only is left out.
+    """
+    placed = Matrix(matrix.rows.withColumn("_place", prefix_place(keys, seed)), matrix.features)
+    rows = []
+    for fold in folds.orderBy("fold").collect():
+        months = placed.where(F.col(month_col) <= fold["valid_to"])
+        is_train = F.col(month_col) <= fold["train_to"]
+        for fraction in sorted(fractions):
+            part = months.where(is_train & (F.col("_place") < float(fraction)))
+            if part.rows.agg(F.countDistinct(label)).first()[0] < 2:
+                continue
+            fitted = part.fit(kind, label, seed=seed, **kw)
+            judged = fitted.transform(months.where(~is_train | (F.col("_place") < float(fraction))).rows)
+            right = (F.col("prediction") == F.col(label)).cast("double")
+            # the rows of the prefix and the validation months in one pass
+            one = judged.agg(F.count(F.when(is_train, 1)), F.count(F.when(~is_train, 1)), F.avg(F.when(is_train, right)),
+                             F.avg(F.when(~is_train, right))).first()
+            rows.append((fold["fold"], float(fraction), *one))
+    return matrix.rows.sparkSession.createDataFrame(
+        rows, "fold int, fraction double, n_train long, n_valid long, train_accuracy double, valid_accuracy double")
+
+
+def learning_curve_summary(curve: DataFrame) -> DataFrame:
+    """Mean and deviation over the folds for each fraction."""
+    return curve.groupBy("fraction").agg(
+        F.count(F.lit(1)).alias("n_folds"), F.avg("n_train").alias("mean_train_rows"),
+        *[fn(c).alias(f"{c}_{n}") for c in ("train_accuracy", "valid_accuracy") for n, fn in (("mean", F.avg), ("std", F.stddev_samp))])
+
+
+SELECTIONS = ("none", "importance", "elimination")
+RESAMPLINGS = ("none", "weights", "oversample", "undersample")
+
+
+def chosen_features(train: Matrix, selection: str, label: str = "target", most: int = 50, seed: int = 42, **kw) -> list:
+    """Features that a selection keeps, found on training rows only."""
+    if selection == "none":
+        return train.features
+    if selection == "importance":
+        weights = train.fit("forest", label, seed=seed).featureImportances.toArray()
+        mean = sum(weights) / len(weights)
+        best = sorted((-float(w), f) for f, w in zip(train.features, weights) if w > mean)
+        return [f for _, f in best[:most]] or train.features
+    if selection == "elimination":
+        return [f for n, f, _ in recursive_elimination(train, label, most, **kw) if n == 0]
+    raise ValueError(f"unknown selection {selection}")
+
+
+def resampled(train: Matrix, resampling: str, label: str = "target", keys=("actor_id", "cohort_month"), seed: int = 42) -> Matrix:
+    """Training rows with the class balance that ``resampling`` asks for, and their weight."""
+    from cohortkit.modeling import prep
+
+    if resampling == "weights":
+        rows = prep.with_class_weight(train.rows, label)
+    elif resampling == "oversample":
+        rows = prep.oversample(train.rows, label, list(keys), seed).drop("copy")
+    elif resampling == "undersample":
+        rows = prep.undersample(train.rows, label, list(keys), seed)
+    elif resampling == "none":
+        rows = train.rows
+    else:
+        raise ValueError(f"unknown resampling {resampling}")
+    return Matrix(rows if resampling == "weights" else rows.withColumn("weight", F.lit(1.0)), train.features)
 
-def fraction_by_key(df: DataFrame, fraction: float, keys, seed: int) -> DataFrame:
-    """The rows whose hashed key falls into the first ``fraction`` of the hash range."""
-    place = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000))
-    return df if fraction >= 1 else df.filter(place < int(fraction * 1_000_000))
 
+def fold_scores(train: Matrix, valid: Matrix, kind: str, selection: str = "none", resampling: str = "weights",
+                label: str = "target", keys=("actor_id", "cohort_month"), seed: int = 42, chosen=None) -> DataFrame:
+    """Select and resample on the training rows, fit, and score every validation row once, as it is."""
+    features = chosen_features(train, selection, label, seed=seed) if chosen is None else chosen
+    part = resampled(train.sliced(features), resampling, label, keys, seed)
+    written = Matrix(materialize(part.rows, "training-rows"), features)
+    fitted = written.fit(kind, label, weight_col="weight" if kind != "mlp" else None, seed=seed)
+    out = fitted.transform(valid.sliced(features).rows)
+    return out.select(*keys, F.col(label).alias("label"), vector_to_array("probability")[1].alias("score"))
 
-def learning_curve(train: DataFrame, valid: DataFrame, features, fractions, label: str = "target",
-                   seed: int = 42, kind: str = "logistic_l2", keys=("actor_id", "cohort_month"), **kw):
-    """Train / validation accuracy at growing training fractions (table rows)."""
-    from cohortkit.modeling.metrics import confusion_counts, with_rates
 
-    rows = []
-    for fr in fractions:
-        sub = fraction_by_key(train, fr, keys, seed)
-        m = fit(sub, features, kind, label, seed=seed, **kw)
-        acc = []
-        for part in (sub, valid):
-            sc = score(m, part)
-            acc.append(with_rates(confusion_counts(sc, 0.5, label, "score")).first()["accuracy"])
-        rows.append((float(fr), acc[0], acc[1]))
-    return rows
-
-
-def compare_models(train: DataFrame, test: DataFrame, features, kinds=("logistic_l1", "forest", "boosted", "mlp"),
-                   label: str = "target", weight_col: str | None = "weight", seed: int = 42):
-    """Fit each model kind on ``train``, evaluate on ``test``; yields
-    (kind, one-row metrics DataFrame).  Fits are distributed; the loop runs
-    over a handful of model kinds only."""
+def compare_models(train: Matrix, valid: Matrix, settings, label: str = "target", keys=("actor_id", "cohort_month"), seed: int = 42):
+    """One metrics row for each (kind, selection, resampling); fits are distributed, the loop runs over the settings."""
     from cohortkit.modeling.metrics import classification_metrics
 
-    for kind in kinds:
-        m = fit(train, features, kind, label, weight_col=weight_col, seed=seed)
-        sc = score(m, test).select(F.col(label).alias("label"), "score")
-        yield kind, classification_metrics(sc).select(F.lit(kind).alias("model"), "*")
+    chosen = {}
+    for kind, selection, resampling in settings:
+        if selection not in chosen:
+            chosen[selection] = chosen_features(train, selection, label, seed=seed)
+        scored = fold_scores(train, valid, kind, selection, resampling, label, keys, seed, chosen[selection])
+        yield classification_metrics(scored).select(
+            F.lit(kind).alias("model"), F.lit(selection).alias("selection"), F.lit(resampling).alias("resampling"),
+            F.lit(len(chosen[selection])).alias("n_features"), "*")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.config import StudyConfig
 from cohortkit.functions.dates import month_from_index, month_index, month_index_of_str, month_str
+from cohortkit.operators.distinct import distinct_by_kind
 
 
 def _is(product: str):
@@ -72,6 +73,12 @@ def first_event(events: DataFrame, start_date: str, end_date: str, lookback_mont
         lb.alias("lookback_start_date"), month_str(lb).alias("lookback_start_month"))
 
 
+def _window_counts(rows: DataFrame, keys, is_target) -> DataFrame:
+    """Rows and distinct subjects of the target product and of all others, per ``keys``."""
+    return distinct_by_kind(rows, keys, "subject_id", {"target_subjects": is_target, "other_subjects": ~is_target},
+                            {"target_rows": (F.sum, is_target.cast("long")), "other_rows": (F.sum, (~is_target).cast("long"))})
+
+
 def lookback_counts(events: DataFrame, firsts: DataFrame, product: str,
                     anchor_month_col: str = "first_month",
                     start_month_col: str = "lookback_start_month") -> DataFrame:
@@ -85,13 +92,7 @@ def lookback_counts(events: DataFrame, firsts: DataFrame, product: str,
     ev = events.select("actor_id", "subject_id", "product", "month")
     inwin = (F.col("month") >= F.col("_lb")) & (F.col("month") < F.col("_a"))
     t = _is(product)
-    counts = (ev.join(f, "actor_id")
-                .filter(inwin)
-                .groupBy("actor_id")
-                .agg(F.sum(t.cast("long")).alias("target_rows"),
-                     F.countDistinct(F.when(t, F.col("subject_id"))).alias("target_subjects"),
-                     F.sum((~t).cast("long")).alias("other_rows"),
-                     F.countDistinct(F.when(~t, F.col("subject_id"))).alias("other_subjects")))
+    counts = _window_counts(ev.join(f, "actor_id").filter(inwin), ["actor_id"], t)
     out = f.select("actor_id").join(counts, "actor_id", "left")
     return out.fillna(0, ["target_rows", "target_subjects", "other_rows", "other_subjects"])
 
@@ -153,13 +154,8 @@ def actor_classes(events: DataFrame, cfg: StudyConfig, require_inclusion: bool =
     t = _is(cfg.target_product)
     ev = events.select("actor_id", "subject_id", "product", month_index("event_date").alias("_mi"))
     inwin = (F.col("_mi") >= F.col("_lbi")) & (F.col("_mi") < F.col("_ai"))
-    counts = (ev.join(anchors.select("actor_id", "branch", "_ai", "_lbi"), "actor_id")
-                .filter(inwin)
-                .groupBy("actor_id", "branch")
-                .agg(F.sum(t.cast("long")).alias("target_rows"),
-                     F.countDistinct(F.when(t, F.col("subject_id"))).alias("target_subjects"),
-                     F.sum((~t).cast("long")).alias("other_rows"),
-                     F.countDistinct(F.when(~t, F.col("subject_id"))).alias("other_subjects")))
+    counts = _window_counts(ev.join(anchors.select("actor_id", "branch", "_ai", "_lbi"), "actor_id").filter(inwin),
+                            ["actor_id", "branch"], t)
     out = (anchors.join(counts, ["actor_id", "branch"], "left")
                   .fillna(0, ["target_rows", "target_subjects", "other_rows", "other_subjects"]))
     cls = (F.when(F.col("branch") == "user",

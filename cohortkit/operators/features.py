@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions.dates import month_from_index, month_index_of_str
 from cohortkit.functions.exprs import any_true, listed_class, recode_use
+from cohortkit.operators.distinct import distinct_by_kind
 from cohortkit.operators.panel import densify_ids, fan_out_cohorts
-from cohortkit.operators.shape import col_name
+from cohortkit.operators.shape import col_name, long_to_wide
 
 # Fixed values of the reference's specialty rule (codes, their groups and the
 # substrings that mark internal medicine).
@@ -127,11 +128,10 @@ def share_wide(events: DataFrame, named, groups, cohort_lo: str, cohort_hi: str,
 
 def subjects_by_product_use(events: DataFrame, named, groups) -> DataFrame:
     """Monthly distinct subjects per (actor, product_use), wide."""
-    rows = product_use_rows(events, named, groups)
-    vals = product_use_values(named, groups)
-    return (rows.groupBy("actor_id", "month")
-                .agg(*[F.countDistinct(F.when(F.col("product_use") == v, F.col("subject_id")))
-                       .alias(col_name("N", v)) for v in vals]))
+    rows = product_use_rows(events, named, groups)  # distinct, so each row is one subject of its product_use
+    per = rows.groupBy("actor_id", "month", "product_use").agg(F.count("subject_id").alias("n"))
+    return long_to_wide(per, ["actor_id", "month"], "product_use", "n", product_use_values(named, groups), agg="sum",
+                        prefix="N", fill=0)
 
 
 def org_flag(events: DataFrame, org_col: str = "institution") -> DataFrame:
@@ -235,8 +235,7 @@ def age_band_counts(events: DataFrame, year_start: str, year_end: str, as_of: st
                         & (F.col("event_date") <= F.to_date(F.lit(year_end))))
                 .withColumn("band", age_band(age)))
     names = [b[0] for b in AGE_BANDS] + ["PAT_AGE_NA"]
-    return ev.groupBy("actor_id").agg(
-        *[F.countDistinct(F.when(F.col("band") == n, F.col("subject_id"))).alias(f"{n}_CNT") for n in names])
+    return distinct_by_kind(ev, ["actor_id"], "subject_id", {f"{n}_CNT": F.col("band") == n for n in names})
 
 
 def subject_counts(events: DataFrame, start: str, end: str) -> DataFrame:
@@ -277,11 +276,9 @@ def channel_engagement(channel: DataFrame, known_actors: DataFrame, channel_map:
                .withColumn("month", month_str(parse_date("date_key", "yyyyMMdd"))))
     monthly = ev.groupBy("actor_key", "month", "ch").agg(*[F.sum(m).alias(m) for m in measures])
     fan = fan_out_cohorts(monthly, "month", lag, cohort_lo, cohort_hi, edges).filter(F.col("bucket").isNotNull())
-    fan = fan.withColumn("_k", F.concat_ws("_", "ch", "bucket"))
+    fan = fan.withColumn("_k", F.concat_ws("_", "ch", "bucket")).withColumnRenamed("actor_key", "actor_id")
     vals = [f"{c}_LAST_{e}M" for c in dict.fromkeys(channel_map.values()) for e in edges]
-    agg = fan.groupBy(F.col("actor_key").alias("actor_id"), "cohort_month").agg(
-        *[F.sum(F.when(F.col("_k") == v, F.col(m))).alias(col_name(v, m)) for v in vals for m in measures])
-    return agg.fillna(0, [c for c in agg.columns if c not in ("actor_id", "cohort_month")])
+    return long_to_wide(fan, ["actor_id", "cohort_month"], "_k", list(measures), vals, agg="sum", fill=0)
 
 
 def subject_quantity(events: DataFrame, keys=("subject_id",)) -> DataFrame:
@@ -294,9 +291,7 @@ def subject_quantity_wide(events: DataFrame, products) -> DataFrame:
     use = recode_use("use_flag", unknown_as="binary")
     ev = events.withColumn("_k", F.concat_ws("_", "product", use))
     vals = [f"{p}_{u}" for p in products for u in ("0", "1")]
-    return ev.groupBy("subject_id", "month").agg(
-        *[F.coalesce(F.sum(F.when(F.col("_k") == v, F.col("quantity"))), F.lit(0.0)).alias(col_name("QTY", v))
-          for v in vals])
+    return long_to_wide(ev, ["subject_id", "month"], "_k", "quantity", vals, agg="sum", prefix="QTY", fill=0)
 
 
 def class_breadth_lookback(events: DataFrame, classes, cohort_lo: str, cohort_hi: str,

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortkit.functions.exprs import any_positive
+from cohortkit.operators.distinct import distinct_by_kind
 
 
 class DuplicateKeyError(ValueError):
@@ -82,10 +83,8 @@ def id_coverage(spine: DataFrame, feats: DataFrame, id_col: str = "actor_id", la
     """Spine ids also present in a feature table: overlap size, class
     counts and month range on the overlap (one aggregate)."""
     ov = spine.join(feats.select(id_col).distinct(), id_col, "left_semi")
-    return ov.agg(F.countDistinct(id_col).alias("n_overlap_ids"),
-                  F.countDistinct(F.when(F.col(label) == 1, F.col(id_col))).alias("n_overlap_positive"),
-                  F.countDistinct(F.when(F.col(label) == 0, F.col(id_col))).alias("n_overlap_negative"),
-                  F.min(month_col).alias("first_month"), F.max(month_col).alias("last_month"))
+    kinds = {"n_overlap_ids": F.lit(True), "n_overlap_positive": F.col(label) == 1, "n_overlap_negative": F.col(label) == 0}
+    return distinct_by_kind(ov, [], id_col, kinds, {"first_month": (F.min, F.col(month_col)), "last_month": (F.max, F.col(month_col))})
 
 
 def feature_stats_monthly(df: DataFrame, month_col: str, cols) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions.dates import month_from_index, month_index, month_index_of_str
 from cohortkit.functions.exprs import listed_class
+from cohortkit.operators.distinct import distinct_by_kind
 
 
 def densify_ids(ids: DataFrame, id_cols, period_name: str, lo, hi, step: str | None = None) -> DataFrame:
@@ -145,13 +146,14 @@ def class_breadth_monthly(events: DataFrame, classes, class_col: str = "product_
                           item_col: str = "product", id_col: str = "actor_id") -> DataFrame:
     """D48 step 1: distinct items per class per (id, month), wide with explicit classes.
 
-    Nulls in class/item become 'UNKNOWN', unlisted classes 'OTHER'.  Conditional distinct counts give
-    the pivot in one aggregate (no value-discovery job).
+    Nulls in class/item become 'UNKNOWN', unlisted classes 'OTHER'.  Two
+    levels of aggregates give the pivot (no value-discovery job, no copies of
+    the rows).
     """
     cls = listed_class(class_col, classes)
     item = F.coalesce(F.col(item_col), F.lit("UNKNOWN"))
-    return (events.groupBy(id_col, "month")
-                  .agg(*[F.countDistinct(F.when(cls == c, item)).alias(f"n_{_safe(c)}") for c in classes]))
+    kinds = {f"n_{_safe(c)}": F.col("_cls") == c for c in classes}
+    return distinct_by_kind(events.select(id_col, "month", cls.alias("_cls"), item.alias("_item")), [id_col, "month"], "_item", kinds)
 
 
 def class_breadth_trailing(events: DataFrame, classes, first_month: str, last_month: str,

@@ -11,10 +11,13 @@ one window partition.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortkit.functions.exprs import any_null
+from cohortkit.operators.distinct import distinct_by_kind, distinct_each
 
 
 def find_conflicting(df: DataFrame, id_col: str, attr_col: str) -> DataFrame:
@@ -129,8 +132,8 @@ def null_counts(df: DataFrame, cols=None) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, cols) -> DataFrame:
-    """A3: several exact distinct counts in one aggregate."""
-    return df.agg(*[F.countDistinct(c).alias(f"n_{c}") for c in cols])
+    """A3: several exact distinct counts in one row."""
+    return distinct_each(df, [], {f"n_{c}": c for c in cols})
 
 
 def rows_with_nulls(df: DataFrame, cols=None) -> DataFrame:
@@ -158,17 +161,19 @@ def describe_numeric(df: DataFrame, cols=None) -> DataFrame:
     """Count, mean, sample stddev, min, max per numeric column, as rows."""
     num = {"int", "bigint", "smallint", "tinyint", "double", "float"}
     cols = list(cols or [c for c, t in df.dtypes if t in num or t.startswith("decimal")])
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "column_name", "v")
-    return long.groupBy("column_name").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("stddev"),
-        F.min("v").alias("min"), F.max("v").alias("max"))
+    def measures(c):
+        v = F.col(c).cast("double")
+        return F.struct(F.lit(c).alias("column_name"), F.count(v).alias("count"), F.avg(v).alias("mean"),
+                        F.stddev_samp(v).alias("stddev"), F.min(v).alias("min"), F.max(v).alias("max"))
+
+    # one row of aggregates, turned round afterwards: the rows themselves are not multiplied
+    return df.agg(F.array(*[measures(c) for c in cols]).alias("_m")).select(F.explode("_m").alias("m")).select("m.*")
 
 
 def value_share(df: DataFrame, col: str) -> DataFrame:
     """Percent of records per value (share of the grand total)."""
     cnt = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery, no global window
+    total = cnt.agg(F.sum("n")).scalar()  # a scalar subquery over the counts, whose shuffle is reused
     return cnt.withColumn("pct", F.col("n") * 100.0 / total)
 
 
@@ -193,8 +198,7 @@ def monthly_subjects(events: DataFrame, product: str) -> DataFrame:
 
 def product_reach(events: DataFrame, by=("product",)) -> DataFrame:
     """Distinct actors and subjects per product (and source)."""
-    return events.groupBy(*by).agg(F.countDistinct("actor_id").alias("n_actors"),
-                                   F.countDistinct("subject_id").alias("n_subjects"))
+    return distinct_each(events, by, {"n_actors": "actor_id", "n_subjects": "subject_id"})
 
 
 def relationship_degree(events: DataFrame, left: str, right: str) -> DataFrame:
@@ -216,14 +220,19 @@ def match_coverage(left: DataFrame, right: DataFrame, keys, since_col: str, sinc
     """
     lk = [a for a, _ in keys]
     r = right.groupBy(*[F.col(b).alias(a) for a, b in keys]).agg(F.count(F.lit(1)).alias("_nr"))
-    lm = left.join(r, lk, "inner")
-    since_c = F.col(since_col) >= F.to_date(F.lit(since))
-    aggs = [F.sum("_nr").alias("matched_rows"),
-            F.sum(F.when(since_c, F.col("_nr"))).alias("matched_rows_since")]
+    since_c = F.coalesce(F.col(since_col) >= F.to_date(F.lit(since)), F.lit(False))
+    # the ids that meet, shuffled once and then counted for each id from that shuffle
+    met = (left.join(r, lk, "inner").groupBy(*left_ids, since_c.cast("int").alias("_since"))
+           .agg(F.sum("_nr").alias("_rows")))
+    since_rows = F.when(F.col("_since") == 1, F.col("_rows"))
+    parts = [met.agg(F.sum("_rows").alias("matched_rows"), F.sum(since_rows).alias("matched_rows_since"))]
     for c in left_ids:
-        aggs += [F.countDistinct(c).alias(f"matched_{c}"),
-                 F.countDistinct(F.when(since_c, F.col(c))).alias(f"matched_{c}_since")]
-    return lm.agg(*aggs).fillna(0, ["matched_rows_since"])
+        one = met.groupBy(F.col(c).alias("_id")).agg(F.max("_since").alias("_since")).where("_id is not null")
+        parts.append(one.agg(F.count(F.lit(1)).alias(f"matched_{c}"), F.count(F.when(F.col("_since") == 1, 1)).alias(f"matched_{c}_since")))
+    names = [n for p in parts for n in p.columns]
+    rows = reduce(DataFrame.unionByName, [p.select(*[F.col(n) if n in p.columns else F.lit(None).cast("long").alias(n) for n in names])
+                                          for p in parts])
+    return rows.agg(*[F.max(n).alias(n) for n in names]).fillna(0, ["matched_rows_since"])
 
 
 def dimension_coverage(facts: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
@@ -231,9 +240,8 @@ def dimension_coverage(facts: DataFrame, fact_key: str, dim: DataFrame, dim_key:
     """Distinct fact ids, and how many have a dimension row with a non-null attribute."""
     d = dim.select(F.col(dim_key).alias(fact_key), F.col(dim_attr).alias("_attr"))
     j = facts.select(fact_key).distinct().join(d, fact_key, "left")  # dedupe before the join
-    return j.agg(F.countDistinct(fact_key).alias("n_ids"),
-                 F.countDistinct(F.when(F.col("_attr").isNotNull(), F.col(fact_key))).alias("n_matched")) \
-            .withColumn("share", F.col("n_matched") / F.col("n_ids"))
+    found = distinct_by_kind(j, [], fact_key, {"n_ids": F.lit(True), "n_matched": F.col("_attr").isNotNull()})
+    return found.withColumn("share", F.try_divide("n_matched", "n_ids"))
 
 
 def sample_one_id(df: DataFrame, id_col: str, seed: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions.dates import week_start
 from cohortkit.functions.exprs import recode_use
-from cohortkit.operators.shape import col_name
+from cohortkit.operators.shape import col_name, long_to_wide
 
 
 def weekly_quantity(events: DataFrame, keys=("subject_id",)) -> DataFrame:
@@ -28,13 +28,12 @@ def weekly_quantity(events: DataFrame, keys=("subject_id",)) -> DataFrame:
 def market_overview(weekly: DataFrame, products) -> DataFrame:
     """Per month (of the week start) and product: distinct subjects and
     total quantity, wide by product with explicit product values."""
-    m = weekly.withColumn("month", F.date_format("week", "yyyy-MM"))
-    aggs = []
-    for p in products:
-        c = F.col("product") == F.lit(p)
-        aggs += [F.countDistinct(F.when(c, F.col("subject_id"))).alias(col_name(p, "subjects")),
-                 F.sum(F.when(c, F.col("quantity"))).alias(col_name(p, "quantity"))]
-    return m.groupBy("month").agg(*aggs)
+    m = weekly.select(F.date_format("week", "yyyy-MM").alias("month"), "product", "subject_id", "quantity")
+    seen = m.groupBy("month", "product", "subject_id").agg(F.sum("quantity").alias("quantity"))
+    # products are disjoint, so one row for each (month, product, subject) is all that is counted
+    long = seen.groupBy("month", "product").agg(F.count("subject_id").alias("subjects"), F.sum("quantity").alias("quantity"))
+    wide = long_to_wide(long, "month", "product", ["subjects", "quantity"], products, agg="sum")
+    return wide.fillna(0, [col_name(p, "subjects") for p in products])
 
 
 OTHER_LABEL = "QTY_OTHER"
@@ -63,12 +62,6 @@ def active_weeks(weekly: DataFrame) -> DataFrame:
     return weekly.groupBy("subject_id").agg(F.countDistinct("week").alias("week_cnt"))
 
 
-def quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75, 0.9), exact: bool = True) -> DataFrame:
-    """One row of quantiles (exact linear-interpolated, or approximate with 1% error)."""
-    fn = (lambda p: F.percentile(col, p)) if exact else (lambda p: F.percentile_approx(col, p, 100))
-    return df.agg(*[fn(p).alias(f"q{int(round(p * 100)):02d}") for p in probs])
-
-
 def column_stddevs(wide: DataFrame, id_col: str, cols) -> DataFrame:
     """Sample stddev per id of each column, plus their row total."""
     from cohortkit.functions.exprs import row_total

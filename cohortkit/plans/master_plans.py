@@ -14,8 +14,9 @@ from cohortkit.plans import panel_plans as pp
 from cohortkit.plans.cohort_plans import spine_cte
 from cohortkit.plans.oracle_sql import ACT, AFFL, EV, PROFILE, with_
 from cohortkit.plans.registry import register
-from cohortkit.session import materialize
+from cohortkit.session import materialize, shared_path
 from cohortkit.sources.roles import activity_log, actor_profile, affiliations, channel_log, event_log
+from cohortkit.sources.tables import table_path
 
 T = C.target_product
 KEYS = ["actor_id", "cohort_month"]
@@ -60,6 +61,21 @@ def master_df(spark, sf, materialize_events: bool = True):
                                    ("specialty", specialty, ["actor_id"]), ("organisation", org, ["actor_id"])])
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def written_master(spark, sf):
+    """The run's master table: written to the shared folder once for a session and state of the input tables, then read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(table_path(sf, t)) for t in ("lineitem", "orders", "part", "customer", "supplier", "events")]
+    changed = tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
+    key = (spark.sparkContext.applicationId, sf, changed)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = shared_path(spark, "tables", "master")
+        master_df(spark, sf).write.parquet(_WRITTEN[key])
+    return spark.read.parquet(_WRITTEN[key])
+
+
 AFFL_BEFORE = AFFL.replace("FROM ev JOIN supplier s ON ev.subject_id = s.s_suppkey",
                            f"FROM ev JOIN supplier s ON ev.subject_id = s.s_suppkey AND ev.event_date < DATE '{C.study_start_date}'")
 MASTER_SQL = ",\n".join([
@@ -106,7 +122,7 @@ SELECT peer_flag, count(CASE WHEN target = 0 THEN 1 END) AS target_0, count(CASE
 FROM master GROUP BY peer_flag""")
 def q_flag_label_crosstab(spark, sf):
     """Peer flag x label contingency counts."""
-    return sh.crosstab(master_df(spark, sf), "peer_flag", "target", [0, 1])
+    return sh.crosstab(written_master(spark, sf), "peer_flag", "target", [0, 1])
 
 
 @register("rows_with_any_positive", MASTER_WITH + """
@@ -114,7 +130,7 @@ SELECT actor_id, cohort_month, target, org_flag, peer_flag, own_flag FROM master
 WHERE org_flag > 0 OR peer_flag > 0 OR own_flag > 0""")
 def q_rows_with_any_positive(spark, sf):
     """Master rows where any flag is positive."""
-    m = master_df(spark, sf).select("actor_id", "cohort_month", "target", "org_flag", "peer_flag", "own_flag")
+    m = written_master(spark, sf).select("actor_id", "cohort_month", "target", "org_flag", "peer_flag", "own_flag")
     return ma.rows_with_any_positive(m, ["org_flag", "peer_flag", "own_flag"])
 
 

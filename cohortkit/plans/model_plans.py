@@ -15,13 +15,15 @@ from cohortkit.modeling import explain as ex
 from cohortkit.modeling import metrics as mt
 from cohortkit.modeling import models as md
 from cohortkit.modeling import prep as pr
+from cohortkit.modeling.versions import PRODUCTION, ModelVersions
 from cohortkit.operators import cohort as co
 from cohortkit.operators import features as fe
 from cohortkit.plans import feature_plans as fp
 from cohortkit.plans.cohort_plans import _ev_spine, spine_cte
+from cohortkit.plans.master_plans import written_master
 from cohortkit.plans.oracle_sql import EV, with_
 from cohortkit.plans.registry import register
-from cohortkit.session import checkpoint_dir, materialize
+from cohortkit.session import materialize, shared_path
 from cohortkit.sources.roles import event_log
 
 KEYS = ["actor_id", "cohort_month"]
@@ -323,11 +325,8 @@ def q_temporal_cv_splits(spark, sf):
 # ---- fitted models (rows-only checks) ---------------------------------------------------------
 
 def model_frame(spark, sf):
-    """Master table written once to the shared folder; numeric features scaled
-    with train statistics; class weights attached."""
-    from cohortkit.plans.master_plans import master_df
-
-    m = materialize(master_df(spark, sf), "master")
+    """The run's master table; numeric features scaled with train statistics."""
+    m = written_master(spark, sf)
     feats = [c for c, t in m.dtypes if c not in ("actor_id", "cohort_month", "target", "org_id")
              and t in ("int", "bigint", "double")]
     m = m.select(*KEYS, "target", *[F.col(c).cast("double").alias(c) for c in feats])
@@ -337,6 +336,12 @@ def model_frame(spark, sf):
     return pr.apply_scaler(train, stats, scaled).fillna(0.0), pr.apply_scaler(test, stats, scaled).fillna(0.0), feats
 
 
+def model_matrix(spark, sf):
+    """All rows as one written matrix, with the train months' condition."""
+    train, test, feats = model_frame(spark, sf)
+    return md.Matrix.of(train.unionByName(test), feats, [*KEYS, "target"]), F.col("cohort_month") <= C.train_end
+
+
 def _fit_score(spark, sf, kind):
     train, test, feats = model_frame(spark, sf)
     weighted = pr.with_positive_weight(train, "target") if kind == "boosted" else pr.with_class_weight(train, "target")
@@ -379,6 +384,14 @@ def q_select_features(spark, sf):
                                  "feature string, importance double, rank int")
 
 
+@register("recursive_elimination")
+def q_recursive_elimination(spark, sf):
+    """L2 logistic models refitted on ever fewer features, ten dropped a round, until 50 remain (round 0)."""
+    matrix, is_train = model_matrix(spark, sf)
+    rows = md.recursive_elimination(matrix.where(is_train), keep=50, step=10, max_iter=100)
+    return spark.createDataFrame(rows, "round int, feature string, abs_coef double")
+
+
 @register("coefficient_rank")
 def q_coefficient_rank(spark, sf):
     """Top-20 logistic coefficients by absolute value."""
@@ -398,46 +411,55 @@ def q_feature_importance(spark, sf):
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    """Accuracy drop per permuted feature (network model in the reference; logistic here)."""
-    train, test, feats = model_frame(spark, sf)
-    model = md.fit(pr.with_class_weight(train, "target"), feats, "logistic_l2", weight_col="weight")
-    return ex.permutation_importance(model, test, feats, KEYS, "target", SEED)
+    """Accuracy the network loses when a feature is permuted, five times each."""
+    matrix, is_train = model_matrix(spark, sf)
+    network = matrix.where(is_train).fit("mlp", seed=SEED)
+    layers, weights = list(network.getLayers()), network.weights.toArray()
+    return ex.permutation_importance(lambda x: ex.forward(layers, weights, x).argmax(axis=1), matrix.where(~is_train), KEYS,
+                                     "target", 5, SEED)
+
+
+LEARNING_FRACTIONS = tuple(k / 10 for k in range(1, 11))
 
 
 @register("learning_curve")
 def q_learning_curve(spark, sf):
-    """Train / validation accuracy at growing training fractions."""
-    train, test, feats = model_frame(spark, sf)
-    rows = md.learning_curve(train, test, feats, (0.25, 0.5, 1.0), "target", SEED, keys=KEYS, max_iter=100)
-    return spark.createDataFrame(rows, "fraction double, train_accuracy double, valid_accuracy double")
+    """Train / validation accuracy at ten nested sizes over seven expanding folds, mean and deviation."""
+    matrix, _ = model_matrix(spark, sf)
+    folds = pr.expanding_month_splits(matrix.rows, "cohort_month", 7)
+    curve = md.learning_curve(matrix, folds, LEARNING_FRACTIONS, "target", seed=SEED, max_iter=50)
+    return md.learning_curve_summary(curve)
+
+
+#: Every kind as it is, and the linear and tree models behind selection and resampling.
+COMPARED = tuple((kind, "none", "weights") for kind in ("logistic_l1", "forest", "boosted", "mlp")) + tuple(
+    (kind, "importance", how) for kind in ("logistic_l1", "forest") for how in ("oversample", "undersample"))
 
 
 @register("model_comparison")
 def q_model_comparison(spark, sf):
-    """Fit each model kind, evaluate on the held-out months, one metrics row per model."""
-    train, test, feats = model_frame(spark, sf)
-    wtrain = pr.with_class_weight(train, "target")
+    """Select and resample on the train months, fit each kind, judge on the untouched later months."""
+    matrix, is_train = model_matrix(spark, sf)
     out = None
-    for kind, row in md.compare_models(wtrain, test, feats, seed=SEED):
-        row = materialize(row, f"metrics-{kind}")  # one row per model, written once
+    for row in md.compare_models(matrix.where(is_train), matrix.where(~is_train), COMPARED, "target", KEYS, SEED):
+        row = materialize(row, "metrics")  # one row for each setting, written once
         out = row if out is None else out.unionByName(row)
     return out
 
 
 @register("model_versions")
 def q_model_versions(spark, sf):
-    """Save a model as version 1 in the shared folder, register it, reload and score."""
-    import os
-    import uuid
-
+    """Save two versions, promote them one after the other, list them and judge the latest production version."""
     train, test, feats = model_frame(spark, sf)
-    model = md.fit(pr.with_class_weight(train, "target"), feats, "logistic_l1", weight_col="weight")
-    root = os.path.join(checkpoint_dir(spark), "models", uuid.uuid4().hex)
-    path = md.save_version(model, root, "propensity", 1)
-    loaded = md.load_version(root, "propensity", 1)
-    sc = md.score(loaded, test).select(F.col("target").alias("label"), "score")
-    auc = mt.roc_auc(sc).first()["roc_auc"]
-    return md.version_table(spark, [("propensity", 1, "production", path, auc)])
+    versions = ModelVersions(spark, shared_path(spark, "models", "versions"))
+    weighted = pr.with_class_weight(train, "target")
+    for kind in ("logistic_l2", "logistic_l1"):
+        version = versions.save(md.fit(weighted, feats, kind, weight_col="weight", max_iter=100), "propensity", {"kind": kind})
+        versions.promote("propensity", version)
+    scored = md.score(versions.load("propensity"), test).select(F.col("target").alias("label"), "score")
+    auc = mt.roc_auc(scored).scalar()
+    return versions.list("propensity").select("name", "version", "stage", "metrics",
+                                              F.when(F.col("stage") == PRODUCTION, auc).alias("roc_auc"))
 
 
 @register("score_batch")

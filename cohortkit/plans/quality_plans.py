@@ -8,11 +8,14 @@ from cohortkit.config import TEST_CONFIG as C
 from cohortkit.operators import quality as qa
 from cohortkit.plans.oracle_sql import ACT, EV, with_
 from cohortkit.plans.registry import register
-from cohortkit.session import checkpoint_dir
-from cohortkit.sources.roles import activity_log, event_log
-from cohortkit.sources.tables import read_table, read_written, write_table
+from cohortkit.functions.dates import parse_date, string_date_window
+from cohortkit.operators.shape import long_to_wide
+from cohortkit.session import materialize, shared_path
+from cohortkit.sources.roles import activity_log, channel_log, event_log
+from cohortkit.sources.tables import describe_table, read_table, read_written, write_table
 
 T = C.target_product
+STRING_WINDOW = ("2024-01-10", "2024-01-21")
 PROFILE_COLS = ["actor_id", "subject_id", "month", "product", "product_group", "use_flag",
                 "source", "institution"]
 CLEAN_COLS = ["actor_id", "subject_id", "event_date", "month", "product", "product_group",
@@ -134,6 +137,50 @@ def q_drop_all_null_columns(spark, sf):
     return qa.drop_all_null_columns(ev)
 
 
+@register("non_null_columns", with_(EV) + """
+SELECT actor_id, subject_id, strftime(event_date, '%Y-%m-%d') AS event_date, product, source FROM ev WHERE source = 'F'""")
+def q_non_null_columns(spark, sf):
+    """P14 applied: rows of a source that names no institution, without the columns that are all null there."""
+    ev = _ev(spark, sf).select("actor_id", "subject_id", "event_date", "product", "source", "institution",
+                               F.lit(None).cast("string").alias("unused_code"))
+    return qa.select_non_null_columns(ev.where("source = 'F'"))
+
+
+_SHAPE = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_shipdate", "timestamp_ntz"),
+          ("l_returnflag", "string"), ("l_quantity", "double")]
+
+
+@register("table_shape", "\nUNION ALL ".join(
+    f"SELECT {i + 1} AS position, '{c}' AS column_name, '{t}' AS data_type, count(*) AS n_rows, count({c}) AS n_values FROM lineitem"
+    for i, (c, t) in enumerate(_SHAPE)))
+def q_table_shape(spark, sf):
+    """Columns of a table with their types, the number of rows and of values."""
+    return describe_table(read_table(spark, sf, "lineitem", [c for c, _ in _SHAPE]))
+
+
+def string_dated(spark, sf):
+    """The channel log written with its day as text, once with the year first and once with the year last."""
+    log = channel_log(spark, sf)
+    year_last = F.concat(F.substring("date_key", 5, 4), F.substring("date_key", 1, 4))
+    return materialize(log.select("actor_key", "channel", F.col("date_key").alias("ymd"), year_last.alias("mdy")), "string_dated")
+
+
+@register("string_window_scan", with_(ACT) + "\nUNION ALL ".join(f"""
+SELECT '{fmt}' AS format, strftime(event_date, '%Y-%m-%d') AS day, count(*) AS n_rows, count(DISTINCT actor_id) AS n_actors
+FROM act WHERE event_date BETWEEN DATE '{STRING_WINDOW[0]}' AND DATE '{STRING_WINDOW[1]}' GROUP BY event_date
+""" for fmt in ("yyyyMMdd", "MMddyyyy")))
+def q_string_window_scan(spark, sf):
+    """An inclusive date window on two text formats; bounds and year endings reach the scan."""
+    log = string_dated(spark, sf)
+    out = None
+    for name, fmt in (("ymd", "yyyyMMdd"), ("mdy", "MMddyyyy")):
+        part = log.where(string_date_window(name, fmt, *STRING_WINDOW)).groupBy(parse_date(name, fmt).alias("day")).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.countDistinct("actor_key").alias("n_actors"))
+        part = part.select(F.lit(fmt).alias("format"), "day", "n_rows", "n_actors")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("describe_numeric", with_(EV) + """
 , lng AS (UNPIVOT (SELECT CAST(quantity AS DOUBLE) AS quantity, CAST(birth_year AS DOUBLE) AS birth_year,
                           CAST(birth_year_alt AS DOUBLE) AS birth_year_alt FROM ev)
@@ -294,23 +341,35 @@ def q_sample_one_id_history(spark, sf):
     return qa.sample_one_id(_ev(spark, sf), "actor_id", C.seed)
 
 
-@register("table_round_trip", with_(EV) + f"""
-SELECT actor_id, subject_id, month, product, quantity FROM ev WHERE product = '{T}'""")
+ROUND_TRIP_SQL = with_(EV) + f"""
+SELECT actor_id, subject_id, month, product, quantity FROM ev WHERE product = '{T}'"""
+
+
+def _target_rows(spark, sf):
+    return _ev(spark, sf).filter(F.col("product") == T).select("actor_id", "subject_id", "month", "product", "quantity")
+
+
+@register("table_round_trip", ROUND_TRIP_SQL)
 def q_table_round_trip(spark, sf):
-    """Overwrite-write the target rows (parquet partitioned by month,
-    and CSV with header) into the shared checkpoint folder, read both back and
-    return the parquet copy after checking the CSV has the same row count."""
-    import os
-    import uuid
-
-    base = os.path.join(checkpoint_dir(spark), "round_trip", uuid.uuid4().hex)
-    df = _ev(spark, sf).filter(F.col("product") == T).select(
-        "actor_id", "subject_id", "month", "product", "quantity")
-    write_table(df, base + "/parquet", partition_by="month")
-    write_table(df, base + "/csv", fmt="csv")
-    back = read_written(spark, base + "/parquet")
-    csv_back = read_written(spark, base + "/csv", fmt="csv", schema=df.schema)
-    n_pq, n_csv = back.count(), csv_back.count()
-    if n_pq != n_csv:
-        raise AssertionError(f"round trip row counts differ: parquet {n_pq} csv {n_csv}")
-    return back.select("actor_id", "subject_id", "month", "product", "quantity")
+    """Overwrite-write the target rows as parquet partitioned by month to the shared folder and read them back."""
+    path = shared_path(spark, "round_trip", "parquet")
+    write_table(_target_rows(spark, sf), path, partition_by="month")
+    return read_written(spark, path).select("actor_id", "subject_id", "month", "product", "quantity")
+
+
+@register("csv_round_trip", ROUND_TRIP_SQL)
+def q_csv_round_trip(spark, sf):
+    """The same rows as CSV with a header; the values of the files are compared."""
+    df, path = _target_rows(spark, sf), shared_path(spark, "round_trip", "csv")
+    write_table(df, path, fmt="csv")
+    return read_written(spark, path, fmt="csv", schema=df.schema)
+
+
+@register("long_to_wide_domain", with_(EV) + "\nSELECT actor_id, " + ", ".join(
+    f"sum(CASE WHEN product = 'Brand#{i}' THEN quantity END) AS Brand_{i}_quantity, "
+    f"count(CASE WHEN product = 'Brand#{i}' THEN quantity END) AS Brand_{i}_n" for i in range(1, 26)) + " FROM ev GROUP BY actor_id")
+def q_long_to_wide_domain(spark, sf):
+    """Two measures per product and actor, the products found by the domain pass."""
+    ev = _ev(spark, sf).groupBy("actor_id", "product").agg(F.sum("quantity").alias("quantity"), F.count("quantity").alias("n"))
+    wide = long_to_wide(ev, "actor_id", "product", ["quantity", "n"], agg="sum")
+    return wide.fillna(0, [c for c in wide.columns if c.endswith("_n")])

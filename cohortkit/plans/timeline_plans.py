@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortkit.config import TEST_CONFIG as C
+from cohortkit.functions.dates import week_start
 from cohortkit.operators import panel as pn
+from cohortkit.operators import ranges as rg
 from cohortkit.operators import timeline as tl
-from cohortkit.operators.shape import col_name
+from cohortkit.operators.shape import col_name, long_to_wide
 from cohortkit.plans.oracle_sql import EV, with_
 from cohortkit.plans.panel_plans import WEEK_SQL, weekly_dense
 from cohortkit.plans.registry import register
@@ -114,13 +116,16 @@ _Q = ", ".join(f"quantile_cont(week_cnt, {p}) AS q{int(round(p * 100)):02d}" for
 @register("active_week_quantiles", with_(EV, WK_SQL, WEEKS_SQL) + f"\nSELECT {_Q} FROM wc")
 def q_active_week_quantiles(spark, sf):
     """Exact quantiles of active weeks per subject."""
-    return tl.quantiles(tl.active_weeks(_weekly(spark, sf)), "week_cnt", PROBS)
+    return rg.quantiles(tl.active_weeks(_weekly(spark, sf)), "week_cnt", PROBS)
 
 
-@register("active_week_quantiles_approx", None)
+@register("active_week_quantiles_approx", with_(EV, WK_SQL, WEEKS_SQL) + "\n" + "\nUNION ALL ".join(
+    f"SELECT CAST({p} AS DOUBLE) AS prob, count(*) AS n, true AS within_error FROM wc" for p in PROBS))
 def q_active_week_quantiles_approx(spark, sf):
-    """Approximate quantiles (1% relative error), as the reference asks for."""
-    return tl.quantiles(tl.active_weeks(_weekly(spark, sf)), "week_cnt", PROBS, exact=False)
+    """Approximate quantiles by mergeable sketches, judged by their rank: at most 1 % of n off."""
+    weeks = tl.active_weeks(_weekly(spark, sf))
+    errors = rg.rank_errors(weeks, "week_cnt", rg.approx_quantiles(weeks, "week_cnt", PROBS, 0.01))
+    return errors.select("prob", "n", (F.col("rank_error") <= 0.01).alias("within_error"))
 
 
 @register("subjects_38_weeks", with_(EV, WK_SQL, WEEKS_SQL) + "\nSELECT subject_id, week_cnt FROM wc WHERE week_cnt >= 38")
@@ -151,7 +156,49 @@ SELECT """ + ", ".join(f"quantile_cont(s, {p}) AS q{int(round(p * 100)):02d}" fo
 def q_rolling_stddev_quantiles(spark, sf):
     """Quantiles of the trailing 4-week stddev of weekly quantity."""
     rs = pn.rolling_stddev(weekly_dense(spark, sf), "subject_id", "week", ["qty_total"], 4)
-    return tl.quantiles(rs, "std_4_qty_total", PROBS + (1.0,))
+    return rg.quantiles(rs, "std_4_qty_total", PROBS + (1.0,))
+
+
+_QTY = {p: col_name("QTY", p) for p in ALL_BRANDS}
+PRODUCT_WEEK_SQL = f"""
+pw AS (SELECT subject_id, CAST(date_trunc('week', event_date) AS DATE) AS week, {", ".join(
+    f"sum(CASE WHEN product = '{p}' THEN quantity END) AS {c}" for p, c in _QTY.items())}
+  FROM ev WHERE event_date >= DATE '{C.study_start_date}' AND event_date <= DATE '{C.study_end_date}' GROUP BY 1, 2),
+pgrid AS (
+  SELECT s.subject_id, CAST(w.w AS DATE) AS week FROM (SELECT DISTINCT subject_id FROM pw) s,
+       (SELECT unnest(generate_series(CAST(date_trunc('week', DATE '{C.study_start_date}') AS DATE),
+                                      CAST(date_trunc('week', DATE '{C.study_end_date}') AS DATE), INTERVAL 7 DAY)) AS w) w),
+pstd AS (
+  SELECT g.subject_id, g.week, {", ".join(
+      f"stddev_samp(coalesce(p.{c}, 0)) OVER w AS std_4_{c}" for c in _QTY.values())}
+  FROM pgrid g LEFT JOIN pw p ON p.subject_id = g.subject_id AND p.week = g.week
+  WINDOW w AS (PARTITION BY g.subject_id ORDER BY g.week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))"""
+
+
+def product_stddevs(spark, sf):
+    """Dense subject x week panel of the study with the trailing stddev of every product's quantity."""
+    ev = event_log(spark, sf, C.study_start_date, C.study_end_date).withColumn("week", week_start("event_date"))
+    wide = long_to_wide(ev, ["subject_id", "week"], "product", "quantity", ALL_BRANDS, agg="sum", prefix="QTY", fill=0)
+    dense = pn.dense_panel(wide, "subject_id", "week", list(_QTY.values()), week_start(F.to_date(F.lit(C.study_start_date))),
+                           week_start(F.to_date(F.lit(C.study_end_date))), "interval 1 week")
+    return pn.rolling_stddev(dense, "subject_id", "week", list(_QTY.values()), 4)
+
+
+@register("rolling_stddev_products", with_(EV, PRODUCT_WEEK_SQL) + "\nSELECT subject_id, strftime(week, '%Y-%m-%d') AS week, "
+          + ", ".join(f"std_4_{c}" for c in _QTY.values()) + " FROM pstd")
+def q_rolling_stddev_products(spark, sf):
+    """Trailing 4-week stddev of each product's weekly quantity, per subject."""
+    return product_stddevs(spark, sf).select("subject_id", "week", *[f"std_4_{c}" for c in _QTY.values()])
+
+
+@register("rolling_stddev_product_quantiles", with_(EV, PRODUCT_WEEK_SQL) + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{p}' AS product, CAST({q} AS DOUBLE) AS prob, count(std_4_{c}) AS n, quantile_cont(std_4_{c}, {q}) AS quantile FROM pstd"
+    for p, c in _QTY.items() for q in PROBS))
+def q_rolling_stddev_product_quantiles(spark, sf):
+    """Quantiles of every product's trailing stddev, all products in one search."""
+    rs = product_stddevs(spark, sf)
+    long = rs.select(*[F.col(f"std_4_{c}").alias(p) for p, c in _QTY.items()]).unpivot([], list(_QTY), "product", "value")
+    return rg.quantiles_long(long, "product", "value", PROBS)
 
 
 def _timeline(spark, sf):

@@ -24,6 +24,7 @@ from cohortkit.operators import quality as qa
 from cohortkit.modeling import metrics as mt
 from cohortkit.modeling import models as md
 from cohortkit.modeling import prep as pr
+from cohortkit.modeling.versions import ModelVersions
 from cohortkit.session import checkpoint_dir
 from cohortkit.sources.roles import actor_profile, affiliations, event_log
 from cohortkit.sources.tables import read_written, write_table
@@ -79,7 +80,10 @@ def run_study(spark: SparkSession, sf_dir: str, cfg: StudyConfig, classes, spec:
     test_s = pr.apply_scaler(test, stats, feats).fillna(0.0)
     model = md.fit(pr.with_class_weight(train_s, "target"), feats, "logistic_l1", weight_col="weight",
                    seed=cfg.seed)
-    paths["model"] = md.save_version(model, os.path.join(out, "models"), "propensity", 1)
+    versions = ModelVersions(spark, os.path.join(out, "models"))
+    version = versions.save(model, "propensity")
+    versions.promote("propensity", version)
+    paths["model"] = f"{versions.root}/propensity/v={version}"
     scored = stage("scores", md.score(model, train_s.unionByName(test_s)).select(*KEYS, "target", "score",
                                                                                  "prediction"))
     held_out = scored.filter(F.col("cohort_month") > cfg.train_end).select(F.col("target").alias("label"), "score")

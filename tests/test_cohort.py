@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.config import StudyConfig
 from cohortkit.operators import cohort as co
-from conftest import make_events
+from event_rows import make_events
 
 CFG = StudyConfig(first_month="1998-01", study_start="2001-01", study_end="2001-06", lookback_months=24,
                   target_product="T")

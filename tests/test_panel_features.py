@@ -8,7 +8,7 @@ from cohortkit.functions.dates import parse_date_any
 from cohortkit.functions.exprs import recode_use
 from cohortkit.operators import features as fe
 from cohortkit.operators import panel as pn
-from conftest import make_events
+from event_rows import make_events
 
 
 def test_recency_buckets_disjoint(spark):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from cohortkit.operators import master as ma
 from cohortkit.operators import quality as qa
 from cohortkit.operators import timeline as tl
-from conftest import make_events
+from event_rows import make_events
 
 
 def test_conflicting_subjects(spark):
