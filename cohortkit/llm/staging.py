@@ -2,41 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortkit.session import checkpoint_dir, shared_path
+
 #: Rows of one Arrow batch sent to a Python task.  Bounds the task's memory
 #: when texts are long.
 ARROW_ROWS = 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch folder only when unset (tests)."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-shared-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
 def prepare(spark: SparkSession) -> None:
     """Session settings that every operator here relies on."""
-    shared_folder(spark)
+    checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that is removed when the driver's JVM ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+    return shared_path(spark, "llm", name)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
