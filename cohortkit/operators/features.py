@@ -1,10 +1,11 @@
 """Actor feature operators.
 
-Every cohort-month feature uses ``panel.fan_out_cohorts``: an event in month
+Every cohort-month feature uses ``panel.cohorts_of``: an event in month
 m informs only the <= 12 cohort months c with 0 < (c - lag) - m <= 12, so the
 fan-out is bounded by 12x and never joins all history to all cohort months.
 Distinct counts per (actor, cohort, bucket) are then plain grouped
-aggregates (partial aggregation before the shuffle).
+aggregates (partial aggregation before the shuffle).  Cohort and bucket stay
+integers up to the last aggregate.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.functions.dates import month_from_index, month_index_of_str
+from cohortkit.functions.dates import month_index_of_str
 from cohortkit.functions.exprs import any_true, listed_class, recode_use
 from cohortkit.operators.distinct import distinct_by_kind
-from cohortkit.operators.panel import densify_ids, fan_out_cohorts
+from cohortkit.operators.panel import COHORT, EDGE, bucket_name, cohort_month, cohorts_of, densify_ids
 from cohortkit.operators.shape import col_name, long_to_wide
 
 # Fixed values of the reference's specialty rule (codes, their groups and the
@@ -64,66 +65,67 @@ def share_by_product_use(events: DataFrame, named, groups, cohort_lo: str, cohor
     """D27 (long): share = distinct subjects of (product_use, bucket) / distinct
     subjects of the bucket, per actor and cohort month."""
     rows = product_use_rows(events, named, groups)
-    fan = fan_out_cohorts(rows, "month", lag, cohort_lo, cohort_hi, edges).filter(F.col("bucket").isNotNull())
-    num = fan.groupBy("actor_id", "cohort_month", "bucket", "product_use").agg(
-        F.countDistinct("subject_id").alias("n_subjects"))
-    den = fan.groupBy("actor_id", "cohort_month", "bucket").agg(
-        F.countDistinct("subject_id").alias("row_total"))
-    return (num.join(den, ["actor_id", "cohort_month", "bucket"])
-               .withColumn("share", F.col("n_subjects") / F.col("row_total")))
+    fan = cohorts_of(rows, "month", lag, cohort_lo, cohort_hi, edges)
+    keys = ["actor_id", COHORT, EDGE]
+    num = fan.groupBy(*keys, "product_use").agg(F.countDistinct("subject_id").alias("n_subjects"))
+    den = fan.groupBy(*keys).agg(F.countDistinct("subject_id").alias("row_total"))
+    return num.join(den, keys).select("actor_id", cohort_month(), bucket_name(), "product_use", "n_subjects", "row_total",
+                                      (F.col("n_subjects") / F.col("row_total")).alias("share"))
 
 
 #: Product x use codes in one long bit mask.
 MASK_BITS = 62
 
 
+def _use_bits(named, groups) -> list[list]:
+    """Mask expressions, one for each 62 product x use codes: the bit of a row's product (group) and use."""
+    use = recode_use("use_flag", unknown_as="1")
+    position = {v: i for i, v in enumerate(product_use_values(named, groups))}
+    members = [(p, F.col("product") == F.lit(p)) for p in named] + [(g, F.col("product").isin(list(m))) for g, m in groups]
+    masks = []
+    for first in range(0, len(position), MASK_BITS):
+        mask = None
+        for name, cond in members:
+            bits = F.lit(0).cast("long")
+            for u in ("0", "1"):
+                at = position[f"{name}_{u}"] - first
+                if 0 <= at < MASK_BITS:
+                    bits = F.when(use == u, F.lit(1 << at).cast("long")).otherwise(bits)
+            mask = F.when(cond, bits) if mask is None else mask.when(cond, bits)
+        masks.append(mask)
+    return masks
+
+
 def share_wide(events: DataFrame, named, groups, cohort_lo: str, cohort_hi: str, lag: int = 2,
-               edges=(1, 3, 6, 9, 12), ids: DataFrame | None = None) -> DataFrame:
-    """D27 (wide): SHARE_<product_use>_<bucket>, dense over actors x cohort months, 0-filled.
+               edges=(1, 3, 6, 9, 12), ids: DataFrame | None = None, dense: bool = True) -> DataFrame:
+    """D27 (wide): SHARE_<product_use>_<bucket>, 0-filled; dense over actors x cohort months, or the keys with events only.
 
     Each product_use code is a bit; rows are reduced to one bit mask per
     (actor, month, subject) with ``bit_or`` before the 12x cohort fan-out and
     to one mask per (actor, cohort, bucket, subject) after it — fixed-width
     hash aggregates, no distinct-count shuffles, no join of numerator and
-    denominator, no pivot.  The final aggregate per (actor, cohort) sums one
-    bit per (bucket, product_use) and counts subjects per bucket.
+    denominator, no pivot.  Bits are then summed per bucket, and only the few
+    bucket rows of a key are laid side by side.
     """
     values = product_use_values(named, groups)
-    rows = product_use_rows(events, named, groups)
-    words = [values[k:k + MASK_BITS] for k in range(0, len(values), MASK_BITS)]  # as many masks as the codes need
-    masks = []
-    for k, word in enumerate(words):
-        bit = F.lit(0)
-        for i, v in enumerate(word):
-            bit = F.when(F.col("product_use") == F.lit(v), F.lit(1 << i)).otherwise(bit)
-        masks.append(F.bit_or(bit.cast("long")).alias(f"mask_{k}"))
-    names = [f"mask_{k}" for k in range(len(words))]
-    per_month = rows.groupBy("actor_id", "month", "subject_id").agg(*masks)
-    fan = fan_out_cohorts(per_month, "month", lag, cohort_lo, cohort_hi, edges).filter(F.col("bucket").isNotNull())
-    per = fan.groupBy("actor_id", "cohort_month", "bucket", "subject_id").agg(*[F.bit_or(m).alias(m) for m in names])
-    idx = {v: i for i, v in enumerate(values)}
-    aggs = []
-    for e in edges:
-        b = f"LAST_{e}M"
-        in_b = F.col("bucket") == F.lit(b)
-        aggs.append(F.sum(in_b.cast("long")).alias(f"_den_{b}"))
-        for i in idx.values():
-            has = F.shiftright(F.col(names[i // MASK_BITS]), i % MASK_BITS).bitwiseAND(F.lit(1))
-            aggs.append(F.sum(F.when(in_b, has).otherwise(F.lit(0))).alias(f"_num_{i}_{b}"))
-    wide = per.groupBy("actor_id", "cohort_month").agg(*aggs)
-    share_cols = []
-    for v, i in idx.items():
-        for e in edges:
-            b = f"LAST_{e}M"
-            share_cols.append(F.coalesce(F.try_divide(F.col(f"_num_{i}_{b}").cast("double"), F.col(f"_den_{b}")),
-                                         F.lit(0.0)).alias(col_name("SHARE", f"{v}_{b}")))
-    wide = wide.select("actor_id", "cohort_month", *share_cols)
-    ids = rows.select("actor_id").distinct() if ids is None else ids
-    grid = densify_ids(ids, "actor_id", "_c", month_index_of_str(F.lit(cohort_lo)),
-                       month_index_of_str(F.lit(cohort_hi))) \
-        .select("actor_id", month_from_index("_c").alias("cohort_month"))
-    out = grid.join(wide, ["actor_id", "cohort_month"], "left")
-    return out.fillna(0.0, [c for c in out.columns if c.startswith("SHARE_")])
+    masks = _use_bits(named, groups)
+    names = [f"_mask_{k}" for k in range(len(masks))]
+    listed = [*named, *(p for _, members in groups for p in members)]
+    rows = events.filter(F.col("product").isin(listed) & F.col("subject_id").isNotNull())
+    per_month = rows.groupBy("actor_id", "month", "subject_id").agg(*[F.bit_or(m).alias(n) for m, n in zip(masks, names)])
+    fan = cohorts_of(per_month, "month", lag, cohort_lo, cohort_hi, edges)
+    per = fan.groupBy("actor_id", COHORT, EDGE, "subject_id").agg(*[F.bit_or(n).alias(n) for n in names])
+    bit = [F.shiftright(F.col(names[i // MASK_BITS]), i % MASK_BITS).bitwiseAND(F.lit(1)) for i in range(len(values))]
+    sums = per.groupBy("actor_id", COHORT, EDGE).agg(F.count(F.lit(1)).alias("_all"), *[F.sum(b).alias(f"_n_{i}") for i, b in enumerate(bit)])
+    shares = {(i, e): col_name("SHARE", f"{v}_LAST_{e}M") for i, v in enumerate(values) for e in edges}
+    wide = sums.groupBy("actor_id", COHORT).agg(*[
+        F.max(F.when(F.col(EDGE) == e, F.col(f"_n_{i}") / F.col("_all"))).alias(name) for (i, e), name in shares.items()])
+    if not dense:
+        return wide.select("actor_id", cohort_month(), *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in shares.values()])
+    ids = product_use_actors(events, named, groups) if ids is None else ids
+    grid = densify_ids(ids, "actor_id", COHORT, month_index_of_str(F.lit(cohort_lo)), month_index_of_str(F.lit(cohort_hi)))
+    out = grid.join(wide, ["actor_id", COHORT], "left")
+    return out.select("actor_id", cohort_month(), *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in shares.values()])
 
 
 def subjects_by_product_use(events: DataFrame, named, groups) -> DataFrame:
@@ -159,10 +161,11 @@ def org_members(affl: DataFrame) -> DataFrame:
 
 
 def peer_use_flag(events: DataFrame, affl: DataFrame, product: str, cohort_lo: str, cohort_hi: str,
-                  lag: int = 2, horizon: int = 12) -> DataFrame:
+                  lag: int = 2, horizon: int = 12, actors: DataFrame | None = None) -> DataFrame:
     """Actor flagged for a cohort month when its main organisation had a
     user of ``product`` in the ``horizon`` months before (cohort - lag).  The
-    actor counts as its own peer.
+    actor counts as its own peer.  ``actors`` limits the actors that are
+    flagged, not those that count as peers.
 
     The org-level table has at most (#orgs x #cohort months) rows, so the
     final org -> actors join is against an aggregate, never against events.
@@ -170,10 +173,9 @@ def peer_use_flag(events: DataFrame, affl: DataFrame, product: str, cohort_lo: s
     main = affl.filter(F.col("org_rank") == 1).select("actor_id", "org_id")
     org_months = (events.filter(F.col("product") == product).select("actor_id", "month")
                         .join(main, "actor_id").select("org_id", "month").distinct())
-    org_cohorts = (fan_out_cohorts(org_months, "month", lag, cohort_lo, cohort_hi, (horizon,))
-                   .filter(F.col("bucket").isNotNull()).select("org_id", "cohort_month").distinct())
-    return (org_cohorts.join(main, "org_id")
-                       .select("actor_id", "cohort_month", F.lit(1).alias("peer_flag"), "org_id"))
+    org_cohorts = cohorts_of(org_months, "month", lag, cohort_lo, cohort_hi, (horizon,)).select("org_id", COHORT).distinct()
+    members = main if actors is None else main.join(actors, "actor_id", "left_semi")
+    return org_cohorts.join(members, "org_id").select("actor_id", cohort_month(), F.lit(1).alias("peer_flag"), "org_id")
 
 
 def own_use_flag(events: DataFrame, affl: DataFrame, product: str, cohort_lo: str, cohort_hi: str,
@@ -181,14 +183,16 @@ def own_use_flag(events: DataFrame, affl: DataFrame, product: str, cohort_lo: st
     """Every main-affiliated actor x cohort month, 1 when the actor itself
     used ``product`` in the ``horizon`` months before (cohort - lag), else 0."""
     main = affl.filter(F.col("org_rank") == 1).select("actor_id").distinct()
-    used = (events.filter(F.col("product") == product).select("actor_id", "month").distinct())
-    hit = (fan_out_cohorts(used, "month", lag, cohort_lo, cohort_hi, (horizon,))
-           .filter(F.col("bucket").isNotNull()).select("actor_id", "cohort_month").distinct()
-           .withColumn("own_flag", F.lit(1)))
-    grid = densify_ids(main, "actor_id", "_c", month_index_of_str(F.lit(cohort_lo)),
-                       month_index_of_str(F.lit(cohort_hi))) \
-        .select("actor_id", month_from_index("_c").alias("cohort_month"))
-    return grid.join(hit, ["actor_id", "cohort_month"], "left").fillna(0, ["own_flag"])
+    hit = own_use(events, product, cohort_lo, cohort_hi, lag, horizon)
+    grid = densify_ids(main, "actor_id", COHORT, month_index_of_str(F.lit(cohort_lo)), month_index_of_str(F.lit(cohort_hi)))
+    return (grid.select("actor_id", cohort_month()).join(hit, ["actor_id", "cohort_month"], "left").fillna(0, ["own_flag"]))
+
+
+def own_use(events: DataFrame, product: str, cohort_lo: str, cohort_hi: str, lag: int = 2, horizon: int = 12) -> DataFrame:
+    """D32, only the actors and cohort months with use."""
+    used = events.filter(F.col("product") == product).select("actor_id", "month").distinct()
+    hits = cohorts_of(used, "month", lag, cohort_lo, cohort_hi, (horizon,)).select("actor_id", COHORT).distinct()
+    return hits.select("actor_id", cohort_month(), F.lit(1).alias("own_flag"))
 
 
 def specialty_group(profile: DataFrame, code_cols=("code1", "code2", "code3"),
@@ -275,10 +279,12 @@ def channel_engagement(channel: DataFrame, known_actors: DataFrame, channel_map:
     ev = (known.withColumn("ch", recode).filter(F.col("ch").isNotNull())
                .withColumn("month", month_str(parse_date("date_key", "yyyyMMdd"))))
     monthly = ev.groupBy("actor_key", "month", "ch").agg(*[F.sum(m).alias(m) for m in measures])
-    fan = fan_out_cohorts(monthly, "month", lag, cohort_lo, cohort_hi, edges).filter(F.col("bucket").isNotNull())
-    fan = fan.withColumn("_k", F.concat_ws("_", "ch", "bucket")).withColumnRenamed("actor_key", "actor_id")
+    fan = cohorts_of(monthly, "month", lag, cohort_lo, cohort_hi, edges)
+    per = fan.groupBy("actor_key", COHORT, "ch", EDGE).agg(*[F.sum(m).alias(m) for m in measures])
+    per = per.select(F.col("actor_key").alias("actor_id"), COHORT, F.concat_ws("_", "ch", bucket_name()).alias("_k"), *measures)
     vals = [f"{c}_LAST_{e}M" for c in dict.fromkeys(channel_map.values()) for e in edges]
-    return long_to_wide(fan, ["actor_id", "cohort_month"], "_k", list(measures), vals, agg="sum", fill=0)
+    wide = long_to_wide(per, ["actor_id", COHORT], "_k", list(measures), vals, agg="sum", fill=0)
+    return wide.select("actor_id", cohort_month(), *[c for c in wide.columns if c not in ("actor_id", COHORT)])
 
 
 def subject_quantity(events: DataFrame, keys=("subject_id",)) -> DataFrame:
@@ -295,19 +301,21 @@ def subject_quantity_wide(events: DataFrame, products) -> DataFrame:
 
 
 def class_breadth_lookback(events: DataFrame, classes, cohort_lo: str, cohort_hi: str,
-                           lag: int = 0, horizon: int = 12, ids: DataFrame | None = None) -> DataFrame:
+                           lag: int = 0, horizon: int = 12, ids: DataFrame | None = None, dense: bool = True) -> DataFrame:
     """Per class, the sum of monthly distinct products over the months with
-    gap in (0, horizon] before the cohort month; wide, dense, 0-filled."""
+    gap in (0, horizon] before the cohort month; wide, 0-filled; dense over actors x cohort months, or the keys with
+    events only."""
     cls = listed_class("product_group", classes)
     item = F.coalesce(F.col("product"), F.lit("UNKNOWN"))
     monthly = (events.select("actor_id", "month", cls.alias("cls"), item.alias("item"))
                      .groupBy("actor_id", "month", "cls").agg(F.countDistinct("item").alias("n_items")))
-    fan = fan_out_cohorts(monthly, "month", lag, cohort_lo, cohort_hi, (horizon,)).filter(F.col("bucket").isNotNull())
-    wide = fan.groupBy("actor_id", "cohort_month").agg(
-        *[F.sum(F.when(F.col("cls") == c, F.col("n_items"))).alias(col_name("N", c, f"{horizon}M")) for c in classes])
+    by_month = long_to_wide(monthly, ["actor_id", "month"], "cls", "n_items", classes, agg="sum", prefix="N", fill=0)
+    names = [col_name("N", c) for c in classes]
+    fan = cohorts_of(by_month, "month", lag, cohort_lo, cohort_hi, (horizon,))
+    wide = fan.groupBy("actor_id", COHORT).agg(*[F.sum(n).alias(f"{n}_{horizon}M") for n in names])
+    if not dense:
+        return wide.select("actor_id", cohort_month(), *[f"{n}_{horizon}M" for n in names])
     ids = events.select("actor_id").distinct() if ids is None else ids
-    grid = densify_ids(ids, "actor_id", "_c", month_index_of_str(F.lit(cohort_lo)),
-                       month_index_of_str(F.lit(cohort_hi))) \
-        .select("actor_id", month_from_index("_c").alias("cohort_month"))
-    out = grid.join(wide, ["actor_id", "cohort_month"], "left")
-    return out.fillna(0, [c for c in out.columns if c.startswith("N_")])
+    grid = densify_ids(ids, "actor_id", COHORT, month_index_of_str(F.lit(cohort_lo)), month_index_of_str(F.lit(cohort_hi)))
+    out = grid.join(wide, ["actor_id", COHORT], "left")
+    return out.select("actor_id", cohort_month(), *[F.coalesce(F.col(f"{n}_{horizon}M"), F.lit(0)).alias(f"{n}_{horizon}M") for n in names])

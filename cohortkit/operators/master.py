@@ -51,12 +51,16 @@ def guard_unique(df: DataFrame, keys, name: str = "table") -> DataFrame:
 
 
 def master_table(spine: DataFrame, features, keys=("actor_id", "cohort_month"), fill=0,
-                 check: bool = True, never_fill=("org_id",)) -> DataFrame:
+                 check: bool = True, never_fill=("org_id",), grouped=()) -> DataFrame:
     """Spine ⟕ each feature table (on ``keys`` or a subset), then fill.
 
     ``features`` is a list of (name, DataFrame, join_keys or None).  Feature
     columns that collide with spine columns are rejected.  Identifiers
     (``never_fill``) stay null where missing: 0 may be a real one.
+
+    Every right side is checked for unique keys, except those named in
+    ``grouped``: results of an aggregate over exactly the join keys, which
+    Spark also joins by the shuffle of that aggregate.
     """
     keys = list(keys)
     out = spine
@@ -65,7 +69,7 @@ def master_table(spine: DataFrame, features, keys=("actor_id", "cohort_month"),
         clash = (set(df.columns) - set(jk)) & set(out.columns)
         if clash:
             raise ValueError(f"{name}: columns already present: {sorted(clash)}")
-        if check:
+        if check and name not in grouped:
             df = guard_unique(df, jk, name)
         out = out.join(df, jk, "left")
     if fill is not None:

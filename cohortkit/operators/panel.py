@@ -65,7 +65,7 @@ def bucket_of_gap(gap: Column, edges=(1, 3, 6, 9, 12), cumulative: bool = False)
     """Disjoint recency bucket of a month gap: (0,1] LAST_1M, (1,3] LAST_3M, ...
 
     Gaps <= 0 or beyond the last edge give null (dropped by the caller).
-    ``cumulative=True`` is handled by ``fan_out_cohorts`` (one row per bucket
+    ``cumulative=True`` is handled by ``cohorts_of`` (one row per bucket
     whose upper edge covers the gap).
     """
     expr = None
@@ -77,36 +77,54 @@ def bucket_of_gap(gap: Column, edges=(1, 3, 6, 9, 12), cumulative: bool = False)
     return expr
 
 
-def fan_out_cohorts(df: DataFrame, month_col: str, lag: int, cohort_lo: str, cohort_hi: str,
-                    edges=(1, 3, 6, 9, 12), cumulative: bool = False,
-                    cohort_name: str = "cohort_month") -> DataFrame:
+#: Columns that ``cohorts_of`` adds, all integers: the cohort's month index, the gap in months, the bucket's upper edge.
+COHORT, GAP, EDGE = "cohort_index", "month_gap", "bucket_edge"
+
+
+def cohorts_of(df: DataFrame, month_col: str, lag: int, cohort_lo: str, cohort_hi: str,
+               edges=(1, 3, 6, 9, 12), cumulative: bool = False) -> DataFrame:
     """J3 / J6 / D25 / D26 redesigned: attach to each row the cohort months it
     informs, i.e. c with 0 < (c - lag) - m <= max(edges), restricted to
     [cohort_lo, cohort_hi], and the recency bucket of the gap.
 
     At most max(edges) rows per input row instead of joining every row to
-    every cohort month and filtering.
+    every cohort month and filtering.  The added columns are integers, so
+    rows are grouped by numbers; ``named_cohorts`` names what is left.
     """
     h = max(edges)
     m = month_index_of_str(F.col(month_col)) if dict(df.dtypes)[month_col] == "string" \
         else month_index(F.col(month_col))
-    lo_i = month_index_of_str(F.lit(cohort_lo))
-    hi_i = month_index_of_str(F.lit(cohort_hi))
-    lo_c = F.greatest(F.col("_m") + lag + 1, lo_i)
-    hi_c = F.least(F.col("_m") + lag + h, hi_i)
+    lo_c = F.greatest(F.col("_m") + lag + 1, month_index_of_str(F.lit(cohort_lo)))
+    hi_c = F.least(F.col("_m") + lag + h, month_index_of_str(F.lit(cohort_hi)))
     # rows informing no cohort in range are dropped first: sequence(a, b) with
     # a > b would count downwards
     out = (df.withColumn("_m", m)
              .filter(lo_c <= hi_c)
-             .withColumn("_c", F.explode(F.sequence(lo_c, hi_c)))
-             .withColumn("month_gap", F.col("_c") - lag - F.col("_m")))
+             .withColumn(COHORT, F.explode(F.sequence(lo_c, hi_c)))
+             .withColumn(GAP, F.col(COHORT) - lag - F.col("_m")).drop("_m"))
     if cumulative:
-        out = out.withColumn("bucket", F.explode(F.array(*[
-            F.when(F.col("month_gap") <= e, F.lit(f"LAST_{e}M")) for e in edges])))
-        out = out.filter(F.col("bucket").isNotNull())
-    else:
-        out = out.withColumn("bucket", bucket_of_gap(F.col("month_gap"), edges))
-    return out.withColumn(cohort_name, month_from_index(F.col("_c"))).drop("_m", "_c")
+        return out.withColumn(EDGE, F.explode(F.filter(F.array(*map(F.lit, edges)), lambda e: F.col(GAP) <= e)))
+    edge = None
+    for e in edges:
+        edge = F.when(F.col(GAP) <= e, F.lit(e)) if edge is None else edge.when(F.col(GAP) <= e, F.lit(e))
+    return out.withColumn(EDGE, edge)
+
+
+def cohort_month() -> Column:
+    """The 'yyyy-MM' name of a cohort index."""
+    return month_from_index(F.col(COHORT)).alias("cohort_month")
+
+
+def bucket_name() -> Column:
+    """The recency bucket's name."""
+    return F.concat(F.lit("LAST_"), F.col(EDGE).cast("string"), F.lit("M")).alias("bucket")
+
+
+def fan_out_cohorts(df: DataFrame, month_col: str, lag: int, cohort_lo: str, cohort_hi: str,
+                    edges=(1, 3, 6, 9, 12), cumulative: bool = False) -> DataFrame:
+    """``cohorts_of`` with the cohort month and the bucket by name."""
+    out = cohorts_of(df, month_col, lag, cohort_lo, cohort_hi, edges, cumulative)
+    return out.select(*df.columns, GAP, bucket_name(), cohort_month())
 
 
 def rolling_stddev(panel: DataFrame, id_col: str, order_col: str, value_cols, n: int = 4) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortkit.config import TEST_CONFIG as C
+from cohortkit.functions.dates import month_before
 from cohortkit.operators import cohort as co
 from cohortkit.operators import features as fe
 from cohortkit.operators import master as ma
@@ -27,38 +28,43 @@ BREADTH_COLS = [f"N_{c}_12M" for c in fp.CLASSES]
 MONTHLY_COLS = fp._SHARE_COLS + ["org_flag", "peer_flag"]
 
 
-def master_df(spark, sf, materialize_events: bool = True):
-    ev = event_log(spark, sf)
-    if materialize_events:
-        # read by every branch: written once, with the columns that the branches use
-        ev = materialize(ev.select("actor_id", "subject_id", "event_date", "month", "product", "product_group",
-                                   "use_flag", "institution", "birth_year"), "event_log")
+def master_df(spark, sf):
+    """The spine with all features.
+
+    The event log and the spine are written once.  Features are computed for
+    the spine's actors only (peers excepted, who may be anyone), from the
+    months that can inform a cohort month, and only where there are events:
+    the last fill does the rest.
+    """
+    ev = materialize(event_log(spark, sf).select("actor_id", "subject_id", "event_date", "month", "product", "product_group",
+                                                 "use_flag", "institution", "birth_year"), "event_log")
+    spine = materialize(co.target_spine(ev, C), "spine")
+    members = spine.select("actor_id").distinct()
     # affiliations as known when the study starts
-    affl = affiliations(spark, sf, ev.filter(F.col("event_date") < F.to_date(F.lit(C.study_start_date))))
-    spine = co.target_spine(ev, C)
-    shares = fe.share_wide(ev, fp.NAMED, fp.GROUPS, C.study_start, C.study_end, C.lag_months, fp.EDGES)
-    orgf = fe.org_flag(ev).withColumnRenamed("month", "cohort_month")
-    peer = fe.peer_use_flag(ev, affl, T, C.study_start, C.study_end, C.lag_months).drop("org_id")
-    monthly = shares.join(orgf, KEYS, "full").join(peer, KEYS, "full").fillna(0, ["org_flag", "peer_flag"])
-    breadth = fe.class_breadth_lookback(ev, fp.CLASSES, C.study_start, C.study_end, 0, 12)
-    own = fe.own_use_flag(ev, affl, T, C.study_start, C.study_end, C.lag_months)
-    chars = fe.actor_characteristics(
-        fe.subject_counts(ev, *fp.AGE_YEAR),
-        fe.age_band_counts(ev, fp.AGE_YEAR[0], fp.AGE_YEAR[1], C.as_of_date),
-        fe.specialty_group(actor_profile(spark, sf), codes=fp.SPEC_CODES, fallback_parts=fp.SPEC_PARTS,
-                           fallback_group=fp.SPEC_FALLBACK),
-        affl, fe.org_size(affl)).drop("org_id", "account_size", "specialty")
-    # specialty and organisation do not depend on events in the reference year
+    affl = materialize(affiliations(spark, sf, ev.filter(F.col("event_date") < F.to_date(F.lit(C.study_start_date))))
+                       .where("org_rank = 1"), "affiliations")
+    first = month_before(C.study_start, C.lag_months + 12)
+    recent = materialize(ev.where(F.col("month").between(first, C.study_end)).join(members, "actor_id", "left_semi"), "recent")
+    shares = fe.share_wide(recent, fp.NAMED, fp.GROUPS, C.study_start, C.study_end, C.lag_months, fp.EDGES, dense=False)
+    orgf = fe.org_flag(recent.where(F.col("month") >= C.study_start)).withColumnRenamed("month", "cohort_month")
+    peer = fe.peer_use_flag(ev.where(F.col("month") >= first), affl, T, C.study_start, C.study_end, C.lag_months, actors=members).drop("org_id")
+    breadth = fe.class_breadth_lookback(recent, fp.CLASSES, C.study_start, C.study_end, 0, 12, dense=False)
+    own = fe.own_use(recent, T, C.study_start, C.study_end, C.lag_months).join(affl.select("actor_id"), "actor_id", "left_semi")
+    own_events = ev.join(members, "actor_id", "left_semi")
+    counts = fe.subject_counts(own_events, *fp.AGE_YEAR)
+    ages = fe.age_band_counts(own_events, fp.AGE_YEAR[0], fp.AGE_YEAR[1], C.as_of_date).drop("PAT_AGE_NA_CNT")
     specialty = fe.specialty_group(actor_profile(spark, sf), codes=fp.SPEC_CODES, fallback_parts=fp.SPEC_PARTS,
                                    fallback_group=fp.SPEC_FALLBACK)
-    org = (affl.filter(F.col("org_rank") == 1).select("actor_id", "org_id")
-               .join(fe.org_size(affl), "org_id", "left").select("actor_id", "org_id", "account_size"))
-    activity = pp.trailing_activity(spark, sf).withColumnRenamed("period", "cohort_month")
-    channel = fe.channel_engagement(channel_log(spark, sf), ev.select("actor_id"), fp.CHANNELS, fp.CH_LO, fp.CH_HI, 0,
+    org = (affl.select("actor_id", "org_id").join(fe.org_size(affl), "org_id", "left").join(members, "actor_id", "left_semi")
+               .select("actor_id", "org_id", "account_size"))
+    activity = pp.trailing_activity(spark, sf, members).withColumnRenamed("period", "cohort_month")
+    channel = fe.channel_engagement(channel_log(spark, sf), members, fp.CHANNELS, fp.CH_LO, fp.CH_HI, 0,
                                     fp.EDGES, fp.MEASURES).withColumn("actor_id", F.col("actor_id").cast("long"))
-    return ma.master_table(spine, [("activity", activity, KEYS), ("channel", channel, KEYS), ("monthly", monthly, KEYS),
-                                   ("breadth", breadth, KEYS), ("own", own, KEYS), ("characteristics", chars, ["actor_id"]),
-                                   ("specialty", specialty, ["actor_id"]), ("organisation", org, ["actor_id"])])
+    return ma.master_table(spine, [
+        ("activity", activity, KEYS), ("channel", channel, KEYS), ("shares", shares, KEYS), ("org_flag", orgf, KEYS),
+        ("peer", peer, KEYS), ("breadth", breadth, KEYS), ("own", own, KEYS), ("subjects", counts, ["actor_id"]),
+        ("ages", ages, ["actor_id"]), ("specialty", specialty, ["actor_id"]), ("organisation", org, ["actor_id"])],
+        grouped=("channel", "shares", "org_flag", "breadth", "own", "subjects", "ages"))
 
 
 _WRITTEN: dict[tuple, str] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortkit.config import TEST_CONFIG as C
 from cohortkit.functions.dates import month_before, week_start
 from cohortkit.operators import panel as pn
+from cohortkit.operators.distinct import distinct_by_kind
 from cohortkit.plans.oracle_sql import ACT, CLASS_SQL, CLASSES, EV, with_
 from cohortkit.plans.registry import register
 from cohortkit.sources.roles import activity_log, event_log
@@ -53,12 +54,18 @@ dense AS (
 )"""
 
 
-def _dense(spark, sf, period: str):
+def _dense(spark, sf, period: str, ids=None):
+    """Activities per actor and period, dense from the first to the last period of the log; of ``ids`` only, where given."""
     act = activity_log(spark, sf)
+    days = act.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi"))
+    lo, hi = days.select("lo").scalar(), days.select("hi").scalar()
+    if period == "month":
+        lo, hi = F.trunc(lo, "month"), F.trunc(hi, "month")
+    if ids is not None:
+        act = act.join(ids, "actor_id", "left_semi")
     cnt = (act.groupBy("actor_id", F.trunc("event_date", "month").alias("period") if period == "month"
                        else F.col("event_date").alias("period"))
            .agg(F.count(F.lit(1)).alias("n_activities")))
-    lo, hi = cnt.agg(F.min("period")).scalar(), cnt.agg(F.max("period")).scalar()
     panel = pn.dense_panel(cnt, "actor_id", "period", "n_activities", lo, hi, f"interval 1 {period}",
                            ids=act.select("actor_id").distinct())
     return panel.withColumn("period", F.date_format("period", "yyyy-MM" if period == "month" else "yyyy-MM-dd"))
@@ -93,8 +100,8 @@ def q_trailing_sums(spark, sf):
     return trailing_activity(spark, sf)
 
 
-def trailing_activity(spark, sf):
-    return pn.trailing_sums(_dense(spark, sf, "month"), "actor_id", "period", "n_activities", C.trailing_sizes)
+def trailing_activity(spark, sf, ids=None):
+    return pn.trailing_sums(_dense(spark, sf, "month", ids), "actor_id", "period", "n_activities", C.trailing_sizes)
 
 
 MONTHLY_ACTIVITY_SQL = _dense_sql("month", "MONTH").strip() + f""",
@@ -140,10 +147,9 @@ def _recency(spark, sf, lag, cumulative=False):
     start = f"{month_before(C.study_start, lag + max(C.bucket_edges))}-01"  # earlier events inform no cohort month
     ev = (event_log(spark, sf, start, C.study_end_date).groupBy("actor_id", "month", "subject_id")
           .agg(F.count(F.lit(1)).alias("n")))
-    fan = pn.fan_out_cohorts(ev, "month", lag, C.study_start, C.study_end, C.bucket_edges, cumulative)
-    return (fan.filter(F.col("bucket").isNotNull())
-               .groupBy("actor_id", "cohort_month", "bucket")
-               .agg(F.sum("n").alias("n_events"), F.countDistinct("subject_id").alias("n_subjects")))
+    fan = pn.cohorts_of(ev, "month", lag, C.study_start, C.study_end, C.bucket_edges, cumulative)
+    per = distinct_by_kind(fan, ["actor_id", pn.COHORT, pn.EDGE], "subject_id", {"n_subjects": F.lit(True)}, {"n_events": (F.sum, F.col("n"))})
+    return per.select("actor_id", pn.cohort_month(), pn.bucket_name(), "n_events", "n_subjects")
 
 
 @register("recency_buckets", _recency_sql(0))
