@@ -117,15 +117,16 @@ def share_wide(events: DataFrame, named, groups, cohort_lo: str, cohort_hi: str,
     per = fan.groupBy("actor_id", COHORT, EDGE, "subject_id").agg(*[F.bit_or(n).alias(n) for n in names])
     bit = [F.shiftright(F.col(names[i // MASK_BITS]), i % MASK_BITS).bitwiseAND(F.lit(1)) for i in range(len(values))]
     sums = per.groupBy("actor_id", COHORT, EDGE).agg(F.count(F.lit(1)).alias("_all"), *[F.sum(b).alias(f"_n_{i}") for i, b in enumerate(bit)])
-    shares = {(i, e): col_name("SHARE", f"{v}_LAST_{e}M") for i, v in enumerate(values) for e in edges}
-    wide = sums.groupBy("actor_id", COHORT).agg(*[
-        F.max(F.when(F.col(EDGE) == e, F.col(f"_n_{i}") / F.col("_all"))).alias(name) for (i, e), name in shares.items()])
-    if not dense:
-        return wide.select("actor_id", cohort_month(), *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in shares.values()])
-    ids = product_use_actors(events, named, groups) if ids is None else ids
-    grid = densify_ids(ids, "actor_id", COHORT, month_index_of_str(F.lit(cohort_lo)), month_index_of_str(F.lit(cohort_hi)))
-    out = grid.join(wide, ["actor_id", COHORT], "left")
-    return out.select("actor_id", cohort_month(), *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in shares.values()])
+    # the buckets of a key, a few rows, as one map: an aggregate with a buffer for each column would not be compiled
+    row = F.array(*[F.col(f"_n_{i}") / F.col("_all") for i in range(len(values))])
+    wide = sums.groupBy("actor_id", COHORT).agg(F.map_from_entries(F.collect_list(F.struct(F.col(EDGE), row))).alias("_by_edge"))
+    if dense:
+        ids = product_use_actors(events, named, groups) if ids is None else ids
+        grid = densify_ids(ids, "actor_id", COHORT, month_index_of_str(F.lit(cohort_lo)), month_index_of_str(F.lit(cohort_hi)))
+        wide = grid.join(wide, ["actor_id", COHORT], "left")
+    buckets = wide.select("actor_id", cohort_month(), *[F.try_element_at("_by_edge", F.lit(e)).alias(f"_edge_{e}") for e in edges])
+    return buckets.select("actor_id", "cohort_month", *[
+        F.coalesce(F.get(f"_edge_{e}", F.lit(i)), F.lit(0.0)).alias(col_name("SHARE", f"{v}_LAST_{e}M")) for i, v in enumerate(values) for e in edges])
 
 
 def subjects_by_product_use(events: DataFrame, named, groups) -> DataFrame:

@@ -19,7 +19,7 @@ def col_name(*parts) -> str:
 #: Most categories that become columns, as in the reference's setting.
 MAX_CATEGORIES = 50_000
 #: Up to so many output columns one aggregate has a conditional expression for each; beyond, categories are looked up.
-CONDITIONAL_COLUMNS = 256
+CONDITIONAL_COLUMNS = 32
 
 
 def categories(df: DataFrame, category: str, limit: int = MAX_CATEGORIES) -> list:

@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # recording the Python line of every column expression takes longer than planning wide tables
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
