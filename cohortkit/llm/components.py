@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link every node's larger neighbours to the smallest node of its neighbourhood, itself included."""
     near = edges.select(F.col("low").alias("node"), F.col("low").alias("m")).union(edges.select("high", "low"))
     least = near.groupBy("node").agg(F.min("m").alias("m"))
-    return edges.join(least.withColumnRenamed("node", "low"), "low").select("high", F.col("m").alias("low")).distinct()
+    return edges.join(least.withColumnRenamed("node", "low"), "low").select("high", F.col("m").alias("low"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -23,27 +23,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return least.select("high", F.col("m").alias("low")).union(moved).distinct()
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node has links both to a larger and to a smaller node, or to two smaller ones."""
+    ends = edges.select(F.col("high").alias("node"), "low").union(edges.select("low", F.lit(None).cast(edges.schema["low"].dataType)))
+    seen = ends.groupBy("node").agg(F.min("low").alias("least"), F.max("low").alias("most"), F.count("low").alias("n"), F.count("*").alias("all"))
+    return seen.where("n > 0 and (n < all or least < most)").isEmpty()
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """Return (node, label) for every node of a link; label is its component's smallest node.
 
-    Large-star and small-star steps alternate until nothing changes; all links
-    then lead to their component's smallest node.  A path of n nodes, in
-    whatever order, takes about log2(n) rounds.  Neighbourhoods are never
-    collected, only their smallest node.  Every step is written to the shared
+    Large-star and small-star steps alternate until all links lead to their
+    component's smallest node.  A path of n nodes, in whatever order, takes
+    about log2(n) rounds.  Neighbourhoods are never collected, only their
+    smallest node.  Every step is written to the shared
     folder and read back, so plans and size estimates do not grow.  No links:
     no rows.  Links with a null end are ignored; a node linked only with
-    itself is its own component.
+    itself is its own component.  ``rows``: the number of links, where known.
     """
     ends = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     alone = ends.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
-    edges = staged(ends.where("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "edges")
-    state = None
-    while True:
-        edges = staged(_small_star(staged(_large_star(edges), "large-star")), "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(20,0)"))).first()
-        if now == state:
-            break
-        state = now
+    edges = staged(ends.where("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "edges", rows)
+    rows = edges.count()  # no step makes more links
+    while not _are_stars(edges):
+        edges = staged(_small_star(staged(_large_star(edges), "large-star", rows)), "small-star", rows)
     roots = edges.select(F.col("low").alias("node"), F.col("low").alias("label"))
     return staged(edges.select(F.col("high").alias("node"), F.col("low").alias("label")).union(roots).union(alone)
-                  .groupBy("node").agg(F.min("label").alias("label")), "labels")
+                  .groupBy("node").agg(F.min("label").alias("label")), "labels", 2 * rows)

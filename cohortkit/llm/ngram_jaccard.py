@@ -53,10 +53,11 @@ BITMAP_BITS, CHUNKS = 26, 64
 BLOCK_ENTRIES = 400_000
 #: Members of a slice of a block that is too large for one R-tree.
 SLICE = 1024
-#: Blocks of so many classes are a few leaves: searched whole, many at once, up to so many rows.
+#: Blocks of so many classes share a tree with others, up to so many rows.
 SMALL, SMALL_ROWS = 64, 8192
-#: Best partners in other components that are tried for each class, round by round, before all that survive.
-BEST = (4, 4)
+#: Best partners in other components that are tried for each class, round by round, before all that survive;
+#: a round that has left none out is the last.
+BEST = (32,)
 #: Class ids of sets whose documents all have a null id start here.
 NO_ID = 1 << 62
 
@@ -216,13 +217,13 @@ def _maybe(marks, bits: int):
     return run
 
 
-def _sieved(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of (doc_id, text) with a wanted id, and by chance a few more; texts are not shuffled for it.
+def _sieved(source: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """Rows of (doc_id, text) with a wanted id (``rows`` at most), and by chance a few more; texts are not shuffled for it.
 
     The bitmap has eight bits for each wanted id but at most 2 ** BITMAP_BITS
     (8 MB), beyond which it only lets more texts through.  Null ids pass.
     """
-    wanted = staged(wanted, "wanted")
+    wanted = staged(wanted, "wanted", rows)
     bits = 1 << max(16, min(BITMAP_BITS, (8 * wanted.count()).bit_length()))
     rows = (wanted.mapInArrow(_mark(bits), "chunk int, marks binary").groupBy("chunk")
             .applyInPandas(_either, "chunk int, marks binary").collect())
@@ -286,32 +287,43 @@ def _passing(percent: int):
 
 
 class RTree:
-    """Points packed into boxes by size and then by their most spread coordinates, level by level."""
+    """Points packed into boxes by block, size and then their most spread coordinates, level by level.
+
+    A box has the upper corner of its points and the ranges of their sizes
+    and blocks.  Two points can meet only in one block.
+    """
 
     FANOUT = 16
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray | None = None) -> None:
+        blocks = np.zeros(len(sizes), np.int64) if blocks is None else blocks
         spread = np.argsort(-points.std(axis=0), kind="stable")[:3]
-        order = np.lexsort((*(points[:, c] for c in spread[::-1]), sizes // max(1, int(sizes.max()) // 16)))
+        order = np.lexsort((*(points[:, c] for c in spread[::-1]), sizes // max(1, int(sizes.max()) // 16), blocks))
         self.order = order
-        self.points, self.sizes = points[order], sizes[order]
-        self.levels = []
-        upper, low, high = self.points, self.sizes, self.sizes
-        while len(upper) > 1:
-            cuts = np.arange(0, len(upper), self.FANOUT)
-            upper, low, high = np.maximum.reduceat(upper, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
-            self.levels.append((upper, low, high))
+        level = (points[order], sizes[order], sizes[order], blocks[order], blocks[order])
+        self.levels = [level]
+        while len(level[0]) > 1:
+            cuts = np.arange(0, len(level[0]), self.FANOUT)
+            level = tuple(f.reduceat(x, cuts) for f, x in zip((np.maximum, np.minimum, np.maximum, np.minimum, np.maximum), level))
+            self.levels.append(level)
 
     def pairs(self, other: RTree, percent: int):
-        """Yield (rows here, rows there, bounds) of the points whose bound reaches the needed overlap."""
-        depth = max(len(self.levels), len(other.levels))
+        """Yield (rows here, rows there, bounds) of the points whose bound reaches the needed overlap.
+
+        Of a tree with itself every pair is met once, and no point with itself.
+        """
+        depth = max(len(self.levels), len(other.levels)) - 1
         here, there = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        step = max(16, COMPARED // self.points.shape[1])
+        step = max(16, COMPARED // self.levels[0][0].shape[1])
         for level in range(depth, -1, -1):
             a, b = self._level(level), other._level(level)
             if level < depth:
                 here, there = self._children(here, there, len(a[0]), len(b[0]))
-            keep = []
+            keep = (a[3][here] <= b[4][there]) & (b[3][there] <= a[4][here])
+            if other is self:
+                keep &= here < there if level == 0 else here <= there
+            here, there = here[keep], there[keep]
+            keep = np.zeros(len(here), dtype=bool)
             for x in range(0, len(here), step):
                 i, j = here[x:x + step], there[x:x + step]
                 bound = np.minimum(a[0][i], b[0][j]).sum(axis=1)
@@ -320,15 +332,11 @@ class RTree:
                 ok &= (100 * a[2][i] >= percent * b[1][j]) & (100 * b[2][j] >= percent * a[1][i])
                 if level == 0 and ok.any():
                     yield self.order[i[ok]], other.order[j[ok]], bound[ok]
-                keep.append(ok)
-            if level:
-                ok = np.concatenate(keep) if keep else np.zeros(0, bool)
-                here, there = here[ok], there[ok]
+                keep[x:x + step] = ok
+            here, there = here[keep], there[keep]
 
     def _level(self, level: int):
-        if level == 0:
-            return self.points, self.sizes, self.sizes
-        return self.levels[min(level, len(self.levels)) - 1] if self.levels else (self.points, self.sizes, self.sizes)
+        return self.levels[min(level, len(self.levels) - 1)]
 
     def _children(self, here, there, n_here: int, n_there: int):
         f = self.FANOUT
@@ -341,27 +349,8 @@ class RTree:
         return i[ok], j[ok]
 
 
-def _leaves(points, sizes, block, percent: int):
-    """Pairs of rows of one block, for many blocks of a few leaves each, sorted by block and size."""
-    reach, distance = np.arange(len(block)), 0
-    step = max(16, COMPARED // points.shape[1])
-    while True:
-        distance += 1
-        reach = reach[reach + distance < len(block)]
-        reach = reach[block[reach] == block[reach + distance]]
-        if not len(reach):
-            return
-        x, y = reach, reach + distance
-        near = 100 * sizes[x] >= percent * sizes[y]
-        for k in range(0, int(near.sum()), step):
-            i, j = x[near][k:k + step], y[near][k:k + step]
-            bound = np.minimum(points[i], points[j]).sum(axis=1)
-            ok = (100 + percent) * bound >= percent * (sizes[i] + sizes[j])
-            yield i[ok], j[ok], bound[ok]
-
-
 def _search(percent: int, best: int | None):
-    """Surviving pairs of different components: of many small blocks, of a large one, or of two slices of one."""
+    """Surviving pairs of different components: of a tree of many small blocks, of a slice of a large one, or of two slices."""
     def run(table: pa.Table) -> pa.Table:
         block, cid, n, label, part, i, j, small = (
             table.column(c).to_numpy() for c in ("block", "cid", "n", "label", "slice", "i", "j", "small"))
@@ -373,10 +362,9 @@ def _search(percent: int, best: int | None):
             for groups in np.unique(level):
                 rows = np.flatnonzero(level >= groups)
                 points = _folded([raw[k] for k in rows], groups)
-                if small[0]:
-                    order = np.lexsort((n[rows], block[rows]))
-                    found = _leaves(points[order], n[rows][order], block[rows][order], percent)
-                    one = two = rows[order]
+                if small[0] or i[0] == j[0]:
+                    tree = RTree(points, n[rows], block[rows])
+                    found, one, two = tree.pairs(tree, percent), rows, rows
                 else:
                     at_i, at_j = np.flatnonzero(part[rows] == i[0]), np.flatnonzero(part[rows] == j[0])
                     if not len(at_i) or not len(at_j):
@@ -388,7 +376,7 @@ def _search(percent: int, best: int | None):
                     own = np.minimum(level[x], level[y]) == groups
                     yield x[own], y[own], bound[own]
 
-        kept, rows = [], 0
+        kept, rows, cut = [], 0, False
         for x, y, bound in candidates():
             ok = label[x] != label[y]
             x, y, bound = x[ok], y[ok], bound[ok]
@@ -396,22 +384,25 @@ def _search(percent: int, best: int | None):
                                       "score": bound / (n[x] + n[y] - bound)}))
             rows += len(kept[-1])
             if rows > 200_000:
-                kept = [_best_of(pd.concat(kept), best)]
-                rows = len(kept[0]) // 2
+                kept, fewer = _best_of(pd.concat(kept), best)
+                kept, rows, cut = [kept], len(kept) // 2, cut or fewer
         if not kept:
             kept = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})]
-        pairs = _best_of(pd.concat(kept), best)
-        return pa.table({"a": pa.array(pairs["a"].to_numpy(), pa.int64()), "b": pa.array(pairs["b"].to_numpy(), pa.int64())})
+        pairs, fewer = _best_of(pd.concat(kept), best)
+        a, b = pairs["a"].tolist(), pairs["b"].tolist()
+        more = [None] if cut or fewer else []  # a row without pair says that some are left for later
+        return pa.table({"a": pa.array(a + more, pa.int64()), "b": pa.array(b + more, pa.int64())})
     return run
 
 
-def _best_of(pairs: pd.DataFrame, best: int | None) -> pd.DataFrame:
-    """Of the pairs (a, b, score) those that are among the best of either end."""
+def _best_of(pairs: pd.DataFrame, best: int | None) -> tuple[pd.DataFrame, bool]:
+    """Of the pairs (a, b, score) those that are among the best of either end, and whether that left any out."""
     pairs = pairs.drop_duplicates(["a", "b"])
     if best is None or pairs.empty:
-        return pairs
+        return pairs, False
     ranked = pairs.sort_values(["score", "a", "b"], ascending=[False, True, True])
-    return ranked[(ranked.groupby("a").cumcount() < best) | (ranked.groupby("b").cumcount() < best)]
+    chosen = ranked[(ranked.groupby("a").cumcount() < best) | (ranked.groupby("b").cumcount() < best)]
+    return chosen, len(chosen) < len(ranked)
 
 
 class JaccardJoin:
@@ -458,19 +449,26 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lead = shared.groupBy("token").agg(F.min("cid").alias("block"), F.max("cid").alias("z")).where("block <> z")
     blocks = staged(shared.join(lead.select("token", "block"), "token").select("block", "cid").distinct(), "blocks")
     stars = blocks.where("cid <> block").select(F.col("block").alias("a"), F.col("cid").alias("b"))
-    points = _sieved(source, blocks.select(F.col("cid").alias("doc_id")).distinct()).mapInArrow(
+    n_pairs = blocks.count()
+    points = _sieved(source, blocks.select(F.col("cid").alias("doc_id")).distinct(), n_pairs).mapInArrow(
         _members(width, False), "cid long, n long, point binary")
     points = staged(points.dropDuplicates(["cid"]), "points")
 
-    links = staged(_verified(stars, points, source, width, percent), "links")
+    links = staged(_verified(stars, points, source, width, percent, n_pairs), "links", n_pairs)
+    n_links = links.count()
+    labels = connected_components(links, rows=n_links)
     for best in (*BEST, None):
-        labels = connected_components(links)
-        more = _residual(blocks, points, labels, percent, best)
-        if more is None:
+        found = _residual(blocks, points, labels, percent, best, n_pairs)
+        if found is None:
+            break
+        more = found.where("a is not null")
+        n_more = more.count()
+        links = staged(links.unionByName(_verified(more, points, source, width, percent, n_more)).dropDuplicates(["a", "b"]), "links",
+                       n_links + n_more)
+        n_links = links.count()
+        labels = connected_components(links, rows=n_links)
+        if found.where("a is null").isEmpty():  # all surviving pairs have been tried
             break
-        links = staged(links.unionByName(_verified(more, points, source, width, percent)).dropDuplicates(["a", "b"]), "links")
-    else:
-        labels = connected_components(links)
 
     named = members.where("n_shingles > 0").groupBy("k1", "k2").agg(F.coalesce(F.min("doc_id"), unnamed).alias("cid"))
     named = (named.join(labels.toDF("cid", "label"), "cid", "left")
@@ -498,17 +496,17 @@ def _order(profile: DataFrame, percent: int):
     return context.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32)), context.broadcast(hot), total, hot_total
 
 
-def _verified(pairs: DataFrame, points: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs those whose bound, and then whose sets, reach the similarity."""
+def _verified(pairs: DataFrame, points: DataFrame, source: DataFrame, width: int, percent: int, n_pairs: int) -> DataFrame:
+    """Of the pairs, ``n_pairs`` at most, those whose bound, and then whose sets, reach the similarity."""
     def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
         return table.select(F.col("cid").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
     close = (pairs.join(side(points, "a", "n", "point"), "a").join(side(points, "b", "n", "point"), "b")
              .where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))))
     passed = staged(close.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(
-        _passing(percent), "a long, b long"), "passed")
+        _passing(percent), "a long, b long"), "passed", n_pairs)
     ends = passed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _sieved(source, ends).mapInArrow(_members(width, True), "cid long, n long, shingles array<long>")
+    sets = _sieved(source, ends, 2 * n_pairs).mapInArrow(_members(width, True), "cid long, n long, shingles array<long>")
     sets = staged(sets, "sets")
     overlap = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return (passed.join(side(sets, "a", "n", "shingles"), "a").join(side(sets, "b", "n", "shingles"), "b")
@@ -517,11 +515,14 @@ def _verified(pairs: DataFrame, points: DataFrame, source: DataFrame, width: int
             .select("a", "b", "overlap").dropDuplicates(["a", "b"]))
 
 
-def _residual(blocks: DataFrame, points: DataFrame, labels: DataFrame, percent: int, best: int | None):
-    """Surviving pairs of different components in blocks that hold several; None without such a block."""
+def _residual(blocks: DataFrame, points: DataFrame, labels: DataFrame, percent: int, best: int | None, n_blocks: int):
+    """Surviving pairs of different components in blocks that hold several; None without such a block.
+
+    A row of nulls says that ``best`` has left some out.  ``n_blocks``: rows of ``blocks``.
+    """
     member = blocks.join(labels.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     several = staged(member.groupBy("block").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low <> high"), "several")
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low <> high"), "several", n_blocks)
     if several.isEmpty():
         return None
     rows = several.agg(F.sum(F.when(F.col("m") <= SMALL, F.col("m")))).first()[0] or 0
@@ -534,4 +535,4 @@ def _residual(blocks: DataFrame, points: DataFrame, labels: DataFrame, percent:
               .withColumn("i", F.least("slice", "other")).withColumn("j", F.greatest("slice", "other")))
     heap = F.when(F.col("small"), F.pmod(F.xxhash64("block"), F.lit(max(8, rows // SMALL_ROWS)))).otherwise(F.col("block"))
     found = spread.groupBy("small", heap, "i", "j").applyInArrow(_search(percent, best), "a long, b long")
-    return found.distinct()
+    return staged(found.distinct(), "survivors", n_blocks)

@@ -10,6 +10,8 @@ from cohortkit.session import checkpoint_dir, shared_path
 #: Rows of one Arrow batch sent to a Python task.  Bounds the task's memory
 #: when texts are long.
 ARROW_ROWS = 1000
+#: A table of a known number of small rows has a task for so many, and not fewer tasks than this.
+TASK_ROWS, LEAST_TASKS = 5000, 8
 
 
 def prepare(spark: SparkSession) -> None:
@@ -23,12 +25,16 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return shared_path(spark, "llm", name)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     A lost executor then costs a re-read of files instead of a re-run of the
-    stages behind them.
+    stages behind them.  ``rows``, where it is known that there are no more,
+    keeps a small table from being dealt to many tasks and files; a large one
+    keeps the tasks that it has.
     """
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
