@@ -32,7 +32,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -74,11 +74,11 @@ def _needed(n: int, percent: int) -> int:
 
 
 def _profiles(width: int):
-    """(doc_id, text) -> per document its set's size and key, and the task's sketch in chunks."""
+    """(doc_id, text, digest) -> per document its set's size and key, and the task's sketch in chunks."""
     def run(batches):
         hasher = Hasher()
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        names = ["doc_id", "n_shingles", "k1", "k2", "chunk", "counts"]
+        names = ["doc_id", "n_shingles", "k1", "k2", "digest", "chunk", "counts"]
         for batch in batches:
             sizes, firsts, seconds = [], [], []
             for s in shingle_sets(batch.column(1), width, hasher):
@@ -90,12 +90,12 @@ def _profiles(width: int):
             m = len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()),
-                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+                 batch.column(2), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         parts = sketch.reshape(SKETCH_CHUNKS, -1)
         kept = np.flatnonzero(parts.any(axis=1))
         m = len(kept)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64())] * 4
+            [pa.nulls(m, pa.int64())] * 4 + [pa.nulls(m, pa.binary())]
             + [pa.array(kept, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in kept], pa.binary())], names=names)
     return run
 
@@ -410,11 +410,24 @@ class JaccardJoin:
 
     ``links`` holds verified links between classes, named by their smallest
     document, that join the components; a link between two classes that
-    earlier links already join is not listed.
+    earlier links already join is not listed.  ``rows`` (doc_id, digest,
+    n_shingles, label) names every row by its id and the SHA-256 of its text;
+    ``label`` is the component, also where no row of it has an id, and null
+    for a text without shingles.
     """
 
-    def __init__(self, documents: DataFrame, links: DataFrame) -> None:
-        self.documents, self.links = documents, links
+    def __init__(self, documents: DataFrame, links: DataFrame, rows: DataFrame) -> None:
+        self.documents, self.links, self.rows = documents, links, rows
+
+    def representatives(self) -> DataFrame:
+        """(doc_id, digest) of one row for each component with shingles: the smallest id (null last), then the smallest digest."""
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("r")
+        return self.rows.where("label is not null").groupBy("label").agg(first).select("r.doc_id", "r.digest")
+
+
+def text_digest(text: Column) -> Column:
+    """What names a text in ``JaccardJoin.rows``."""
+    return F.unhex(F.sha2(text, 256))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -431,9 +444,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prepare(spark)
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
 
-    profile = staged(source.mapInArrow(
-        _profiles(width), "doc_id long, n_shingles long, k1 long, k2 long, chunk int, counts binary"), "profiles")
-    members = profile.where("chunk is null").select("doc_id", "n_shingles", "k1", "k2")
+    profile = staged(source.select("*", text_digest(F.col("text")).alias("digest")).mapInArrow(
+        _profiles(width), "doc_id long, n_shingles long, k1 long, k2 long, digest binary, chunk int, counts binary"), "profiles")
+    members = profile.where("chunk is null").select("doc_id", "n_shingles", "k1", "k2", "digest")
     order, hot, entries, hot_entries = _order(profile, percent)
 
     keys = source.mapInArrow(_rarest(width, percent, order), "k1 long, k2 long, doc_id long, n long, rare binary")
@@ -473,11 +486,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = members.where("n_shingles > 0").groupBy("k1", "k2").agg(F.coalesce(F.min("doc_id"), unnamed).alias("cid"))
     named = (named.join(labels.toDF("cid", "label"), "cid", "left")
              .select("k1", "k2", F.coalesce("label", "cid").alias("label")))
-    documents = members.join(named, ["k1", "k2"], "left").select(
+    rows = members.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", "digest", "label")
+    documents = rows.select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id"))
         .otherwise(F.when(F.col("label") < NO_ID, F.col("label"))).alias("component_id"))
-    return JaccardJoin(documents, links)
+    return JaccardJoin(documents, links, rows)
 
 
 def _order(profile: DataFrame, percent: int):
