@@ -16,6 +16,9 @@ def _quality() -> str:
     classes = ", ".join(
         f"length(regexp_replace(t, '[^{chars}]+', '', 'g'))".replace("'\"()", "''\"()") for chars in quality_rules.CLASSES.values())
     listed = " ".join(f"WHEN '{lang}' THEN [{_quoted(words)}]" for lang, words in quality_rules.COMMON_WORDS.items())
+    # the script of most characters: its count, padded, before its name, so that the largest text is the one
+    scripts = ", ".join(f"lpad(CAST(length(regexp_replace(t, '[^\\p{{{s}}}]+', '', 'g')) AS VARCHAR), 12, '0') || '{s}'"
+                        for s in quality_rules.SCRIPTS)
     distance = """
 {name} AS (
   SELECT id, CASE WHEN min(ct) > 0 AND min(rt) > 0 THEN sqrt(greatest(sum(
@@ -24,24 +27,35 @@ def _quality() -> str:
   FROM (SELECT id, ct, rt, c / nullif(ct, 0) AS p, coalesce(r, 0) / nullif(rt, 0) AS q
         FROM (SELECT x.id, x.i, CAST(x.c AS DOUBLE) AS c, CAST(y.c AS DOUBLE) AS r,
                      sum(x.c) OVER (PARTITION BY x.id) AS ct,
-                     (SELECT sum(c) FROM {name}_pool z WHERE z.language = x.language) AS rt
-              FROM {name}_bins x LEFT JOIN {name}_pool y ON y.language = x.language AND y.i = x.i))
+                     (SELECT sum(c) FROM {name}_pool z WHERE z.pool = x.pool) AS rt
+              FROM {name}_bins x LEFT JOIN {name}_pool y ON y.pool = x.pool AND y.i = x.i))
   GROUP BY id)"""
     bins = """
-{name}_bins AS (SELECT id, language, n_words, unnest(range(1, len({col}) + 1)) AS i, unnest({col}) AS c FROM profile),
-{name}_pool AS (SELECT language, i, sum(c) AS c FROM {name}_bins WHERE n_words >= {least} GROUP BY language, i),"""
+{name}_bins AS (SELECT id, pool, language, n_words, unnest(range(1, len({col}) + 1)) AS i, unnest({col}) AS c,
+                       list_sum({col}) AS whole FROM profile),
+{name}_pool AS (
+  SELECT pool, i, sum(CASE WHEN language = '{other}' THEN round(c * {share} / CAST(whole AS DOUBLE)) ELSE c END) AS c
+  FROM {name}_bins WHERE n_words >= {least} GROUP BY pool, language, i
+  HAVING language <> '{other}' OR (count(*) >= {documents} AND pool IS NOT NULL)),"""
+    shape = {"least": quality_rules.MIN_WORDS, "other": quality_rules.OTHER, "share": quality_rules.SHARE,
+             "documents": quality_rules.MIN_DOCUMENTS}
     return f"""
 WITH docs AS (
   SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, {_WORDS} AS words,
-         CASE WHEN lang IN ({_quoted(quality_rules.COMMON_WORDS)}) THEN lang ELSE '{quality_rules.OTHER}' END AS language
+         CASE WHEN lang IN ({_quoted(quality_rules.COMMON_WORDS)}) THEN lang ELSE '{quality_rules.OTHER}' END AS language,
+         coalesce(lang, '') AS given
   FROM documents),
+scripted AS (
+  SELECT *, CASE WHEN language = '{quality_rules.OTHER}' THEN list_max([{scripts}]) END AS script FROM docs),
 counted AS (
-  SELECT *, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+  SELECT *, CASE WHEN language <> '{quality_rules.OTHER}' THEN language
+                 WHEN substr(script, 1, 12) > '000000000000' THEN '{quality_rules.OTHER}:' || substr(script, 13) || ':' || given END AS pool,
+         len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
          length(regexp_replace(t, '[^{quality_rules.SYMBOLS}]+', '', 'g')) AS n_symbols,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS lines,
          list_transform(list_filter(words, lambda w: list_contains([{_quoted(quality_rules._spellings())}], w)), lambda w: lower(w)) AS found,
          coalesce(CASE language {listed} END, []) AS listed, [{classes}] AS named
-  FROM docs),
+  FROM scripted),
 profile AS (
   SELECT *, list_transform(listed, lambda k: len(list_filter(found, lambda w: w = k))) AS common,
          list_concat([length(t) - word_chars, n_symbols], named, [word_chars - n_symbols - list_sum(named)]) AS class_counts,
@@ -53,9 +67,9 @@ repeated AS (
   SELECT id, count(DISTINCT i + d) AS n FROM (
     SELECT id, i, count(*) OVER (PARTITION BY id, words[i], words[i + 1], words[i + 2]) AS n FROM windows) w,
     (SELECT unnest([0, 1, 2]) AS d) WHERE n > 1 GROUP BY id),
-{bins.format(name="cls", col="class_counts", least=quality_rules.MIN_WORDS).strip()}
+{bins.format(name="cls", col="class_counts", **shape).strip()}
 {distance.format(name="cls").strip()},
-{bins.format(name="wrd", col="word_counts", least=quality_rules.MIN_WORDS).strip()}
+{bins.format(name="wrd", col="word_counts", **shape).strip()}
 {distance.format(name="wrd").strip()},
 judged AS (
   SELECT p.*, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
