@@ -5,9 +5,9 @@ histograms and compared with its language's reference by Jensen-Shannon
 distance (base 2, 0 to 1).  The references are the pooled histograms of all
 documents of the language that are long enough, so they follow the corpus; an
 unlisted or missing language is pooled by itself and the text's main script,
-each document with equal weight.  Everything is DataFrame expressions: one
-pass over the texts for the references, one for the verdicts, no shuffle of
-texts.
+each document with equal weight.  Everything is DataFrame expressions: the
+texts are read once for the histograms, which are written; references and
+verdicts come from the written histograms, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def _script(text: str) -> Column:
     return F.when(most["n"] > 0, most["s"])
 
 
-def _profile(docs: DataFrame, keep: list[str], text_col: str, lang_col: str | None, repeats: bool) -> DataFrame:
+def _profile(docs: DataFrame, keep: list[str], text_col: str, lang_col: str | None) -> DataFrame:
     """The base counts and the two histograms of each document, beside its kept columns as ``row``."""
     language = docs[lang_col].cast("string") if lang_col else F.lit(None).cast("string")
     frame = docs.select(F.struct(*[docs[c] for c in keep]).alias("row") if keep else F.lit(None).alias("row"),
@@ -96,11 +96,10 @@ def _profile(docs: DataFrame, keep: list[str], text_col: str, lang_col: str | No
         "found": F.transform(F.filter("words", lambda w: w.isin(*_spellings())), lambda w: F.lower(w)),
         **{name: F.length(F.regexp_replace("text", f"[^{chars}]+", "")).cast("long") for name, chars in CLASSES.items()},
     })
-    if repeats:
-        lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-        frame = frame.withColumn("lines", lines)
-        frame = frame.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-        frame = _repeat_words(frame).drop("lines")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+    frame = frame.withColumn("lines", lines)
+    frame = frame.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
+    frame = _repeat_words(frame).drop("lines")
     listed = F.create_map(*[x for lang, words in COMMON_WORDS.items() for x in (F.lit(lang), F.array(*map(F.lit, words)))])
     listed = F.coalesce(F.try_element_at(listed, F.col("language")), F.array().cast("array<string>"))
     frame = frame.withColumn("common", F.transform(listed, lambda k: F.size(
@@ -123,8 +122,11 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str | None = "
 
     Listed languages are summed by characters and words, others by the shares of each document.
     """
-    profile = _profile(docs, [], text_col, lang_col, repeats=False).where(F.col("n_words") >= MIN_WORDS)
+    return _pooled(_profile(docs, [], text_col, lang_col))
 
+
+def _pooled(profile: DataFrame) -> DataFrame:
+    profile = profile.where(F.col("n_words") >= MIN_WORDS)
     total = F.aggregate("class_counts", F.lit(0).cast("long"), lambda s, x: s + x)
     shares = F.transform("class_counts", lambda x: F.round(x * SHARE / total).cast("long"))
     profile = profile.withColumn("class_counts", F.when(F.col("language") == OTHER, shares).otherwise(F.col("class_counts")))
@@ -171,9 +173,9 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, text_col: str
     alike; columns of ``docs`` never clash, as they stay inside ``row``.
     """
     prepare(docs.sparkSession)
-    profile = _profile(docs, docs.columns if keep is None else keep, text_col, lang_col, repeats=True)
+    profile = staged(_profile(docs, docs.columns if keep is None else keep, text_col, lang_col), "quality-profiles")
     # a row for each pool; a column of thousands of language values is left to Spark's choice of join
-    known = staged(references(docs, text_col, lang_col), "quality-references")
+    known = staged(_pooled(profile), "quality-references")
     judged = profile.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "pool", "left")
     judged = judged.withColumns({
         "class_distance": F.coalesce(jensen_shannon("class_counts", "class_reference"), F.lit(0.0)),
