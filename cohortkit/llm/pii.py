@@ -1,14 +1,17 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame expressions.
 
 Seeds are the valid matches of fixed patterns (email, ip, card, phone).  The
-words beside their occurrences are lexical patterns.  Patterns and candidate
-tokens (those with a digit or an at sign that no seed covers) form a graph: a
+words beside their occurrences are lexical patterns, and so is a name that is
+glued to them by a colon or an equals sign.  Patterns and candidates (tokens
+with a digit or an at sign that no seed covers, with the groups of digits that
+follow after one space) form a graph: a
 pattern's confidence is the share of all occurrences of its word in the corpus
 that stand beside an identifier of its kind, each counted by its own
 confidence (1 for seeds), so that errors do not feed on themselves; a
 candidate's is the noisy-or of
 the confident patterns around any of its occurrences.  Candidates above the
-limit become identifiers and induce patterns in the next round.
+limit become identifiers and induce patterns in the next round, until a round
+finds nothing new.
 
 Matches are cut out by splitting a text at them, so each match comes with the
 length of the text since the one before, and places are running sums; texts
@@ -31,8 +34,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Tokens that can be identifiers: with a digit or an at sign.
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: What can be an identifier: a token with a digit or an at sign, and further groups of two or more digits.
+CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20\(?+[0-9]{2}[0-9().-]*+(?!\S))*+"
+#: A name glued to what follows, and the mark of such a pattern.
+GLUED, MARK = r"[\p{L}][\p{L}\p{N}_-]*+[:=]", "\x01"
 #: Texts that can hold a match at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": r"\+[0-9]", "candidate": "[0-9@]"}
 #: Characters on each side of a match in which its neighbouring word is sought.
@@ -42,7 +47,6 @@ CONTEXT = 64
 MIN_SUPPORT, MIN_CONFIDENCE = 3, 0.5
 #: A candidate needs this confidence, and so many digits unless it holds an at sign.
 MIN_SCORE, MIN_DIGITS = 0.5, 4
-ROUNDS = 3
 
 
 def _digits(c) -> Column:
@@ -71,9 +75,10 @@ def _match_in(kind: str):
 
     def match(m, i):
         left, right = F.right(F.get(gaps, i), F.lit(CONTEXT)), F.left(F.get(gaps, i + 1), F.lit(CONTEXT))
+        glued = F.regexp_extract(m if kind == "candidate" else left, f"^(?:{GLUED})" if kind == "candidate" else rf"(?<!\S)(?:{GLUED})$", 0)
+        before = F.when(glued != "", F.concat(glued, F.lit(MARK))).otherwise(F.regexp_extract(left, r"(\S+)\s*$", 1))
         return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), m.alias("match"),
-                        F.lower(F.regexp_extract(left, r"(\S+)\s*$", 1)).alias("left"),
-                        F.lower(F.regexp_extract(right, r"^\s*(\S+)", 1)).alias("right"))
+                        F.lower(before).alias("left"), F.lower(F.regexp_extract(right, r"^\s*(\S+)", 1)).alias("right"))
 
     return match
 
@@ -97,9 +102,10 @@ def _occurrences(matches: DataFrame) -> DataFrame:
     upto = Window.partitionBy("rid", "kind").orderBy("i")
     start = F.sum(F.col("gap") + F.length("match")).over(upto) - F.length("match")
     rows = rows.withColumn("start", start).where(_valid(F.col("kind"), F.col("match")))
-    # a candidate's span is its token without the punctuation around it
-    inner = F.regexp_replace("match", r"^[^\p{L}\p{N}+]++|[^\p{L}\p{N}]++$", "")
-    lead = F.length(F.regexp_extract("match", r"^[^\p{L}\p{N}+]*+", 0))
+    # a candidate's span is its token without the name glued to it and the punctuation around it
+    around = rf"(?:{GLUED})?+[^\p{{L}}\p{{N}}+]*+"
+    inner = F.regexp_replace("match", rf"^{around}|[^\p{{L}}\p{{N}}]++$", "")
+    lead = F.length(F.regexp_extract("match", rf"^{around}", 0))
     is_base = F.col("kind") != "candidate"
     rows = rows.withColumns({"start": F.col("start") + F.when(is_base, 0).otherwise(lead),
                              "match": F.when(is_base, F.col("match")).otherwise(inner)})
@@ -117,6 +123,10 @@ def _occurrences(matches: DataFrame) -> DataFrame:
 def _word_totals(docs: DataFrame, text_col: str, contexts: DataFrame) -> DataFrame:
     """How often each context word occurs in all texts."""
     words = docs.select(F.explode(F.split(F.lower(text_of(docs, text_col)), r"[ \t-\r]+")).alias("word"))
+    # a token that begins with a glued name is an occurrence of that name, too
+    names = F.when(F.col("word").rlike("[:=]."), F.regexp_extract("word", f"^(?:{GLUED})(?=.)", 0))
+    both = F.when(names != "", F.array(F.col("word"), F.concat(names, F.lit(MARK)))).otherwise(F.array("word"))
+    words = words.select(F.explode(both).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("total")).join(contexts, "word", "left_semi")
 
 
@@ -141,7 +151,7 @@ def _bootstrap(docs: DataFrame, occurrences: DataFrame, text_col: str) -> DataFr
     known = near_base.groupBy("kind", "value", "side", "word").agg(F.count("*").alias("n"))
     known = known.withColumn("score", F.lit(1.0))
     found = docs.sparkSession.createDataFrame([], "value string, kind string, score double")
-    for _ in range(ROUNDS):
+    while True:  # every round but the last adds a value, and each value is added once
         labelled = known.unionByName(near_candidate.join(found, "value").select("kind", "value", "side", "word", "n", "score"))
         patterns = (labelled.groupBy("kind", "side", "word").agg(F.sum(F.col("n") * F.col("score")).alias("n"), F.count("*").alias("support"))
                     .where(F.col("support") >= MIN_SUPPORT).join(totals, "word")

@@ -141,6 +141,28 @@ def test_pii_discovers_in_context(spark):
     assert {k: v for k, v in more.items() if v} == {20 + k: [f"555-01{k}9"] for k in range(3)}
 
 
+def test_pii_discovers_groups_of_digits_and_glued_names(spark):
+    rows = [(k, f"hello there acctphone +1 (70{k}) 555-016{k} and more words") for k in range(9)]
+    rows += [(10 + k, f"see tel:+49 30 12345{k}67 or write") for k in range(6)]
+    rows += [(20, "other acctphone (705) 555-0169 is new"), (21, "an acctphone 0301 234567 too"), (22, "short tel:555-01999, again"),
+             (23, "none here 0301 234568 nor time:555-01998"), (24, "acctphone one 12 34")]
+    found = pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    more = {r["doc_id"]: [s["match"] for s in r["spans"] if not s["base"]] for r in found.select("row.doc_id", "spans").collect()}
+    assert {k: v for k, v in more.items() if v} == {20: ["705) 555-0169"], 21: ["0301 234567"], 22: ["555-01999"]}
+
+
+def test_pii_bootstraps_until_nothing_is_new(spark):
+    """Each label stands beside numbers that only the label before it gives away, five rounds deep."""
+    known, rows = [f"+1 (705) 555-01{k}{k}" for k in range(5)], []
+    for level, label in enumerate(("desk", "home", "shop", "work", "yard")):
+        fresh = [f"{level + 2}{k}4-81{level}{k}" for k in range(5)]
+        rows += [f"{n} {label}" for n in known] * 10 + [f"{n} {label}" for n in fresh]
+        known = fresh
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = [len(r["spans"]) for r in pii.pii_spans(frame).collect()]
+    assert spans == [1] * len(rows)
+
+
 def test_pii_redaction(odd_docs, no_docs, spark):
     clean = pii.redact(odd_docs)
     assert clean.columns == odd_docs.columns and clean.count() == odd_docs.count()
