@@ -155,7 +155,9 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, fit_rows: int = FIT
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     # at most fit_rows rows, whatever the data
     labelled = slim.join(F.broadcast(chosen), "doc_id").select(F.col("grade").cast("int").alias("grade"), "text")
-    rows = labelled.mapInArrow(_sets, "grade int, features binary").limit(2 * fit_rows).collect()
+    # ids that repeat can make more rows: of those the first in a fixed order, so that every run takes the same
+    found = labelled.mapInArrow(_sets, "grade int, features binary")
+    rows = found.orderBy(F.xxhash64("grade", "features"), "grade", "features").limit(2 * fit_rows).collect()
     rows.sort(key=lambda r: (r["grade"], bytes(r["features"])))
     sets = [np.frombuffer(r["features"], dtype=np.uint32) for r in rows]
     features = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
