@@ -18,26 +18,32 @@ from cohortkit.llm.quality_rules import quality_rules
 from cohortkit.llm.staging import staged
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep.
+def unused(docs: DataFrame) -> str:
+    """An ending that makes a name longer than any column's."""
+    return "_" * max((len(c) for c in docs.columns), default=0)
 
-    The verdicts are written first: a filter on them would be pushed down and
-    repeat the whole computation inside itself.
-    """
-    verdict = "kept_" + "_" * max((len(c) for c in docs.columns), default=0)  # longer than any column's name
-    judged = staged(quality_rules(docs).select("row.*", F.col("kept").alias(verdict)), "judged")
-    return judged.where(verdict).drop(verdict)
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules(docs).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of repeated rows one.
+    """One document of each group of near duplicates: the smallest id (missing ids last).
 
-    Documents without an id have no representative to be and stay.
+    Rows are joined by a 62-bit hash of id and text, so different texts that
+    share an id are judged each for itself, and copies without id are copies
+    like others.  Of rows with one id and text the one with the smallest hash
+    of all columns stays.  Texts without words are near no other text.
     """
-    groups = ngram_jaccard_join(docs).documents
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    row = "row" + unused(docs)
+    named = docs.withColumn(row, F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2))
+    groups = ngram_jaccard_join(named, id_col=row).documents.select(F.col("doc_id").alias(row), "component_id").distinct()
+    ids = named.select(row, F.col("doc_id").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", row))
+    chosen = groups.join(ids, row).groupBy("component_id").agg(first.alias("first")).select(f"first.{row}")
+    once = named.join(chosen, row, "left_semi").groupBy(row).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one"))
+    return once.select("one.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +57,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     taken = mix_sources(docs).where("times > 0")
-    return taken.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("col")
+    copy = "copy" + unused(docs)
+    return taken.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias(copy)).drop(copy)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
