@@ -162,9 +162,11 @@ def learning_curve(matrix: Matrix, folds: DataFrame, fractions, label: str = "ta
         is_train = F.col(month_col) <= fold["train_to"]
         for fraction in sorted(fractions):
             part = months.where(is_train & (F.col("_place") < float(fraction)))
-            if part.rows.agg(F.countDistinct(label)).first()[0] < 2:
+            n, low, high = part.rows.agg(F.count(F.lit(1)), F.min(label), F.max(label)).first()
+            if n == 0 or low == high:
                 continue
-            fitted = part.fit(kind, label, seed=seed, **kw)
+            penalty = {"reg": 1.0 / n} if kind in ("logistic_l1", "logistic_l2") else {}
+            fitted = part.fit(kind, label, seed=seed, **{**penalty, **kw})
             judged = fitted.transform(months.where(~is_train | (F.col("_place") < float(fraction))).rows)
             right = (F.col("prediction") == F.col(label)).cast("double")
             # the rows of the prefix and the validation months in one pass

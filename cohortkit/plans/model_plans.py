@@ -427,7 +427,7 @@ def q_learning_curve(spark, sf):
     """Train / validation accuracy at ten nested sizes over seven expanding folds, mean and deviation."""
     matrix, _ = model_matrix(spark, sf)
     folds = pr.expanding_month_splits(matrix.rows, "cohort_month", 7)
-    curve = md.learning_curve(matrix, folds, LEARNING_FRACTIONS, "target", seed=SEED, max_iter=50)
+    curve = md.learning_curve(matrix, folds, LEARNING_FRACTIONS, "target", seed=SEED, max_iter=20)
     return md.learning_curve_summary(curve)
 
 
