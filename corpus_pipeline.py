@@ -31,13 +31,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest id (missing ids last).
 
-    Rows are joined by a 62-bit hash of id and text, so different texts that
-    share an id are judged each for itself, and copies without id are copies
-    like others.  Of rows with one id and text the one with the smallest hash
-    of all columns stays.  Texts without words are near no other text.
+    Rows are joined by a number of their own, in the order of the ids: the id
+    (from 0 to 2^39) followed by 22 bits of a hash of id and text; for missing
+    and other ids 61 bits of the hash, behind all others.  So different texts
+    that share an id are judged each for itself, and copies without id are
+    copies like others.  Of rows with one id and text the one with the smallest
+    hash of all columns stays.  Texts without words are near no other text.
     """
-    row = "row" + unused(docs)
-    named = docs.withColumn(row, F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2))
+    row, key, mixed = "row" + unused(docs), docs["doc_id"].cast("long"), F.xxhash64("doc_id", "text")
+    number = F.when(key.between(0, (1 << 39) - 1), F.shiftleft(key, 22).bitwiseOR(mixed.bitwiseAND(F.lit((1 << 22) - 1))))
+    named = docs.withColumn(row, F.coalesce(number, mixed.bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 61))))
     groups = ngram_jaccard_join(named, id_col=row).documents.select(F.col("doc_id").alias(row), "component_id").distinct()
     ids = named.select(row, F.col("doc_id").alias("id")).distinct()
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", row))
