@@ -2,9 +2,10 @@
 actor classes and the target spine (D9, D14-D22).
 
 Plan shape of the spine: one aggregate per actor over the study range gives
-inclusion, user flag and anchor date in a single pass; one join of the event
-log to those per-actor anchors plus a conditional aggregate gives the
-look-back counts.  No key list ever reaches the driver; set membership is a
+inclusion, user flag, anchor date and the months of target events (as bits) in
+a single pass, which is all the spine needs; for the classes with their counts
+one join of the event log to those per-actor anchors plus a conditional
+aggregate gives the look-back counts.  No key list ever reaches the driver; set membership is a
 semi/anti join.  Per-actor skew is harmless: every aggregate is partial
 (map-side) before the shuffle, and the join's other side has one row per
 actor (AQE splits skewed partitions of the large side).
@@ -97,6 +98,32 @@ def lookback_counts(events: DataFrame, firsts: DataFrame, product: str,
     return out.fillna(0, ["target_rows", "target_subjects", "other_rows", "other_subjects"])
 
 
+#: Months in one long bit set.
+MONTH_BITS = 62
+
+
+def _month_words(index, condition, lo: int, hi: int, name: str) -> list:
+    """Aggregates, one long for each 62 months of lo..hi: the months in which ``condition`` holds for a row, as bits."""
+    words = []
+    for k, first in enumerate(range(lo, hi + 1, MONTH_BITS)):
+        here = condition & index.between(first, min(first + MONTH_BITS - 1, hi))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), index - F.lit(first))
+        words.append(F.bit_or(F.when(here, bit).otherwise(F.lit(0).cast("long"))).alias(f"{name}_{k}"))
+    return words
+
+
+def _months_of(name: str, lo: int, hi: int):
+    """The month indexes, ascending, of the bits that ``_month_words`` set."""
+    words = F.array(*[F.col(f"{name}_{k}") for k in range(len(range(lo, hi + 1, MONTH_BITS)))])
+    at = lambda i: (i - F.lit(lo)).cast("int")
+    return F.filter(F.sequence(F.lit(lo), F.lit(hi)),
+                    lambda i: F.getbit(F.get(words, F.floor(at(i) / MONTH_BITS).cast("int")), at(i) % MONTH_BITS) == 1)
+
+
+def _index_of(month: str) -> int:
+    return int(month[:4]) * 12 + int(month[5:7]) - 1
+
+
 def study_summary(events: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Per actor, one pass: prior/study activity, user flags, anchor dates and
     the sorted set of active study months (bounded by the study calendar)."""
@@ -114,6 +141,65 @@ def study_summary(events: DataFrame, cfg: StudyConfig) -> DataFrame:
                        F.array_sort(F.collect_set(F.when(in_study, m))).alias("study_months")))
 
 
+def _anchors(summary: DataFrame, cfg: StudyConfig, require_inclusion: bool, nonuser_lookback_months: int | None,
+             row_level_nonusers: bool, keep) -> DataFrame:
+    """The branches (user, non_user) of each included actor, their anchor dates and look-back ranges."""
+    n_user = cfg.lookback_months
+    n_non = cfg.lookback_months if nonuser_lookback_months is None else nonuser_lookback_months
+    incl = (F.col("prior_active") == 1) & (F.col("study_active") == 1) if require_inclusion \
+        else (F.col("study_active") == 1)
+    non_cond = (F.col("study_other") == 1) if row_level_nonusers else (F.col("study_user") == 0)
+    branch = F.struct
+    choices = F.array(
+        F.when(incl & (F.col("study_user") == 1),
+               branch(F.lit("user").alias("branch"), F.col("first_target_date").alias("anchor_date"),
+                      F.lit(n_user).alias("n"))),
+        F.when(incl & non_cond,
+               branch(F.lit("non_user").alias("branch"), F.col("first_any_date").alias("anchor_date"),
+                      F.lit(n_non).alias("n"))))
+    return (summary.select("actor_id", *keep,
+                           F.explode(F.filter(choices, lambda x: x.isNotNull())).alias("b"))
+                   .select("actor_id", *keep, "b.branch", "b.anchor_date",
+                           month_index(F.col("b.anchor_date")).alias("_ai"),
+                           (month_index(F.col("b.anchor_date")) - F.col("b.n") - 1).alias("_lbi")))
+
+
+def _class_of(has_target):
+    """An anchor's class, given whether a target event falls in its look-back range."""
+    return (F.when(F.col("branch") == "user", F.when(~has_target, "new").otherwise("existing"))
+             .otherwise(F.when(~has_target, "never").otherwise("discontinued")))
+
+
+def study_classes(events: DataFrame, cfg: StudyConfig, require_inclusion: bool = True,
+                  nonuser_lookback_months: int | None = None, row_level_nonusers: bool = False) -> DataFrame:
+    """D19 without the look-back counts: (actor_id, anchor_month, actor_class, study_months).
+
+    One aggregate per actor: the months with target events, bounded by the
+    calendar, travel as bits, so the look-back is judged without a second pass
+    over the events.  All buffers are of fixed width.
+    """
+    m, t = F.col("month"), _is(cfg.target_product)
+    longest = max(cfg.lookback_months, nonuser_lookback_months or 0)
+    lo, hi = _index_of(cfg.study_start), _index_of(cfg.study_end)
+    first = lo - longest - 1
+    in_range = (m >= cfg.first_month) & (m <= cfg.study_end)
+    in_study = (m >= cfg.study_start) & (m <= cfg.study_end)
+    mi = month_index("event_date")
+    before = t & mi.between(first, hi)
+    flag = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
+    summary = (events.filter(in_range | before).groupBy("actor_id").agg(
+        flag(in_range & (m < cfg.study_start)).alias("prior_active"), flag(in_study).alias("study_active"),
+        flag(in_study & t).alias("study_user"), flag(in_study & ~t).alias("study_other"),
+        F.min(F.when(in_study & t, F.col("event_date"))).alias("first_target_date"),
+        F.min(F.when(in_study, F.col("event_date"))).alias("first_any_date"),
+        *_month_words(month_index_of_str("month"), in_study, lo, hi, "_study"), *_month_words(mi, before, first, hi, "_target"))
+        .select("*", F.transform(_months_of("_study", lo, hi), lambda i: month_from_index(i)).alias("study_months"),
+                _months_of("_target", first, hi).alias("_target_months")))
+    anchors = _anchors(summary, cfg, require_inclusion, nonuser_lookback_months, row_level_nonusers, ["study_months", "_target_months"])
+    has_target = F.exists("_target_months", lambda i: (i >= F.col("_lbi")) & (i < F.col("_ai")))
+    return anchors.select("actor_id", month_str("anchor_date").alias("anchor_month"), _class_of(has_target).alias("actor_class"), "study_months")
+
+
 def actor_classes(events: DataFrame, cfg: StudyConfig, require_inclusion: bool = True,
                   nonuser_lookback_months: int | None = None,
                   row_level_nonusers: bool = False, keep_months: bool = False) -> DataFrame:
@@ -132,25 +218,7 @@ def actor_classes(events: DataFrame, cfg: StudyConfig, require_inclusion: bool =
     actor's events; actors with nothing in the window come back through a
     left join of the anchors, which reuses the anchors' shuffle).
     """
-    n_user = cfg.lookback_months
-    n_non = cfg.lookback_months if nonuser_lookback_months is None else nonuser_lookback_months
-    s = study_summary(events, cfg)
-    incl = (F.col("prior_active") == 1) & (F.col("study_active") == 1) if require_inclusion \
-        else (F.col("study_active") == 1)
-    non_cond = (F.col("study_other") == 1) if row_level_nonusers else (F.col("study_user") == 0)
-    branch = F.struct
-    choices = F.array(
-        F.when(incl & (F.col("study_user") == 1),
-               branch(F.lit("user").alias("branch"), F.col("first_target_date").alias("anchor_date"),
-                      F.lit(n_user).alias("n"))),
-        F.when(incl & non_cond,
-               branch(F.lit("non_user").alias("branch"), F.col("first_any_date").alias("anchor_date"),
-                      F.lit(n_non).alias("n"))))
-    anchors = (s.select("actor_id", "study_months",
-                        F.explode(F.filter(choices, lambda x: x.isNotNull())).alias("b"))
-                .select("actor_id", "study_months", "b.branch", "b.anchor_date",
-                        month_index(F.col("b.anchor_date")).alias("_ai"),
-                        (month_index(F.col("b.anchor_date")) - F.col("b.n") - 1).alias("_lbi")))
+    anchors = _anchors(study_summary(events, cfg), cfg, require_inclusion, nonuser_lookback_months, row_level_nonusers, ["study_months"])
     t = _is(cfg.target_product)
     ev = events.select("actor_id", "subject_id", "product", month_index("event_date").alias("_mi"))
     inwin = (F.col("_mi") >= F.col("_lbi")) & (F.col("_mi") < F.col("_ai"))
@@ -158,9 +226,7 @@ def actor_classes(events: DataFrame, cfg: StudyConfig, require_inclusion: bool =
                             ["actor_id", "branch"], t)
     out = (anchors.join(counts, ["actor_id", "branch"], "left")
                   .fillna(0, ["target_rows", "target_subjects", "other_rows", "other_subjects"]))
-    cls = (F.when(F.col("branch") == "user",
-                  F.when(F.col("target_rows") == 0, "new").otherwise("existing"))
-            .otherwise(F.when(F.col("target_rows") == 0, "never").otherwise("discontinued")))
+    cls = _class_of(F.col("target_rows") > 0)
     cols = ["actor_id", "branch", "anchor_date", month_str("anchor_date").alias("anchor_month"),
             month_from_index(F.col("_lbi")).alias("lookback_start_month"),
             "target_rows", "target_subjects", "other_rows", "other_subjects", cls.alias("actor_class")]
@@ -177,11 +243,11 @@ def target_spine(events: DataFrame, cfg: StudyConfig, never_months: str = "activ
              ``'all'``: every study month (D20a); ``'first'``: the anchor month (D20b).
 
     Rows come from one ``explode`` over the classes (the active months travel
-    with each actor from the summary pass), so the events are read twice in
+    with each actor from the summary pass), so the events are read once in
     total and nothing is unioned or re-joined.
     """
-    c = classes if classes is not None else actor_classes(
-        events, cfg, require_inclusion, nonuser_lookback_months, row_level_nonusers, keep_months=True)
+    c = classes if classes is not None else study_classes(
+        events, cfg, require_inclusion, nonuser_lookback_months, row_level_nonusers)
     if never_months == "first":
         nev = F.array(F.col("anchor_month"))
     elif never_months == "all":
