@@ -47,14 +47,21 @@ def weekly_wide(weekly: DataFrame, labels) -> DataFrame:
     """Subject x week, one quantity column per label, 0-filled.
 
     Quantities whose label is not listed go to ``OTHER_LABEL``, so that the
-    columns always add up to the subject's total.
+    columns always add up to the subject's total.  The narrow rows are dealt
+    by subject once; a week's few labels lie side by side as a map, and the
+    wide row is made from it last, so no aggregate holds a buffer for each
+    column and no wide row is shuffled.
     """
     k = F.concat(F.lit("QTY_"), F.col("product"), F.lit("_USE_"), F.col("use"))
     named = [v for v in labels if v != OTHER_LABEL]
-    w = weekly.withColumn("_k", F.when(k.isin(named), k).otherwise(F.lit(OTHER_LABEL)))
-    return w.groupBy("subject_id", "week").agg(
-        *[F.coalesce(F.sum(F.when(F.col("_k") == F.lit(v), F.col("quantity"))), F.lit(0.0)).alias(col_name(v))
-          for v in (*named, OTHER_LABEL)])
+    # the place of a label, 0 for the others
+    place = F.coalesce(F.array_position(F.array(*[F.lit(v) for v in named]).cast("array<string>"), k), F.lit(0)).cast("int")
+    w = weekly.select("subject_id", "week", place.alias("_k"), "quantity").repartition("subject_id")
+    per = w.groupBy("subject_id", "week", "_k").agg(F.sum("quantity").alias("_q"))
+    wide = per.groupBy("subject_id", "week").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_q"))).alias("_by_label"))
+    at = [*range(1, len(named) + 1), 0]
+    return wide.select("subject_id", "week", *[F.coalesce(F.try_element_at("_by_label", F.lit(i)), F.lit(0.0)).alias(col_name(v))
+                                               for i, v in zip(at, (*named, OTHER_LABEL))])
 
 
 def active_weeks(weekly: DataFrame) -> DataFrame:
@@ -62,11 +69,11 @@ def active_weeks(weekly: DataFrame) -> DataFrame:
     return weekly.groupBy("subject_id").agg(F.countDistinct("week").alias("week_cnt"))
 
 
-def column_stddevs(wide: DataFrame, id_col: str, cols) -> DataFrame:
-    """Sample stddev per id of each column, plus their row total."""
+def column_stddevs(wide: DataFrame, id_col: str, cols, **more) -> DataFrame:
+    """Sample stddev per id of each column, plus their row total (A23); ``more`` adds aggregates by name."""
     from cohortkit.functions.exprs import row_total
 
-    s = wide.groupBy(id_col).agg(*[F.stddev_samp(c).alias(f"std_{c}") for c in cols])
+    s = wide.groupBy(id_col).agg(*[F.stddev_samp(c).alias(f"std_{c}") for c in cols], *[a.alias(n) for n, a in more.items()])
     return s.withColumn("row_total", row_total([f"std_{c}" for c in cols]))
 
 

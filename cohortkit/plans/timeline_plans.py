@@ -13,6 +13,7 @@ from cohortkit.operators.shape import col_name, long_to_wide
 from cohortkit.plans.oracle_sql import EV, with_
 from cohortkit.plans.panel_plans import WEEK_SQL, weekly_dense
 from cohortkit.plans.registry import register
+from cohortkit.session import materialize
 from cohortkit.sources.roles import event_log
 
 T = C.target_product
@@ -143,10 +144,9 @@ _STD_COLS = [col_name(v) for v in LABELS]
     "FROM sd WHERE subject_id IN (SELECT subject_id FROM wc WHERE week_cnt >= 38)")
 def q_quantity_stddev(spark, sf):
     """Per-subject stddev of each weekly column and their row total (>= 38 weeks)."""
-    wk = _weekly(spark, sf)
-    keep = tl.active_weeks(wk).filter(F.col("week_cnt") >= 38).select("subject_id")
-    sd = tl.column_stddevs(tl.weekly_wide(wk, LABELS), "subject_id", _STD_COLS)
-    return sd.join(keep, "subject_id", "left_semi")
+    # the wide rows are one for each active week
+    sd = tl.column_stddevs(tl.weekly_wide(_weekly(spark, sf), LABELS), "subject_id", _STD_COLS, week_cnt=F.count("week"))
+    return sd.filter((F.col("week_cnt") >= 38) & F.col("subject_id").isNotNull()).drop("week_cnt")
 
 
 @register("rolling_stddev_quantiles", with_(EV, WEEK_SQL) + """
@@ -235,8 +235,10 @@ SELECT fs.actor_id, fs.subject_id, strftime(fs.first_date, '%Y-%m-%d') AS first_
 FROM fs LEFT JOIN hs ON fs.actor_id = hs.actor_id AND fs.subject_id = hs.subject_id""")
 def q_first_subject(spark, sf):
     """Each actor's first target subject in the study, with that pair's history."""
-    ev = _ev(spark, sf)
-    fs = tl.first_subject(ev, T, C.study_start_date, C.study_end_date)
+    firsts = event_log(spark, sf, C.study_start_date, C.study_end_date, product=T)
+    fs = materialize(tl.first_subject(firsts, T, C.study_start_date, C.study_end_date), "first_subjects")
+    # a timeline is of one (actor, subject) pair: only the events of the pairs asked for
+    ev = _ev(spark, sf).join(fs.select("actor_id", "subject_id"), ["actor_id", "subject_id"], "left_semi")
     hs = tl.history_string(tl.therapy_timeline(ev, C.study_start_date))
     return fs.join(hs, ["actor_id", "subject_id"], "left")
 

@@ -22,7 +22,7 @@ EVENT_COLUMNS = [
 
 
 def event_log(spark: SparkSession, sf_dir: str, start: str | None = None,
-              end: str | None = None) -> DataFrame:
+              end: str | None = None, product: str | None = None) -> DataFrame:
     """lineitem ⋈ orders ⋈ part as the event log (one row per line).
 
     ``start`` / ``end`` ('yyyy-MM-dd', inclusive) bound the event date on the
@@ -30,6 +30,8 @@ def event_log(spark: SparkSession, sf_dir: str, start: str | None = None,
     and filtered rows never reach the join.  Join strategy is left to
     Catalyst/AQE: at scale lineitem ⋈ orders is a shuffle join on the order
     key and part is broadcast only if AQE measures it under the threshold.
+    With ``product`` only its events are built: the lines meet its parts first,
+    so that the other lines never reach the shuffle by order.
     """
     li = read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -38,7 +40,11 @@ def event_log(spark: SparkSession, sf_dir: str, start: str | None = None,
         li = li.filter(date_window(li, "l_shipdate", start, end))
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_type"])
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    by_order, by_part = li.l_orderkey == o.o_orderkey, li.l_partkey == p.p_partkey
+    if product is None:
+        j = li.join(o, by_order).join(p, by_part)
+    else:
+        j = li.join(p.filter(F.col("p_brand") == product), by_part).join(o, by_order)
     by = F.lit(1940) + (F.col("l_suppkey") * 7) % 80
     return j.select(
         F.col("o_custkey").alias("actor_id"),
