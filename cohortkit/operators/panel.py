@@ -110,6 +110,38 @@ def cohorts_of(df: DataFrame, month_col: str, lag: int, cohort_lo: str, cohort_h
     return out.withColumn(EDGE, edge)
 
 
+def recency_counts(events: DataFrame, lag: int, cohort_lo: str, cohort_hi: str, edges=(1, 3, 6, 9, 12),
+                   cumulative: bool = False) -> DataFrame:
+    """Events and distinct subjects per actor, cohort and recency bucket with events.
+
+    The rows are dealt by actor once, before the fan-out, and every later step
+    groups within an actor.  A subject counts in a bucket through its latest
+    month there: the one whose next month with the subject, seen from the
+    cohort, is nearer than the bucket.  So no set of subjects is built, and
+    cumulative buckets are sums over the gaps of a cohort, not row copies.
+    """
+    per = (events.select("actor_id", "subject_id", "month").repartition("actor_id")
+                 .groupBy("actor_id", "subject_id", "month").agg(F.count(F.lit(1)).alias("_n")))
+    index = month_index_of_str(F.col("month"))
+    later = F.lead(index).over(Window.partitionBy("actor_id", "subject_id").orderBy(index))
+    rows = per.select("actor_id", "month", "_n", F.col("subject_id").isNotNull().alias("_named"), (later - index).alias("_until_next"))
+    fan = cohorts_of(rows, "month", lag, cohort_lo, cohort_hi, edges)
+    gap, sums = F.col(GAP), []
+    low = 0
+    for i, e in enumerate(edges):
+        inside = (gap <= e) if cumulative else (gap > low) & (gap <= e)
+        nearest = 0 if cumulative else low
+        latest = F.col("_until_next").isNull() | (gap - F.col("_until_next") <= nearest)
+        sums += [F.sum(F.when(inside, F.col("_n"))).alias(f"_events_{i}"),
+                 F.sum(F.when(inside & latest & F.col("_named"), 1).otherwise(0)).alias(f"_subjects_{i}")]
+        low = e
+    wide = fan.groupBy("actor_id", COHORT).agg(*sums)
+    buckets = F.array(*[F.struct(F.lit(e).alias(EDGE), F.col(f"_events_{i}").alias("n_events"), F.col(f"_subjects_{i}").alias("n_subjects"))
+                        for i, e in enumerate(edges)])
+    return (wide.select("actor_id", COHORT, F.explode(F.filter(buckets, lambda b: b["n_events"].isNotNull())).alias("_b"))
+                .select("actor_id", COHORT, "_b.*"))
+
+
 def cohort_month() -> Column:
     """The 'yyyy-MM' name of a cohort index."""
     return month_from_index(F.col(COHORT)).alias("cohort_month")

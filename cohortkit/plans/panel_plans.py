@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from cohortkit.config import TEST_CONFIG as C
 from cohortkit.functions.dates import month_before, week_start
 from cohortkit.operators import panel as pn
-from cohortkit.operators.distinct import distinct_by_kind
 from cohortkit.plans.oracle_sql import ACT, CLASS_SQL, CLASSES, EV, with_
 from cohortkit.plans.registry import register
 from cohortkit.sources.roles import activity_log, event_log
@@ -143,12 +142,8 @@ GROUP BY 1, 2, 3"""
 
 
 def _recency(spark, sf, lag, cumulative=False):
-    # pre-aggregate to (actor, month, subject) before the <= 12x fan-out
     start = f"{month_before(C.study_start, lag + max(C.bucket_edges))}-01"  # earlier events inform no cohort month
-    ev = (event_log(spark, sf, start, C.study_end_date).groupBy("actor_id", "month", "subject_id")
-          .agg(F.count(F.lit(1)).alias("n")))
-    fan = pn.cohorts_of(ev, "month", lag, C.study_start, C.study_end, C.bucket_edges, cumulative)
-    per = distinct_by_kind(fan, ["actor_id", pn.COHORT, pn.EDGE], "subject_id", {"n_subjects": F.lit(True)}, {"n_events": (F.sum, F.col("n"))})
+    per = pn.recency_counts(event_log(spark, sf, start, C.study_end_date), lag, C.study_start, C.study_end, C.bucket_edges, cumulative)
     return per.select("actor_id", pn.cohort_month(), pn.bucket_name(), "n_events", "n_subjects")
 
 
