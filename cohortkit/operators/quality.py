@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions.exprs import any_null
 from cohortkit.operators.distinct import distinct_by_kind, distinct_each
+from cohortkit.session import materialize
 
 
 def find_conflicting(df: DataFrame, id_col: str, attr_col: str) -> DataFrame:
@@ -221,9 +222,8 @@ def match_coverage(left: DataFrame, right: DataFrame, keys, since_col: str, sinc
     lk = [a for a, _ in keys]
     r = right.groupBy(*[F.col(b).alias(a) for a, b in keys]).agg(F.count(F.lit(1)).alias("_nr"))
     since_c = F.coalesce(F.col(since_col) >= F.to_date(F.lit(since)), F.lit(False))
-    # the ids that meet, shuffled once and then counted for each id from that shuffle
-    met = (left.join(r, lk, "inner").groupBy(*left_ids, since_c.cast("int").alias("_since"))
-           .agg(F.sum("_nr").alias("_rows")))
+    # the rows that meet, written narrow: totals and each id's distinct values combine before they shuffle
+    met = materialize(left.join(r, lk, "inner").select(*left_ids, since_c.cast("int").alias("_since"), F.col("_nr").alias("_rows")), "matched")
     since_rows = F.when(F.col("_since") == 1, F.col("_rows"))
     parts = [met.agg(F.sum("_rows").alias("matched_rows"), F.sum(since_rows).alias("matched_rows_since"))]
     for c in left_ids:

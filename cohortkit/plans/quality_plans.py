@@ -296,7 +296,8 @@ FROM ev JOIN act ON {cond}"""
 def q_source_match_coverage(spark, sf):
     """Event log rows, subjects and actors matched in the activity log,
     on one key and on two keys, all time and since the study start."""
-    ev = _ev(spark, sf)
+    # both kinds of keys read the joined log: written once, three narrow columns
+    ev = materialize(_ev(spark, sf).select("actor_id", "subject_id", "event_date"), "event_log")
     act = activity_log(spark, sf)
     one = qa.match_coverage(ev, act, [("actor_id", "actor_id")], "event_date", C.study_start_date)
     ev2 = ev.withColumn("_day", F.dayofmonth("event_date"))
@@ -371,5 +372,6 @@ def q_csv_round_trip(spark, sf):
 def q_long_to_wide_domain(spark, sf):
     """Two measures per product and actor, the products found by the domain pass."""
     ev = _ev(spark, sf).groupBy("actor_id", "product").agg(F.sum("quantity").alias("quantity"), F.count("quantity").alias("n"))
-    wide = long_to_wide(ev, "actor_id", "product", ["quantity", "n"], agg="sum")
+    # written once for the domain pass and the wide rows
+    wide = long_to_wide(materialize(ev, "by_product"), "actor_id", "product", ["quantity", "n"], agg="sum")
     return wide.fillna(0, [c for c in wide.columns if c.endswith("_n")])
