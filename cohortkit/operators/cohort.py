@@ -196,7 +196,8 @@ def study_classes(events: DataFrame, cfg: StudyConfig, require_inclusion: bool =
         .select("*", F.transform(_months_of("_study", lo, hi), lambda i: month_from_index(i)).alias("study_months"),
                 _months_of("_target", first, hi).alias("_target_months")))
     anchors = _anchors(summary, cfg, require_inclusion, nonuser_lookback_months, row_level_nonusers, ["study_months", "_target_months"])
-    has_target = F.exists("_target_months", lambda i: (i >= F.col("_lbi")) & (i < F.col("_ai")))
+    # events without an actor belong to no anchor
+    has_target = F.col("actor_id").isNotNull() & F.exists("_target_months", lambda i: (i >= F.col("_lbi")) & (i < F.col("_ai")))
     return anchors.select("actor_id", month_str("anchor_date").alias("anchor_month"), _class_of(has_target).alias("actor_class"), "study_months")
 
 

@@ -30,7 +30,8 @@ def _events(spark):
     rows = [(1, 5, "1998-01-10", "Brand#13"), (1, 5, "2000-02-10", "Brand#12"), (1, 6, "2000-05-02", "Brand#12"),
             (2, 5, "1999-08-01", "Brand#12"), (2, 7, "2000-01-05", "Brand#12"), (3, 7, "1997-01-05", "Brand#14"),
             (3, 8, "2000-03-05", "Brand#14"), (3, 8, "2001-08-31", "Brand#13"), (4, None, "1999-01-01", "Brand#12"),
-            (4, 9, "2000-06-06", None), (5, 9, "1999-11-11", "Brand#12")]
+            (4, 9, "2000-06-06", None), (5, 9, "1999-11-11", "Brand#12"),
+            (None, 5, "1999-06-01", "Brand#12"), (None, 6, "2000-07-01", "Brand#12")]
     return make_events(spark, rows)
 
 
@@ -41,7 +42,7 @@ def test_spine_reads_the_events_once_and_agrees_with_the_classes(spark, how):
     assert _plan(spine).count("Scan ExistingRDD") == 1
     classes = co.actor_classes(ev, CFG, keep_months=True, **how)
     slow = co.target_spine(ev, CFG, classes=classes)
-    assert sorted(map(tuple, spine.collect())) == sorted(map(tuple, slow.collect())) != []
+    assert sorted(map(str, spine.collect())) == sorted(map(str, slow.collect())) != []
 
 
 @pytest.mark.parametrize("cumulative", [False, True])
