@@ -52,12 +52,24 @@ def expanding_month_splits(df: DataFrame, month_col: str, n_splits: int) -> Data
                   F.max(F.when(F.col("role") == "valid", F.col(month_col))).alias("valid_to")))
 
 
+#: Columns whose statistics are taken in one aggregate: the code of many more is too long to be compiled.
+STATS_COLUMNS = 24
+
+
 def fit_scaler(train: DataFrame, cols) -> DataFrame:
-    """M2: one-row table of mean and population stddev per column."""
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std")]
-    return train.agg(*aggs)
+    """M2: one-row table of mean and population stddev per column.
+
+    Wide frames are aggregated a group of columns at a time, each group from
+    its own columns of the (written) rows; the one-row results are put side by side.
+    """
+    cols, out = list(cols), None
+    for i in range(0, max(len(cols), 1), STATS_COLUMNS):
+        aggs = []
+        for c in cols[i:i + STATS_COLUMNS]:
+            aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std")]
+        part = train.agg(*aggs)
+        out = part if out is None else out.crossJoin(part)
+    return out
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, cols) -> DataFrame:

@@ -81,6 +81,30 @@ def bucket_of_gap(gap: Column, edges=(1, 3, 6, 9, 12), cumulative: bool = False)
 COHORT, GAP, EDGE = "cohort_index", "month_gap", "bucket_edge"
 
 
+#: Column with the cohort months that an actor's rows are asked for.
+WANTED = "_wanted"
+
+
+def wanted_cohorts(spine: DataFrame, first_month: str) -> DataFrame:
+    """Per actor the cohort months of its spine rows, as the bits of months since ``first_month`` (the last bit: any later month)."""
+    lo = month_index_of_str(F.lit(first_month))
+    bit = F.least(F.greatest(month_index_of_str(F.col("cohort_month")) - lo, F.lit(0)), F.lit(62))
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+    return (spine.filter(F.col("actor_id").isNotNull() & F.col("cohort_month").isNotNull())
+                 .groupBy("actor_id").agg(mask.alias("mask")).select("actor_id", F.struct(lo.alias("lo"), "mask").alias(WANTED)))
+
+
+def carried(df: DataFrame) -> list[str]:
+    """The key that steps before a fan-out carry along, where rows have it."""
+    return [WANTED] if WANTED in df.columns else []
+
+
+def is_wanted(index: Column) -> Column:
+    """Whether the month of this index may be a cohort month of the actor's spine rows."""
+    bit = F.least(F.greatest(index - F.col(WANTED)["lo"], F.lit(0)), F.lit(62))
+    return F.call_function("shiftright", F.col(WANTED)["mask"], bit).bitwiseAND(F.lit(1)) == 1
+
+
 def cohorts_of(df: DataFrame, month_col: str, lag: int, cohort_lo: str, cohort_hi: str,
                edges=(1, 3, 6, 9, 12), cumulative: bool = False) -> DataFrame:
     """J3 / J6 / D25 / D26 redesigned: attach to each row the cohort months it
@@ -88,7 +112,8 @@ def cohorts_of(df: DataFrame, month_col: str, lag: int, cohort_lo: str, cohort_h
     [cohort_lo, cohort_hi], and the recency bucket of the gap.
 
     At most max(edges) rows per input row instead of joining every row to
-    every cohort month and filtering.  The added columns are integers, so
+    every cohort month and filtering; rows with a ``WANTED`` column are spread
+    over those months only, and the column is dropped.  The added columns are integers, so
     rows are grouped by numbers; ``named_cohorts`` names what is left.
     """
     h = max(edges)
@@ -102,6 +127,8 @@ def cohorts_of(df: DataFrame, month_col: str, lag: int, cohort_lo: str, cohort_h
              .filter(lo_c <= hi_c)
              .withColumn(COHORT, F.explode(F.sequence(lo_c, hi_c)))
              .withColumn(GAP, F.col(COHORT) - lag - F.col("_m")).drop("_m"))
+    if carried(df):
+        out = out.filter(is_wanted(F.col(COHORT))).drop(WANTED)
     if cumulative:
         return out.withColumn(EDGE, F.explode(F.filter(F.array(*map(F.lit, edges)), lambda e: F.col(GAP) <= e)))
     edge = None
@@ -156,7 +183,7 @@ def fan_out_cohorts(df: DataFrame, month_col: str, lag: int, cohort_lo: str, coh
                     edges=(1, 3, 6, 9, 12), cumulative: bool = False) -> DataFrame:
     """``cohorts_of`` with the cohort month and the bucket by name."""
     out = cohorts_of(df, month_col, lag, cohort_lo, cohort_hi, edges, cumulative)
-    return out.select(*df.columns, GAP, bucket_name(), cohort_month())
+    return out.select(*[c for c in df.columns if c != WANTED], GAP, bucket_name(), cohort_month())
 
 
 def rolling_stddev(panel: DataFrame, id_col: str, order_col: str, value_cols, n: int = 4) -> DataFrame:

@@ -9,6 +9,7 @@ from cohortkit.functions.dates import month_before
 from cohortkit.operators import cohort as co
 from cohortkit.operators import features as fe
 from cohortkit.operators import master as ma
+from cohortkit.operators import panel as pn
 from cohortkit.operators import shape as sh
 from cohortkit.plans import feature_plans as fp
 from cohortkit.plans import panel_plans as pp
@@ -33,8 +34,9 @@ def master_df(spark, sf):
 
     The event log and the spine are written once.  Features are computed for
     the spine's actors only (peers excepted, who may be anyone), from the
-    months that can inform a cohort month, and only where there are events:
-    the last fill does the rest.
+    months that can inform a cohort month, for the cohort months that the
+    actor has in the spine, and only where there are events: the last fill
+    does the rest.
     """
     ev = materialize(event_log(spark, sf).select("actor_id", "subject_id", "event_date", "month", "product", "product_group",
                                                  "use_flag", "institution", "birth_year"), "event_log")
@@ -44,10 +46,11 @@ def master_df(spark, sf):
     affl = materialize(affiliations(spark, sf, ev.filter(F.col("event_date") < F.to_date(F.lit(C.study_start_date))))
                        .where("org_rank = 1"), "affiliations")
     first = month_before(C.study_start, C.lag_months + 12)
-    recent = materialize(ev.where(F.col("month").between(first, C.study_end)).join(members, "actor_id", "left_semi"), "recent")
+    wanted = materialize(pn.wanted_cohorts(spine, C.study_start), "wanted")
+    recent = materialize(ev.where(F.col("month").between(first, C.study_end)).join(wanted, "actor_id"), "recent")
     shares = fe.share_map(recent, fp.NAMED, fp.GROUPS, C.study_start, C.study_end, C.lag_months, fp.EDGES, dense=False)
     orgf = fe.org_flag(recent.where(F.col("month") >= C.study_start)).withColumnRenamed("month", "cohort_month")
-    peer = fe.peer_use_flag(ev.where(F.col("month") >= first), affl, T, C.study_start, C.study_end, C.lag_months, actors=members).drop("org_id")
+    peer = fe.peer_use_flag(ev.where(F.col("month") >= first), affl, T, C.study_start, C.study_end, C.lag_months, actors=wanted).drop("org_id")
     breadth = fe.class_breadth_lookback(recent, fp.CLASSES, C.study_start, C.study_end, 0, 12, dense=False)
     own = fe.own_use(recent, T, C.study_start, C.study_end, C.lag_months).join(affl.select("actor_id"), "actor_id", "left_semi")
     own_events = ev.join(members, "actor_id", "left_semi")
@@ -57,8 +60,8 @@ def master_df(spark, sf):
                                    fallback_group=fp.SPEC_FALLBACK)
     org = (affl.select("actor_id", "org_id").join(fe.org_size(affl), "org_id", "left").join(members, "actor_id", "left_semi")
                .select("actor_id", "org_id", "account_size"))
-    activity = pp.trailing_activity(spark, sf, members).withColumnRenamed("period", "cohort_month")
-    channel = fe.channel_map_rows(channel_log(spark, sf), members, fp.CHANNELS, fp.CH_LO, fp.CH_HI, 0,
+    activity = pp.trailing_activity(spark, sf, members, (C.study_start, C.study_end)).withColumnRenamed("period", "cohort_month")
+    channel = fe.channel_map_rows(channel_log(spark, sf), wanted, fp.CHANNELS, fp.CH_LO, fp.CH_HI, 0,
                                   fp.EDGES, fp.MEASURES).withColumn("actor_id", F.col("actor_id").cast("long"))
     return ma.master_table(spine, [
         ("activity", activity, KEYS), ("channel", channel, KEYS), ("shares", shares, KEYS), ("org_flag", orgf, KEYS),

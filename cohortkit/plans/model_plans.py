@@ -331,10 +331,10 @@ def model_frame(spark, sf):
     feats = [c for c, t in m.dtypes if c not in ("actor_id", "cohort_month", "target", "org_id")
              and t in ("int", "bigint", "double")]
     m = m.select(*KEYS, "target", *[F.col(c).cast("double").alias(c) for c in feats])
-    train, test = pr.temporal_split(m, "cohort_month", C.train_end)
+    train, _ = pr.temporal_split(m, "cohort_month", C.train_end)
     scaled = [c for c in feats if c not in BINARY]
-    stats = pr.fit_scaler(train, scaled)
-    return pr.apply_scaler(train, stats, scaled).fillna(0.0), pr.apply_scaler(test, stats, scaled).fillna(0.0), feats
+    whole = pr.apply_scaler(m, pr.fit_scaler(train, scaled), scaled).fillna(0.0)
+    return *pr.temporal_split(whole, "cohort_month", C.train_end), feats
 
 
 def model_matrix(spark, sf):

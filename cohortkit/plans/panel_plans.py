@@ -99,8 +99,10 @@ def q_trailing_sums(spark, sf):
     return trailing_activity(spark, sf)
 
 
-def trailing_activity(spark, sf, ids=None):
-    return pn.trailing_sums(_dense(spark, sf, "month", ids), "actor_id", "period", "n_activities", C.trailing_sizes)
+def trailing_activity(spark, sf, ids=None, months=None):
+    """Trailing sums of every actor and month, or of ``ids`` and the range of ``months`` only."""
+    sums = pn.trailing_sums(_dense(spark, sf, "month", ids), "actor_id", "period", "n_activities", C.trailing_sizes)
+    return sums if months is None else sums.where(F.col("period").between(*months))
 
 
 MONTHLY_ACTIVITY_SQL = _dense_sql("month", "MONTH").strip() + f""",

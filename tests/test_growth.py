@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.config import StudyConfig
 from cohortkit.modeling import models as md
+from cohortkit.modeling import prep as pr
 from cohortkit.operators import cohort as co
 from cohortkit.operators import features as fe
 from cohortkit.operators import master as ma
@@ -130,3 +131,46 @@ def test_event_log_of_one_product(spark, tmp_path):
     whole = event_log(spark, str(tmp_path)).filter("product = 'P'")
     one = event_log(spark, str(tmp_path), product="P")
     assert one.columns == whole.columns and sorted(map(str, one.collect())) == sorted(map(str, whole.collect())) and one.count() == 2
+
+
+def test_features_of_the_spine_months_only(spark):
+    ev = _events(spark)
+    spine = spark.createDataFrame([(1, "2000-03"), (1, "2001-08"), (2, "2000-04"), (2, None), (None, "2000-04"), (3, "2000-04")],
+                                  "actor_id long, cohort_month string")
+    wanted = pn.wanted_cohorts(spine, "2000-01")
+    assert wanted.count() == 3
+    rows = ev.join(wanted, "actor_id")
+    for make in (lambda e: fe.share_map(e, fp.NAMED, fp.GROUPS, "2000-01", "2001-08", dense=False),
+                 lambda e: fe.class_breadth_lookback(e, fp.CLASSES, "2000-01", "2001-08", dense=False),
+                 lambda e: fe.own_use(e, "Brand#12", "2000-01", "2001-08")):
+        got, whole = make(rows), make(ev).join(spine, ["actor_id", "cohort_month"], "left_semi")
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(got.columns).collect())) != []
+    affl = spark.createDataFrame([(1, 7, 1), (2, 7, 1), (3, 8, 1)], "actor_id long, org_id long, org_rank int")
+    peer = [fe.peer_use_flag(ev, affl, "Brand#12", "2000-01", "2001-08", actors=a) for a in (wanted, spine.select("actor_id").distinct())]
+    assert sorted(map(str, peer[0].collect())) == sorted(map(str, peer[1].join(spine, ["actor_id", "cohort_month"], "left_semi")
+                                                             .select(peer[0].columns).collect())) != []
+    # a month far behind the last bit is no month of the spine
+    assert pn.cohorts_of(rows.withColumn("month", F.lit("2024-01")), "month", 0, "2024-01", "2024-12").count() == 0
+
+
+def test_channels_of_the_spine_months_only(spark):
+    log = spark.createDataFrame([("1", "20000110", "click", 1, 1, 0, 1), ("2", "20000110", "click", 1, 0, 1, 1), ("9", "20000110", "view", 1, 0, 1, 1)],
+                                "actor_key string, date_key string, channel string, exposures long, light long, deep long, total long")
+    spine = spark.createDataFrame([(1, "2000-03"), (2, "2001-08"), (2, "2000-12")], "actor_id long, cohort_month string")
+
+    def rows(known):
+        return fe.channel_map_rows(log, known, fp.CHANNELS, "2000-01", "2001-08")
+
+    got = rows(pn.wanted_cohorts(spine, "2000-01"))
+    whole = rows(spine.select("actor_id")).join(spine.withColumn("actor_id", F.col("actor_id").cast("string")), ["actor_id", "cohort_month"], "left_semi")
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(got.columns).collect())) and got.count() == 2
+
+
+def test_statistics_of_many_columns_in_several_aggregates(spark):
+    names = [f"c{i}" for i in range(60)]
+    df = spark.range(20).select(*[(F.col("id") * i + F.rand(i)).alias(c) for i, c in enumerate(names)], F.col("id").alias("k")).localCheckpoint()
+    stats = pr.fit_scaler(df, names)
+    groups = [line.count("stddev_pop(") for line in stats._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert len(groups) == 3 and max(groups) <= pr.STATS_COLUMNS
+    want = df.agg(*[f(c) for c in names for f in (F.avg, F.stddev_pop)]).first()
+    assert stats.columns == [f"{c}__{x}" for c in names for x in ("mean", "std")] and tuple(stats.first()) == pytest.approx(tuple(want), rel=1e-12)
