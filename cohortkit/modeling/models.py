@@ -87,10 +87,10 @@ class Matrix:
         self.rows, self.features = rows, list(features)
 
     @classmethod
-    def of(cls, df: DataFrame, features, keep) -> Matrix:
+    def of(cls, df: DataFrame, features, keep, written: bool = True) -> Matrix:
         features = list(features)
         rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df).select(*keep, "features")
-        return cls(materialize(rows, "matrix"), features)
+        return cls(materialize(rows, "matrix") if written else rows, features)
 
     def where(self, condition) -> Matrix:
         return Matrix(self.rows.where(condition), self.features)
@@ -147,25 +147,36 @@ def learning_curve(matrix: Matrix, folds: DataFrame, fractions, label: str = "ta
     fraction: (fold, fraction, n_train, n_valid, train_accuracy, valid_accuracy).
     ``folds`` has the month ranges of ``prep.expanding_month_splits``: a
     handful of rows.  A size with one class only is left out.
+
+    The rows are written in one folder for each step between two sizes, so
+    that a fit reads its prefix only, and all models of a fold are judged in
+    one pass.
     """
-    placed = Matrix(matrix.rows.withColumn("_place", prefix_place(keys, seed)), matrix.features)
+    fractions = sorted(float(x) for x in fractions)
+    step = sum((F.col("_place") >= x).cast("int") for x in fractions)
+    steps = matrix.rows.withColumn("_place", prefix_place(keys, seed)).withColumn("_step", step).drop("_place")
+    placed = Matrix(materialize(steps, "learning-steps", partition_by="_step"), matrix.features)
     rows = []
     for fold in folds.orderBy("fold").collect():
         months = placed.where(F.col(month_col) <= fold["valid_to"])
         is_train = F.col(month_col) <= fold["train_to"]
-        for fraction in sorted(fractions):
-            part = months.where(is_train & (F.col("_place") < float(fraction)))
-            n, low, high = part.rows.agg(F.count(F.lit(1)), F.min(label), F.max(label)).first()
+        inside = [is_train & (F.col("_step") <= i) for i in range(len(fractions))]
+        sizes = months.rows.agg(*[f(F.when(x, F.col(label) if f is not F.count else 1)) for x in inside for f in (F.count, F.min, F.max)]).first()
+        judged, models = months.rows, []
+        for i, x in enumerate(inside):
+            n, low, high = sizes[3 * i:3 * i + 3]
             if n == 0 or low == high:
                 continue
             penalty = {"reg": 1.0 / n} if kind in ("logistic_l1", "logistic_l2") else {}
-            fitted = part.fit(kind, label, seed=seed, **{**penalty, **kw})
-            judged = fitted.transform(months.where(~is_train | (F.col("_place") < float(fraction))).rows)
-            right = (F.col("prediction") == F.col(label)).cast("double")
-            # the rows of the prefix and the validation months in one pass
-            one = judged.agg(F.count(F.when(is_train, 1)), F.count(F.when(~is_train, 1)), F.avg(F.when(is_train, right)),
-                             F.avg(F.when(~is_train, right))).first()
-            rows.append((fold["fold"], float(fraction), *one))
+            fitted = months.where(x).fit(kind, label, seed=seed, **{**penalty, **kw})
+            judged = (fitted.setPredictionCol(f"_prediction_{i}").setRawPredictionCol("").setProbabilityCol("")).transform(judged)
+            models.append(i)
+        if not models:
+            continue
+        right = {i: (F.col(f"_prediction_{i}") == F.col(label)).cast("double") for i in models}
+        one = judged.agg(*[a for i in models for a in (
+            F.count(F.when(inside[i], 1)), F.count(F.when(~is_train, 1)), F.avg(F.when(inside[i], right[i])), F.avg(F.when(~is_train, right[i])))]).first()
+        rows += [(fold["fold"], fractions[i], *one[4 * k:4 * k + 4]) for k, i in enumerate(models)]
     return matrix.rows.sparkSession.createDataFrame(
         rows, "fold int, fraction double, n_train long, n_valid long, train_accuracy double, valid_accuracy double")
 

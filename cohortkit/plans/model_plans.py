@@ -337,10 +337,10 @@ def model_frame(spark, sf):
     return *pr.temporal_split(whole, "cohort_month", C.train_end), feats
 
 
-def model_matrix(spark, sf):
-    """All rows as one written matrix, with the train months' condition."""
+def model_matrix(spark, sf, written: bool = True):
+    """All rows as one matrix, written unless its reader does so, with the train months' condition."""
     train, test, feats = model_frame(spark, sf)
-    return md.Matrix.of(train.unionByName(test), feats, [*KEYS, "target"]), F.col("cohort_month") <= C.train_end
+    return md.Matrix.of(train.unionByName(test), feats, [*KEYS, "target"], written), F.col("cohort_month") <= C.train_end
 
 
 def _fit_score(spark, sf, kind):
@@ -426,7 +426,7 @@ LEARNING_FRACTIONS = tuple(k / 10 for k in range(1, 11))
 @register("learning_curve")
 def q_learning_curve(spark, sf):
     """Train / validation accuracy at ten nested sizes over seven expanding folds, mean and deviation."""
-    matrix, _ = model_matrix(spark, sf)
+    matrix, _ = model_matrix(spark, sf, written=False)  # the curve writes the rows by its own steps
     folds = pr.expanding_month_splits(matrix.rows, "cohort_month", 7)
     curve = md.learning_curve(matrix, folds, LEARNING_FRACTIONS, "target", seed=SEED, max_iter=20)
     return md.learning_curve_summary(curve)

@@ -176,3 +176,13 @@ def test_versions(spark, frame, tmp_path):
     with pytest.raises(ValueError):
         versions.promote("m", 9)
     assert versions.events("m").count() == 2 + 3 + 2 + 1
+
+
+def test_learning_curve_judges_the_models_of_a_fold_in_one_pass(spark, frame, matrix, monkeypatch):
+    folds = pr.expanding_month_splits(frame, "cohort_month", 2)
+    written, firsts, first, write = [], [], type(frame).first, md.materialize
+    monkeypatch.setattr(md, "materialize", lambda df, name, partition_by=None: written.append(partition_by) or write(df, name, partition_by))
+    monkeypatch.setattr(type(frame), "first", lambda self: firsts.append(1) or first(self))
+    curve = md.learning_curve(matrix, folds, (0.2, 0.4, 0.7), seed=3, max_iter=30)
+    assert written == ["_step"] and len(firsts) == 2 * 2  # for each fold its sizes, then its accuracies
+    assert [tuple(r)[:2] for r in curve.orderBy("fold", "fraction").collect()] == [(k, x) for k in (1, 2) for x in (0.2, 0.4, 0.7)]
