@@ -447,12 +447,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # a block is the classes that share a rare shingle with the smallest class of any of that shingle's classes
     lead = shared.groupBy("token").agg(F.min("cid").alias("block"), F.max("cid").alias("z")).where("block <> z")
-    blocks = staged(shared.join(lead.select("token", "block"), "token").select("block", "cid").distinct(), "blocks")
+    # a row for each row of ``shared`` at most: a file for each of many tasks would cost more than its rows,
+    # a process of the executor that sets its mode among it
+    blocks = staged(shared.join(lead.select("token", "block"), "token").select("block", "cid").distinct(), "blocks", shared.count())
     stars = blocks.where("cid <> block").select(F.col("block").alias("a"), F.col("cid").alias("b"))
     n_pairs = blocks.count()
     points = _sieved(source, blocks.select(F.col("cid").alias("doc_id")).distinct(), n_pairs).mapInArrow(
         _members(width, False), "cid long, n long, point binary")
-    points = staged(points.dropDuplicates(["cid"]), "points")
+    points = staged(points.dropDuplicates(["cid"]), "points", n_pairs)
 
     links = staged(_verified(stars, points, source, width, percent, n_pairs), "links", n_pairs)
     n_links = links.count()

@@ -143,11 +143,12 @@ def _bootstrap(docs: DataFrame, occurrences: DataFrame, text_col: str) -> DataFr
 
     near_base, near_candidate = sides(base, "kind", "value"), sides(candidate, "value")
     # words beside at least MIN_SUPPORT occurrences of either sort are the only ones that can become patterns
+    beside = 2 * occurrences.count()  # rows of both sides at most
     contexts = (near_base.select("word").union(near_candidate.select("word")).groupBy("word").count()
                 .where(F.col("count") >= MIN_SUPPORT).select("word"))
-    totals = staged(_word_totals(docs, text_col, staged(contexts, "pii-contexts")), "pii-totals")
+    totals = staged(_word_totals(docs, text_col, staged(contexts, "pii-contexts", beside)), "pii-totals")
     near_candidate = near_candidate.join(totals.select("word"), "word", "left_semi")
-    near_candidate = staged(near_candidate.groupBy("value", "side", "word").agg(F.count("*").alias("n")), "pii-graph")
+    near_candidate = staged(near_candidate.groupBy("value", "side", "word").agg(F.count("*").alias("n")), "pii-graph", beside)
     known = near_base.groupBy("kind", "value", "side", "word").agg(F.count("*").alias("n"))
     known = known.withColumn("score", F.lit(1.0))
     found = docs.sparkSession.createDataFrame([], "value string, kind string, score double")

@@ -64,3 +64,26 @@ def test_join_of_successive_versions(spark):
             words[(4 * version + k) % 100] = f"v{version}.{k}.{rng.randrange(10**6)}"
     result = ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).documents
     assert {r["component_id"] for r in result.collect()} == {0}
+
+
+def test_small_tables_of_the_search_have_few_files(spark, monkeypatch):
+    files, write = {}, ngram_jaccard.staged
+
+    def counted(df, name, rows=None):
+        files[name] = max(files.get(name, 0), len((out := write(df, name, rows)).inputFiles()))
+        return out
+
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(10 * g + v, " ".join([f"g{g}", *words[g:], f"v{v}"])) for g in range(30) for v in range(3)],
+                                 "doc_id long, text string").repartition(40)
+    monkeypatch.setattr(ngram_jaccard, "staged", counted)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        labels = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.ngram_jaccard_join(docs).documents.collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert all(labels[10 * g + v] == labels[10 * g] for g in range(30) for v in range(3))
+    assert files["blocks"] <= 8 and files["points"] <= 8
