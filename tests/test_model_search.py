@@ -186,3 +186,25 @@ def test_learning_curve_judges_the_models_of_a_fold_in_one_pass(spark, frame, ma
     curve = md.learning_curve(matrix, folds, (0.2, 0.4, 0.7), seed=3, max_iter=30)
     assert written == ["_step"] and len(firsts) == 2 * 2  # for each fold its sizes, then its accuracies
     assert [tuple(r)[:2] for r in curve.orderBy("fold", "fraction").collect()] == [(k, x) for k in (1, 2) for x in (0.2, 0.4, 0.7)]
+
+
+def test_only_rows_with_another_value_are_predicted_anew():
+    import pandas as pd
+
+    rnd = np.random.default_rng(5)
+    x = np.where(rnd.random((400, 3)) < 0.1, rnd.normal(size=(400, 3)), 0.0)
+    x[:7, 1] = np.nan
+    frame = pd.DataFrame({"x": list(x), "target": (x[:, 0] + x[:, 2] > 0.3).astype(float), "_bucket": 3})
+    sizes = []
+
+    def predict(rows):
+        sizes.append(len(rows))
+        return (rows[:, 0] + 2 * rows[:, 2] > 0.2).astype(float)
+
+    got = ex._rotate_and_score(predict, 3, "target", 4, 9)(frame)
+    assert sum(sizes) < 400 + 12 * 400 * 0.3
+    for _, row in got[got["feature"] >= 0].iterrows():
+        whole, j = x.copy(), row["feature"]
+        whole[:, j] = np.roll(x[:, j], np.random.default_rng((9, 3, j, row["repeat"])).integers(1, 400))
+        assert row["right"] == (predict(whole) == frame["target"].to_numpy()).sum() and row["n"] == 400
+    assert got["right"][0] == (predict(x) == frame["target"].to_numpy()).sum()
