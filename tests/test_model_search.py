@@ -208,3 +208,16 @@ def test_only_rows_with_another_value_are_predicted_anew():
         whole[:, j] = np.roll(x[:, j], np.random.default_rng((9, 3, j, row["repeat"])).integers(1, 400))
         assert row["right"] == (predict(whole) == frame["target"].to_numpy()).sum() and row["n"] == 400
     assert got["right"][0] == (predict(x) == frame["target"].to_numpy()).sum()
+
+
+def test_settings_with_the_same_rows_write_them_once(matrix, monkeypatch):
+    is_train = F.col("cohort_month") <= "2001-06"
+    train, valid = matrix.where(is_train), matrix.where(~is_train)
+    settings = [(k, s, r) for s, r in (("none", "weights"), ("importance", "undersample")) for k in ("logistic_l2", "forest")]
+    names, write = [], md.materialize
+    monkeypatch.setattr(md, "materialize", lambda df, name, partition_by=None: names.append(name) or write(df, name, partition_by))
+    rows = [r.first() for r in md.compare_models(train, valid, settings)]
+    assert names == ["training-rows"] * 2
+    for setting, row in zip(settings, rows):
+        alone = next(iter(md.compare_models(train, valid, [setting]))).first()
+        assert abs(alone["roc_auc"] - row["roc_auc"]) < 1e-6 and alone["n_features"] == row["n_features"]
