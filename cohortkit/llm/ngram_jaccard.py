@@ -206,19 +206,24 @@ def _either(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "marks": [marks.tobytes()]})
 
 
-def _maybe(marks, bits: int):
-    """(doc_id, text) -> the rows whose id is marked: all that are wanted and, by chance, a few more."""
+def _maybe(marks, bits: int, then):
+    """(doc_id, text) -> ``then`` of the rows whose id is marked: all that are wanted and, by chance, a few more."""
     def run(batches):
         seen = np.unpackbits(marks.value).view(bool)
-        for batch in batches:
-            ids = batch.column(0)
-            marked = seen[_bit(ids.fill_null(0).to_numpy(), bits)] | ids.is_null().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(marked))
+
+        def marked():
+            for batch in batches:
+                ids = batch.column(0)
+                ok = seen[_bit(ids.fill_null(0).to_numpy(), bits)] | ids.is_null().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(ok))
+        yield from then(marked())
     return run
 
 
-def _sieved(source: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
-    """Rows of (doc_id, text) with a wanted id (``rows`` at most), and by chance a few more; texts are not shuffled for it.
+def _sieved(source: DataFrame, wanted: DataFrame, rows: int, then, schema: str) -> DataFrame:
+    """``then`` of the rows of (doc_id, text) with a wanted id (``rows`` at most), and by chance a few more; texts are not shuffled for it.
+
+    Both steps are one Python function, so that a task has one Python process and not two.
 
     The bitmap has eight bits for each wanted id but at most 2 ** BITMAP_BITS
     (8 MB), beyond which it only lets more texts through.  Null ids pass.
@@ -230,7 +235,7 @@ def _sieved(source: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     marks = np.zeros((CHUNKS, bits // 8 // CHUNKS), dtype=np.uint8)
     for row in rows:
         marks[row["chunk"]] = np.frombuffer(row["marks"], dtype=np.uint8)
-    return source.mapInArrow(_maybe(source.sparkSession.sparkContext.broadcast(marks.ravel()), bits), source.schema)
+    return source.mapInArrow(_maybe(source.sparkSession.sparkContext.broadcast(marks.ravel()), bits, then), schema)
 
 
 def _members(width: int, with_sets: bool):
@@ -452,8 +457,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = staged(shared.join(lead.select("token", "block"), "token").select("block", "cid").distinct(), "blocks", shared.count())
     stars = blocks.where("cid <> block").select(F.col("block").alias("a"), F.col("cid").alias("b"))
     n_pairs = blocks.count()
-    points = _sieved(source, blocks.select(F.col("cid").alias("doc_id")).distinct(), n_pairs).mapInArrow(
-        _members(width, False), "cid long, n long, point binary")
+    points = _sieved(source, blocks.select(F.col("cid").alias("doc_id")).distinct(), n_pairs,
+                     _members(width, False), "cid long, n long, point binary")
     points = staged(points.dropDuplicates(["cid"]), "points", n_pairs)
 
     links = staged(_verified(stars, points, source, width, percent, n_pairs), "links", n_pairs)
@@ -508,7 +513,7 @@ def _verified(pairs: DataFrame, points: DataFrame, source: DataFrame, width: int
     passed = staged(close.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(
         _passing(percent), "a long, b long"), "passed", n_pairs)
     ends = passed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _sieved(source, ends, 2 * n_pairs).mapInArrow(_members(width, True), "cid long, n long, shingles array<long>")
+    sets = _sieved(source, ends, 2 * n_pairs, _members(width, True), "cid long, n long, shingles array<long>")
     sets = staged(sets, "sets")
     overlap = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return (passed.join(side(sets, "a", "n", "shingles"), "a").join(side(sets, "b", "n", "shingles"), "b")

@@ -85,6 +85,15 @@ def test_jaccard_odd_rows(odd_docs, no_docs):
     assert ngram_jaccard.ngram_jaccard_join(no_docs).documents.count() == 0
 
 
+def test_the_sieve_and_what_reads_it_are_one_python_step(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (i + 1)) for i in range(40)] + [(None, "nobody")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(3,), (17,)], "doc_id long")
+    got = ngram_jaccard._sieved(docs, wanted, 2, ngram_jaccard._members(5, False), "cid long, n long, point binary")
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    sizes = {r["cid"]: r["n"] for r in got.collect()}
+    assert sizes.items() >= {3: 1, 17: 1}.items() and len(sizes) < 10 and max(sizes) >= ngram_jaccard.NO_ID
+
+
 def test_rtree_bounds():
     rng = np.random.default_rng(0)
     points = rng.poisson(3, (150, 16)).astype(np.int64)
