@@ -6,6 +6,8 @@ only model parameters live on the driver.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -13,6 +15,7 @@ from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from cohortkit.session import materialize
 
@@ -138,8 +141,13 @@ def prefix_place(keys, seed: int):
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
+#: Fits of a search that run at the same time; each holds its own rows in blocks.
+FITS_AT_ONCE = 4
+
+
 def learning_curve(matrix: Matrix, folds: DataFrame, fractions, label: str = "target", month_col: str = "cohort_month",
-                   keys=("actor_id", "cohort_month"), kind: str = "logistic_l2", seed: int = 42, **kw) -> DataFrame:
+                   keys=("actor_id", "cohort_month"), kind: str = "logistic_l2", seed: int = 42,
+                   at_once: int = FITS_AT_ONCE, **kw) -> DataFrame:
     """Accuracy on training and validation rows at growing sizes, over expanding folds.
 
     A size is the prefix of the training months' rows in one hash order, so
@@ -150,34 +158,41 @@ def learning_curve(matrix: Matrix, folds: DataFrame, fractions, label: str = "ta
 
     The rows are written in one folder for each step between two sizes, so
     that a fit reads its prefix only, and all models of a fold are judged in
-    one pass.
+    one pass.  ``at_once`` fits run at the same time, and a fold is judged
+    while the next ones are fitted.
     """
     fractions = sorted(float(x) for x in fractions)
     step = sum((F.col("_place") >= x).cast("int") for x in fractions)
     steps = matrix.rows.withColumn("_place", prefix_place(keys, seed)).withColumn("_step", step).drop("_place")
     placed = Matrix(materialize(steps, "learning-steps", partition_by="_step"), matrix.features)
-    rows = []
-    for fold in folds.orderBy("fold").collect():
-        months = placed.where(F.col(month_col) <= fold["valid_to"])
-        is_train = F.col(month_col) <= fold["train_to"]
-        inside = [is_train & (F.col("_step") <= i) for i in range(len(fractions))]
-        sizes = months.rows.agg(*[f(F.when(x, F.col(label) if f is not F.count else 1)) for x in inside for f in (F.count, F.min, F.max)]).first()
-        judged, models = months.rows, []
-        for i, x in enumerate(inside):
-            n, low, high = sizes[3 * i:3 * i + 3]
-            if n == 0 or low == high:
-                continue
-            penalty = {"reg": 1.0 / n} if kind in ("logistic_l1", "logistic_l2") else {}
-            fitted = months.where(x).fit(kind, label, seed=seed, **{**penalty, **kw})
-            judged = (fitted.setPredictionCol(f"_prediction_{i}").setRawPredictionCol("").setProbabilityCol("")).transform(judged)
-            models.append(i)
-        if not models:
-            continue
-        right = {i: (F.col(f"_prediction_{i}") == F.col(label)).cast("double") for i in models}
-        one = judged.agg(*[a for i in models for a in (
-            F.count(F.when(inside[i], 1)), F.count(F.when(~is_train, 1)), F.avg(F.when(inside[i], right[i])), F.avg(F.when(~is_train, right[i])))]).first()
-        rows += [(fold["fold"], fractions[i], *one[4 * k:4 * k + 4]) for k, i in enumerate(models)]
-    return matrix.rows.sparkSession.createDataFrame(
+    spark, rows, fitting = matrix.rows.sparkSession, [], []
+    pool = ThreadPoolExecutor(at_once)
+    try:
+        for fold in folds.orderBy("fold").collect():
+            months = placed.where(F.col(month_col) <= fold["valid_to"])
+            is_train = F.col(month_col) <= fold["train_to"]
+            inside = [is_train & (F.col("_step") <= i) for i in range(len(fractions))]
+            sizes = months.rows.agg(*[f(F.when(x, F.col(label) if f is not F.count else 1)) for x in inside for f in (F.count, F.min, F.max)]).first()
+            models = {}
+            for i, x in enumerate(inside):
+                n, low, high = sizes[3 * i:3 * i + 3]
+                if n == 0 or low == high:
+                    continue
+                penalty = {"reg": 1.0 / n} if kind in ("logistic_l1", "logistic_l2") else {}
+                fit_one = inheritable_thread_target(spark)(months.where(x).fit)
+                models[i] = pool.submit(fit_one, kind, label, seed=seed, **{**penalty, **kw})
+            if models:
+                fitting.append((fold["fold"], months.rows, is_train, inside, models))
+        for number, judged, is_train, inside, models in fitting:
+            for i, model in models.items():
+                judged = model.result().setPredictionCol(f"_prediction_{i}").setRawPredictionCol("").setProbabilityCol("").transform(judged)
+            right = {i: (F.col(f"_prediction_{i}") == F.col(label)).cast("double") for i in models}
+            one = judged.agg(*[a for i in models for a in (
+                F.count(F.when(inside[i], 1)), F.count(F.when(~is_train, 1)), F.avg(F.when(inside[i], right[i])), F.avg(F.when(~is_train, right[i])))]).first()
+            rows += [(number, fractions[i], *one[4 * k:4 * k + 4]) for k, i in enumerate(models)]
+    finally:
+        pool.shutdown(cancel_futures=True)
+    return spark.createDataFrame(
         rows, "fold int, fraction double, n_train long, n_valid long, train_accuracy double, valid_accuracy double")
 
 

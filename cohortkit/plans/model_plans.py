@@ -325,22 +325,35 @@ def q_temporal_cv_splits(spark, sf):
 
 # ---- fitted models (rows-only checks) ---------------------------------------------------------
 
-def model_frame(spark, sf):
-    """The run's master table; numeric features scaled with train statistics."""
+def scaled_master(spark, sf):
+    """The run's master table, numeric features scaled with train statistics; its features, and those that are 0 in every row."""
     m = written_master(spark, sf)
     feats = [c for c, t in m.dtypes if c not in ("actor_id", "cohort_month", "target", "org_id")
              and t in ("int", "bigint", "double")]
     m = m.select(*KEYS, "target", *[F.col(c).cast("double").alias(c) for c in feats])
     train, _ = pr.temporal_split(m, "cohort_month", C.train_end)
     scaled = [c for c in feats if c not in BINARY]
-    whole = pr.apply_scaler(m, pr.fit_scaler(train, scaled), scaled).fillna(0.0)
+    stats = pr.fit_scaler(train, scaled)
+    row = stats.first()
+    whole = pr.apply_scaler(m, spark.createDataFrame([row], stats.schema), scaled).fillna(0.0)
+    return whole, feats, [c for c in scaled if not row[f"{c}__std"]]  # divided by no deviation: null, then 0
+
+
+def model_frame(spark, sf):
+    """Scaled rows of the train months and of the later ones, and their features."""
+    whole, feats, _ = scaled_master(spark, sf)
     return *pr.temporal_split(whole, "cohort_month", C.train_end), feats
 
 
-def model_matrix(spark, sf, written: bool = True):
-    """All rows as one matrix, written unless its reader does so, with the train months' condition."""
-    train, test, feats = model_frame(spark, sf)
-    return md.Matrix.of(train.unionByName(test), feats, [*KEYS, "target"], written), F.col("cohort_month") <= C.train_end
+def model_matrix(spark, sf, written: bool = True, zeros: bool = True):
+    """All rows as one matrix, written unless its reader does so, with the train months' condition.
+
+    Without ``zeros`` it has no features that are 0 in every row.
+    """
+    whole, feats, flat = scaled_master(spark, sf)
+    train, test = pr.temporal_split(whole, "cohort_month", C.train_end)
+    kept = feats if zeros else [f for f in feats if f not in set(flat)] or feats
+    return md.Matrix.of(train.unionByName(test), kept, [*KEYS, "target"], written), F.col("cohort_month") <= C.train_end
 
 
 def _fit_score(spark, sf, kind):
@@ -426,7 +439,8 @@ LEARNING_FRACTIONS = tuple(k / 10 for k in range(1, 11))
 @register("learning_curve")
 def q_learning_curve(spark, sf):
     """Train / validation accuracy at ten nested sizes over seven expanding folds, mean and deviation."""
-    matrix, _ = model_matrix(spark, sf, written=False)  # the curve writes the rows by its own steps
+    # the curve writes the rows by its own steps; a logistic model's coefficient of zeros is 0
+    matrix, _ = model_matrix(spark, sf, written=False, zeros=False)
     folds = pr.expanding_month_splits(matrix.rows, "cohort_month", 7)
     curve = md.learning_curve(matrix, folds, LEARNING_FRACTIONS, "target", seed=SEED, max_iter=20)
     return md.learning_curve_summary(curve)

@@ -221,3 +221,50 @@ def test_settings_with_the_same_rows_write_them_once(matrix, monkeypatch):
     for setting, row in zip(settings, rows):
         alone = next(iter(md.compare_models(train, valid, [setting]))).first()
         assert abs(alone["roc_auc"] - row["roc_auc"]) < 1e-6 and alone["n_features"] == row["n_features"]
+
+
+def test_sizes_of_a_learning_curve_are_fitted_at_the_same_time(frame, matrix, monkeypatch):
+    folds, whole, lock = pr.expanding_month_splits(frame, "cohort_month", 2), md.Matrix.fit, threading.Lock()
+    meet, now, most = threading.Barrier(2), [], []
+
+    def fit(self, *args, **kw):
+        with lock:
+            now.append(1)
+            most.append(len(now))
+        if together:
+            meet.wait(60)  # breaks unless two fits are under way
+        try:
+            return whole(self, *args, **kw)
+        finally:
+            with lock:
+                now.pop()
+
+    monkeypatch.setattr(md.Matrix, "fit", fit)
+    together = True
+    both = md.learning_curve(matrix, folds, (0.3, 1.0), seed=3, at_once=2, max_iter=30).collect()
+    assert max(most) == 2 and len(both) == 4
+    together = False
+    most.clear()
+    assert sorted(md.learning_curve(matrix, folds, (0.3, 1.0), seed=3, at_once=1, max_iter=30).collect()) == sorted(both)
+    assert max(most) == 1
+
+
+def test_features_of_zeros_change_no_learning_curve(spark, monkeypatch):
+    from cohortkit.plans import model_plans as mo
+
+    rnd, rows = random.Random(2), []
+    for i in range(600):
+        a, b = rnd.gauss(0, 1), rnd.randint(0, 9)
+        rows.append((i, f"2000-{1 + i % 9:02d}", int(a + rnd.gauss(0, 0.5) > 0), a, b, 0, 7, None, int(b > 6)))
+    master = spark.createDataFrame(rows, "actor_id long, cohort_month string, target int, a double, b int, none int, same int, missing double, own_flag int")
+    monkeypatch.setattr(mo, "written_master", lambda spark, sf: master)
+    whole, is_train = mo.model_matrix(spark, "")
+    less, _ = mo.model_matrix(spark, "", zeros=False)
+    assert whole.features == ["a", "b", "none", "same", "missing", "own_flag"] and less.features == ["a", "b", "own_flag"]
+    values = {r["actor_id"]: r["x"] for r in whole.rows.select("actor_id", vector_to_array("features").alias("x")).collect()}
+    for r in less.rows.select("actor_id", vector_to_array("features").alias("x")).collect():
+        x = values[r["actor_id"]]
+        assert x[2:5] == [0.0] * 3 and r["x"] == [x[0], x[1], x[5]]
+    folds = pr.expanding_month_splits(master, "cohort_month", 2)
+    curves = [md.learning_curve(m, folds, (0.4, 1.0), seed=1, max_iter=20).collect() for m in (whole, less)]
+    assert sorted(curves[0]) == sorted(curves[1]) and len(curves[0]) == 4
