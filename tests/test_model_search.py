@@ -268,3 +268,25 @@ def test_features_of_zeros_change_no_learning_curve(spark, monkeypatch):
     folds = pr.expanding_month_splits(master, "cohort_month", 2)
     curves = [md.learning_curve(m, folds, (0.4, 1.0), seed=1, max_iter=20).collect() for m in (whole, less)]
     assert sorted(curves[0]) == sorted(curves[1]) and len(curves[0]) == 4
+
+
+def test_settings_of_a_comparison_are_fitted_at_the_same_time(matrix, monkeypatch):
+    is_train = F.col("cohort_month") <= "2001-06"
+    train, valid = matrix.where(is_train), matrix.where(~is_train)
+    settings = [("logistic_l2", "none", "weights"), ("mlp", "none", "weights"), ("logistic_l2", "none", "undersample")]
+    meet, whole, kinds, once = threading.Barrier(2), md.fold_scores, [], []
+
+    def scores(train, valid, kind, *args, **kw):
+        kinds.append(kind)
+        if not once:
+            meet.wait(60)  # breaks unless two settings are under way
+            once.append(1)
+        return whole(train, valid, kind, *args, **kw)
+
+    monkeypatch.setattr(md, "fold_scores", scores)
+    rows = [r.first() for r in md.compare_models(train, valid, settings, at_once=2)]
+    assert sorted(kinds[:2]) == ["logistic_l2", "mlp"] and len(kinds) == 3
+    assert [(r["model"], r["selection"], r["resampling"]) for r in rows] == settings  # in the order asked for
+    kinds.clear()
+    alone = [r.first() for r in md.compare_models(train, valid, settings, at_once=1)]
+    assert kinds == ["mlp", "logistic_l2", "logistic_l2"] and [r["roc_auc"] for r in alone] == pytest.approx([r["roc_auc"] for r in rows], abs=1e-6)
